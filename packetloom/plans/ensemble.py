@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -162,34 +162,49 @@ def ensemble_fit(
     return EnsembleModel(layout, anomaly, malicious, stack, seen)
 
 
+def _unit(bounds: Bounds, column: str) -> tuple[float | None, float | None]:
+    """Range of a score after it was min-maxed by ``bounds``: no pass needed."""
+    low, high = bounds[column]
+    if low is None:
+        return (None, None)
+    return (0.0, 0.0) if low == high else (0.0, 1.0)
+
+
 def ensemble_score(
-    model: EnsembleModel, df: DataFrame, bounds: str = "batch", keep_stages: bool = False
+    model: EnsembleModel,
+    df: DataFrame,
+    bounds: str = "batch",
+    labelled_only: bool = False,
+    keep_stages: bool = False,
 ) -> DataFrame:
     """Add the three scores to every row; key, label and raw features ride along.
 
     ``bounds="batch"`` scales by the ranges of the rows being scored.
     ``bounds="saved"`` uses the training ranges: one narrow pass, no fitting
-    jobs, and the only choice for a stream.
+    jobs, and the only choice for a stream. ``labelled_only`` drops unlabelled
+    rows after the anomaly stage, as a labelled test run does.
     """
     if bounds not in ("batch", "saved"):
         raise ValueError(f"unknown bounds {bounds!r}")
     layout, saved = model.layout, bounds == "saved"
 
-    def given(column: str) -> Mapping | None:
+    def given(column: str) -> Bounds | None:
         return {column: model.score_bounds[column]} if saved else None
 
     filled = fill_zero(df)
     ranges = dict(model.anomaly.bounds if saved else fit_bounds(filled, model.anomaly.cols))
     raw = model.anomaly.distance(filled, layout.anomaly, ranges)
-    first, _ = _rescaled(raw, layout.anomaly, given(layout.anomaly), keep_stages)
-    # After rescaling, a score's range in this batch is known: no pass needed.
-    inputs = model.malicious.bounds if saved else {**ranges, layout.anomaly: None}
-    if not saved:
-        inputs = {**ranges, **fit_bounds(first, [layout.anomaly])}
-    raw = raw_probability(model.malicious, first, layout.malicious, inputs)
-    second, _ = _rescaled(raw, layout.malicious, given(layout.malicious), keep_stages)
-    inputs = model.stack.bounds if saved else fit_bounds(second, model.stack.cols)
-    raw = raw_probability(model.stack, second, layout.combined, inputs)
+    first, seen = _rescaled(raw, layout.anomaly, given(layout.anomaly), keep_stages)
+    ranges[layout.anomaly] = _unit(seen, layout.anomaly)
+    if labelled_only:
+        first = drop_unlabelled(first, layout.label, layout.unlabelled)
+        ranges = ranges if saved else dict(fit_bounds(first, model.malicious.cols))
+
+    raw = raw_probability(model.malicious, first, layout.malicious, model.malicious.bounds if saved else ranges)
+    second, seen = _rescaled(raw, layout.malicious, given(layout.malicious), keep_stages)
+    ranges[layout.malicious] = _unit(seen, layout.malicious)
+
+    raw = raw_probability(model.stack, second, layout.combined, model.stack.bounds if saved else ranges)
     third, _ = _rescaled(raw, layout.combined, given(layout.combined), keep_stages)
     return third
 

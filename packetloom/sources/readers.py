@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.columns import named
+from packetloom.functions.columns import named, quoted
+from packetloom.operators.sampling import limit_rows
 
 INDEX_COLUMN = "row_id"
 
@@ -56,8 +57,6 @@ def read_tsv(
     ``index_col=True`` drops the index, a name keeps it under that name, and
     ``False`` means there is none. ``rows`` keeps the rows with the lowest index.
     """
-    from packetloom.operators.sampling import limit_rows
-
     df = _delimited(spark, path, "\t", schema, multiline)
     if not index_col:
         if rows is not None:
@@ -90,17 +89,13 @@ def read_json(
         raise ValueError(f"unknown JSON layout {layout!r}")
     objects = spark.read.option("wholetext", multiline).text(path).filter("trim(value) <> ''")
     fields = _column_fields(objects, schema)
-    nested = ", ".join(f"{_quoted(f.name)}: map<string, {f.dataType.simpleString()}>" for f in fields)
+    nested = ", ".join(f"{quoted(f.name)}: map<string, {f.dataType.simpleString()}>" for f in fields)
     parsed = objects.select(F.from_json("value", f"struct<{nested}>").alias("o"))
     return parsed.select(F.explode(_rows_by_key(fields)).alias(index, "row")).select(
         named(index), *[F.col(f"row.c{i}").alias(f.name) for i, f in enumerate(fields)]
     )
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _column_fields(objects: DataFrame, schema: Schema | None) -> list[T.StructField]:
     """Flat columns of column-layout objects; types are inferred if not given."""
     if isinstance(schema, str):
@@ -151,7 +146,7 @@ def _rows_by_key(fields: list[T.StructField]):
         return both
 
     def column(i: int):
-        values = F.col(f"o.{_quoted(fields[i].name)}")
+        values = F.col(f"o.{quoted(fields[i].name)}")
         return F.coalesce(values, F.create_map().cast(f"map<string, {fields[i].dataType.simpleString()}>"))
 
     rows = F.transform_values(column(0), lambda _, v: cell(0, v))
