@@ -42,6 +42,7 @@ def train_detection(
     encoding: str = "auto",
     fraction: float = 0.7,
     seed: int = 42,
+    **fit_settings,
 ) -> DetectionRun:
     """Label, split 70/30 by key, fit on the larger part and score the rest."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -50,7 +51,7 @@ def train_detection(
     train, test = split(labelled, keys, fraction, seed)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = fit_ids(train, "label", cats, nums, handle_invalid, encoding, order)
+        model = fit_ids(train, "label", cats, nums, handle_invalid, encoding, order, **fit_settings)
     finally:
         train.unpersist()
     return DetectionRun(model, score(model, test))

@@ -24,7 +24,7 @@ SCORED_SQL = """
 
 FLOW_SQL = """
   select *, cast(floor(l_quantity / 10) as integer) as size_class,
-         case when l_linenumber + floor(l_quantity / 10) >= 7 then 1 else 0 end as label
+         case when (l_linenumber + floor(l_quantity / 10) >= 7) <> (l_partkey % 10 = 0) then 1 else 0 end as label
   from lineitem"""
 
 
@@ -35,10 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as flows: supplier and part play the addresses.
 
-    ``verdict`` depends on two features, so models have something to learn.
+    ``verdict`` depends on two features, so models have something to learn,
+    and is turned round for every tenth part, so no model can be perfect.
     """
     size_class = F.floor(F.col("l_quantity") / 10)
-    attack = F.col("l_linenumber") + size_class >= 7
+    attack = (F.col("l_linenumber") + size_class >= 7) != (F.col("l_partkey") % 10 == 0)
     return table(spark, sf_dir, "lineitem").select(
         "*",
         size_class.cast("string").alias("size_class"),

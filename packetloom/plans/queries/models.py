@@ -1,0 +1,351 @@
+"""Queries that fit or apply models."""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetloom.functions.columns import logistic_score as logistic_column
+from packetloom.operators import anomaly, crossval, evaluate, health, ids, mlp, sampling, shape, stack
+from packetloom.operators.scale import minmax
+from packetloom.plans import ensemble
+from packetloom.plans.detection import train_detection
+from packetloom.plans.host_health import train_host_health
+from packetloom.plans.queries.inputs import (
+    FLOW_KEY,
+    FLOW_LAYOUT,
+    FLOW_NUMERICS,
+    FLOW_SQL,
+    HOST_SQL,
+    flows,
+    host_metrics,
+    table,
+)
+from packetloom.plans.queries.registry import query, rounded
+from packetloom.session import scratch_path
+from packetloom.sources.models import load_model, save_model
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.binary_label(flows(spark, sf_dir), "verdict", benign="BENIGN", drop=False)
+
+
+# Intrusion detection -------------------------------------------------------
+
+GROUP_SQL = f"""
+  select l_orderkey, l_partkey, l_suppkey, l_linenumber, label,
+         round(p, 4) as score, case when p > 0.5 then 1.0::double else 0.0::double end as prediction
+  from (select *, avg(label) over (partition by size_class) as p from ({FLOW_SQL}))"""
+
+
+def _group_model(rows: DataFrame) -> PipelineModel:
+    """One categorical and nothing else: the fit must give each group's mean label."""
+    return ids.fit_ids(rows, "label", ["size_class"], [])
+
+
+def _group_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    scored = ids.probability_of_one(ids.score(model, rows))
+    return scored.select(*FLOW_KEY, "label", rounded("score", 4).alias("score"), "prediction")
+
+
+@query("ids_group_probability", GROUP_SQL)
+def ids_group_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    return _group_scores(_group_model(rows), rows)
+
+
+@query("ids_saved_model", GROUP_SQL)
+def ids_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a save and a load."""
+    rows = _labelled(spark, sf_dir)
+    path = scratch_path(spark, "ids-model")
+    save_model(_group_model(rows), path)
+    return _group_scores(load_model(path), rows)
+
+
+SPLIT_SQL = f"('0x' || substr(md5('42:' || l_orderkey), 1, 8))::ubigint < {round(0.7 * 2**32)}"
+
+
+@query(
+    "ids_heldout_confusion",
+    f"""with f as (select *, {SPLIT_SQL} as train from ({FLOW_SQL})),
+            g as (select size_class, avg(label) as p from f where train group by size_class),
+            t as (select label, case when p > 0.5 then 1 else 0 end as guess
+                  from f join g using (size_class) where not train),
+            c as (select distinct label as k from t)
+        select x.k::double as actual, y.k::double as predicted, count(t.label) as n
+        from c x cross join c y left join t on t.label = x.k and t.guess = y.k group by x.k, y.k""",
+)
+def ids_heldout_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = train_detection(flows(spark, sf_dir), "l_orderkey", "verdict", "BENIGN", ["size_class"], [])
+    return run.confusion()
+
+
+@query("connection_ids_scores")
+def connection_ids_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three categoricals and five numerics, scored on held-out orders."""
+    run = train_detection(
+        flows(spark, sf_dir), FLOW_KEY, "verdict", "BENIGN",
+        ["l_returnflag", "l_linestatus", "size_class"], FLOW_NUMERICS,
+    )
+    scored = ids.probability_of_one(run.scored)
+    return scored.select(*FLOW_KEY, "label", rounded("score", 4).alias("score"), "prediction")
+
+
+def _flow_run(spark: SparkSession, sf_dir: str, **settings):
+    return train_detection(
+        flows(spark, sf_dir), FLOW_KEY, "verdict", "BENIGN", ["source_ip", "dest_ip"], FLOW_NUMERICS,
+        order=["source_ip", "l_linenumber", "dest_ip", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+        handle_invalid="keep", **settings,
+    )
+
+
+@query("flow_ids_confusion")
+def flow_ids_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as categoricals; an address not seen in training is kept."""
+    return _flow_run(spark, sf_dir).confusion()
+
+
+@query("flow_ids_hashed_accuracy")
+def flow_ids_hashed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with hashed addresses, the way for more of them than an index can hold."""
+    return _flow_run(spark, sf_dir, encoding="hash", num_hashed=4096).accuracy().select(rounded("accuracy", 3).alias("accuracy"))
+
+
+LITERALS = {"l_linenumber": 0.6, "l_quantity": 0.05, "l_discount": -3.5}
+
+
+@query(
+    "logistic_score_literal",
+    """select l_orderkey, round(1 / (1 + exp(-(-3.0 + 0.6 * l_linenumber + 0.05 * l_quantity - 3.5 * l_discount))), 6) as score
+       from lineitem""",
+)
+def logistic_score_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = logistic_column(list(LITERALS), list(LITERALS.values()), -3.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", rounded(score).alias("score"))
+
+
+@query("timed_score")
+def timed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    model = ids.fit_ids(rows, "label", ["size_class"], FLOW_NUMERICS[1:])
+    return ids.timed_score(model, rows)
+
+
+@query(
+    "crossval_group_accuracy",
+    f"""with f as (select label, size_class,
+                          ('0x' || substr(md5(l_orderkey::varchar), 1, 8))::ubigint % 5 as fold from ({FLOW_SQL})),
+            g as (select size_class, fold, count(*) as n, sum(label) as s from f group by size_class, fold),
+            o as (select *, (sum(s) over w - s) / (sum(n) over w - n) as p from g
+                  window w as (partition by size_class)),
+            a as (select fold, sum(case when p > 0.5 then s else n - s end) / sum(n) as accuracy from o group by fold)
+        select round(avg(accuracy), 9) as mean_accuracy, round(stddev_pop(accuracy), 9) as sd_accuracy from a""",
+)
+def crossval_group_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.stratified_folds(
+        _labelled(spark, sf_dir).select("l_orderkey", "label", "size_class"), "l_orderkey", "label", k=5, exact=False
+    )
+    folds = crossval.cross_validate(rows, "fold", 5, _group_model, ids.score, "label")
+    summary = crossval.summarize_folds(folds)
+    return summary.select(*[rounded(c, 9).alias(c) for c in summary.columns])
+
+
+@query("crossval_mlp_accuracy")
+def crossval_mlp_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten folds of a perceptron on standardised features, as one row per fold."""
+    rows = sampling.stratified_folds(
+        _labelled(spark, sf_dir).select(*FLOW_KEY, *FLOW_NUMERICS[1:], "label"), FLOW_KEY, "label", k=10
+    )
+    fit, score = crossval.standardized_mlp(FLOW_NUMERICS, "label", max_iter=10)
+    return crossval.cross_validate(rows, "fold", 10, fit, score, "label")
+
+
+# Host health ---------------------------------------------------------------
+
+# Least squares on three columns by Cramer's rule over the sample covariances.
+LINEAR_SQL = f"""
+  with h as ({HOST_SQL}),
+  c as (select covar_samp(hour, hour) aa, covar_samp(hour, memutil) ab, covar_samp(hour, netutil) ac,
+               covar_samp(memutil, memutil) bb, covar_samp(memutil, netutil) bc, covar_samp(netutil, netutil) cc,
+               covar_samp(hour, load) ay, covar_samp(memutil, load) byy, covar_samp(netutil, load) cy,
+               avg(hour) ma, avg(memutil) mb, avg(netutil) mc, avg(load) my from h),
+  d as (select *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) as det from c),
+  w as (select *, (ay*(bb*cc - bc*bc) - ab*(byy*cc - bc*cy) + ac*(byy*bc - bb*cy)) / det as wa,
+                  (aa*(byy*cc - bc*cy) - ay*(ab*cc - bc*ac) + ac*(ab*cy - byy*ac)) / det as wb,
+                  (aa*(bb*cy - byy*bc) - ab*(ab*cy - byy*ac) + ay*(ab*bc - bb*ac)) / det as wc from d),
+  m as (select wa, wb, wc, my - wa*ma - wb*mb - wc*mc as w0 from w)"""
+
+
+@query(
+    "host_linear",
+    f"""{LINEAR_SQL} select round(w0, 6) as intercept, round(wa, 6) as hour, round(wb, 6) as memutil,
+                            round(wc, 6) as netutil from m""",
+)
+def host_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = host_metrics(spark, sf_dir)
+    cols = ["hour", "memutil", "netutil"]
+    weights = health.coefficients(health.fit_linear(metrics, "load", cols), cols)
+    # The literals ride on an aggregate of the rows they were fitted on.
+    return metrics.agg(F.count(F.lit(1)).alias("n")).select(
+        *[rounded(F.lit(v)).alias(c) for c, v in weights.items()]
+    )
+
+
+RESIDUAL_SQL = "load - (w0 + wa*hour + wb*memutil + wc*netutil)"
+
+
+@query(
+    "host_residuals",
+    f"""{LINEAR_SQL} select event_id, round({RESIDUAL_SQL}, 5) + 0.0 as residual from h, m""",
+)
+def host_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = host_metrics(spark, sf_dir)
+    model = health.fit_linear(metrics, "load", ["hour", "memutil", "netutil"])
+    return health.residuals(model, metrics, "load").select("event_id", rounded("residual", 5).alias("residual"))
+
+
+@query(
+    "host_fit_report",
+    f"""{LINEAR_SQL}, r as (select load, {RESIDUAL_SQL} as e from h, m)
+        select count(*) as n, round(sqrt(avg(e*e)), 6) as rmse,
+               round(1 - sum(e*e) / (var_pop(load) * count(*)), 6) as r2 from r""",
+)
+def host_fit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = train_host_health(host_metrics(spark, sf_dir))[2]
+    return report.withColumns({"rmse": rounded("rmse"), "r2": rounded("r2")})
+
+
+# Ensemble stages -----------------------------------------------------------
+
+
+@query(
+    "anomaly_2d",
+    """with s as (select l_orderkey, (l_quantity - q0)/(q1 - q0) as x, (l_extendedprice - p0)/(p1 - p0) as y
+                  from lineitem, (select min(l_quantity) q0, max(l_quantity) q1, min(l_extendedprice) p0,
+                                         max(l_extendedprice) p1 from lineitem)),
+            m as (select avg(x) mx, avg(y) my,
+                         0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) as a from s),
+            d as (select l_orderkey, abs((y - my) * cos(a) - (x - mx) * sin(a)) as dist from s, m)
+       select l_orderkey, round((dist - lo) / (hi - lo), 6) as anomaly_score
+       from d, (select min(dist) lo, max(dist) hi from d)""",
+)
+def anomaly_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features, one axis: the distance has a closed form."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    model = anomaly.fit_anomaly(rows, ["l_quantity", "l_extendedprice"], k=1)
+    scored = anomaly.anomaly_score(model, rows)
+    return scored.select("l_orderkey", rounded("anomaly_score").alias("anomaly_score"))
+
+
+@query("anomaly_5d")
+def anomaly_5d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flows(spark, sf_dir)
+    scored = anomaly.anomaly_score(anomaly.fit_anomaly(rows, FLOW_NUMERICS, k=2), rows)
+    return scored.select(*FLOW_KEY, rounded("anomaly_score").alias("anomaly_score"))
+
+
+@query("anomaly_embeddings")
+def anomaly_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    wide = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    cols = wide.columns[1:]
+    scored = anomaly.anomaly_score(anomaly.fit_anomaly(wide, cols, k=8), wide)
+    return scored.select("vec_id", rounded("anomaly_score").alias("anomaly_score"))
+
+
+@query("anomaly_conv1d")
+def anomaly_conv1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flows(spark, sf_dir)
+    model = anomaly.fit_anomaly(rows, FLOW_NUMERICS, method="conv1d", key="l_orderkey", steps=10)
+    scored = anomaly.anomaly_score(model, rows)
+    return scored.select(*FLOW_KEY, rounded("anomaly_score", 4).alias("anomaly_score"))
+
+
+def _malicious(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labelled(spark, sf_dir)
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", max_iter=50)
+    return mlp.score_mlp(scorer, rows)
+
+
+@query("mlp_score")
+def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _malicious(spark, sf_dir).select(*FLOW_KEY, "label", rounded("malicious_score", 4).alias("malicious_score"))
+
+
+@query("mlp_train_report")
+def mlp_train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and accuracy on the training rows."""
+    rows = _labelled(spark, sf_dir)
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", max_iter=50)
+    report = evaluate.train_report(mlp.raw_probability(scorer, rows, "p", scorer.bounds), "label", "p")
+    return report.withColumns({"loss": rounded("loss", 3), "accuracy": rounded("accuracy", 3)})
+
+
+def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minmax(_labelled(spark, sf_dir), ["l_quantity", "l_linenumber"], suffix="_score")
+    cols = ["l_quantity_score", "l_linenumber_score"]
+    return stack.score_stack(stack.fit_stack(rows, cols, "label"), rows)
+
+
+@query("stack_score")
+def stack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stacked(spark, sf_dir).select(*FLOW_KEY, "label", rounded("combined_score", 4).alias("combined_score"))
+
+
+@query("stack_uninformative", "select l_orderkey, 0.0::double as combined_score from lineitem")
+def stack_uninformative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that say nothing about the label get weight 0, so the combined score is constant."""
+    rows = shape.binary_label(table(spark, sf_dir, "lineitem"), "l_returnflag", benign="N", drop=False)
+    rows = minmax(rows, ["l_tax", "l_discount"])
+    model = stack.fit_stack(rows, ["l_tax", "l_discount"], "label")
+    return stack.score_stack(model, rows).select("l_orderkey", "combined_score")
+
+
+def _ensemble(spark: SparkSession, sf_dir: str):
+    rows = flows(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", *FLOW_NUMERICS, "verdict")
+    return rows, ensemble.ensemble_fit(rows, FLOW_LAYOUT, max_iter=50)
+
+
+SCORES = [FLOW_LAYOUT.anomaly, FLOW_LAYOUT.malicious, FLOW_LAYOUT.combined]
+
+
+@query("ensemble_score")
+def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _ensemble(spark, sf_dir)
+    scored = ensemble.ensemble_score(model, rows)
+    return scored.select(*FLOW_KEY, "verdict", *[rounded(c, 4).alias(c) for c in SCORES])
+
+
+@query(
+    "ensemble_ranges",
+    """select count(*) as n, count(distinct l_orderkey) as orders, 0.0::double as anomaly_score_min,
+              1.0::double as anomaly_score_max, 0.0::double as malicious_score_min, 1.0::double as malicious_score_max,
+              0.0::double as combined_score_min, 1.0::double as combined_score_max
+       from lineitem""",
+)
+def ensemble_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is scored and each score spans [0, 1] in its batch."""
+    rows, model = _ensemble(spark, sf_dir)
+    scored = ensemble.ensemble_score(model, rows, keep_stages=True)
+    ends = [f(c).alias(f"{c}_{n}") for c in SCORES for n, f in (("min", F.min), ("max", F.max))]
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("orders"), *ends)
+
+
+@query("ensemble_report")
+def ensemble_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _ensemble(spark, sf_dir)
+    scored = ensemble.ensemble_score(model, rows, labelled_only=True)
+    return ensemble.ensemble_report(scored, FLOW_LAYOUT)
+
+
+@query("ensemble_stage_reports")
+def ensemble_stage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts above the mean for the first two stages."""
+    rows, model = _ensemble(spark, sf_dir)
+    scored = ensemble.ensemble_score(model, rows, labelled_only=True)
+    first, second = (
+        ensemble.stage_report(scored, FLOW_LAYOUT, c).withColumn("stage", F.lit(c)) for c in SCORES[:2]
+    )
+    return first.unionByName(second)
