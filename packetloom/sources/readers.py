@@ -38,6 +38,7 @@ def read_csv(
 ) -> DataFrame:
     """Comma-separated file with a header. Header names are kept verbatim.
 
+    An empty value is null, quoted or not.
     ``multiline`` allows line breaks inside quoted values; such files cannot be
     split, so it is off by default.
     """
@@ -87,7 +88,7 @@ def read_json(
         return (reader.schema(schema) if schema is not None else reader).json(path)
     if layout != "columns":
         raise ValueError(f"unknown JSON layout {layout!r}")
-    objects = spark.read.option("wholetext", multiline).text(path).filter("trim(value) <> ''")
+    objects = spark.read.text(path, wholetext=multiline).filter("trim(value) <> ''")
     fields = _column_fields(objects, schema)
     nested = ", ".join(f"{quoted(f.name)}: map<string, {f.dataType.simpleString()}>" for f in fields)
     parsed = objects.select(F.from_json("value", f"struct<{nested}>").alias("o"))
