@@ -15,6 +15,9 @@ from packetloom.functions.columns import HASH_SPACE, as_keys, key_digest, key_ha
 from packetloom.operators.select import smallest
 from packetloom.operators.shape import fill_zero
 
+ROWS_PER_SLICE = 100_000
+MAX_SLICES = 2**20
+
 
 def split(
     df: DataFrame,
@@ -74,24 +77,27 @@ def stratified_folds(
     seed: int | None = None,
     out: str = "fold",
     exact: bool = True,
-    slices: int = 65_536,
+    slices: int | None = None,
 ) -> DataFrame:
     """Number rows by shuffled position within their label, modulo ``k``.
 
     With a two-valued label a plain window would put each class into one task.
     Here every class is cut into hash slices that are ranked side by side, and
-    a slice starts at the number of rows in the slices before it.
+    a slice starts at the number of rows in the slices before it. ``slices``
+    follows from the row count unless given.
     ``exact=False`` takes the fold from the hash alone: no shuffle, folds equal
     in expectation only.
     """
     if not exact:
         return df.withColumn(out, (key_hash(key, seed) % F.lit(k)).cast("int"))
+    if slices is None:
+        slices = min(max(df.count() // ROWS_PER_SLICE, 1), MAX_SLICES)
     cols = df.columns
     sliced = df.withColumns(
         {
             "__d": key_digest(key, seed),
             "__g": F.coalesce(named(label).cast("string"), F.lit("\0null")),
-            "__s": F.floor(key_hash(key, seed) / F.lit(HASH_SPACE // slices)),
+            "__s": F.floor(key_hash(key, seed) / F.lit(HASH_SPACE / slices)),
         }
     )
     sizes = sliced.groupBy("__g", "__s").agg(F.count(F.lit(1)).alias("__n"))

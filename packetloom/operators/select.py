@@ -2,115 +2,175 @@
 
 A pass counts rows per sub-interval of the value range; the sub-interval that
 holds the wanted rank is divided again until it is a single value or small
-enough to list. Each pass reads one column, combines map-side and brings back
-a fixed number of rows, so neither a hot value nor the table size matters.
+enough to list. Each pass reads only the columns asked for, handles all of
+them at once, combines map-side and brings back a fixed number of rows, so
+neither a hot value nor the table size matters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.columns import named
+from packetloom.functions.columns import as_keys, named
 
 SPLITS = 2048
 LISTABLE = 50_000
 SMALL_LIMIT = 100_000
 
 
-def _slot(low, high, integral: bool) -> Column:
-    """Sub-interval number of ``__v`` in [low, high]."""
-    if not integral:
-        share = (F.col("__v") - F.lit(low)) / F.lit(high - low)
+class Extent(NamedTuple):
+    """Finite range of a column, with the rows inside, below and above it."""
+
+    low: float | int | None
+    high: float | int | None
+    inside: int
+    under: int
+    over: int
+
+    @property
+    def total(self) -> int:
+        return self.under + self.inside + self.over
+
+
+class Interval(NamedTuple):
+    """Part of a column's range that still holds a wanted rank."""
+
+    column: int
+    low: float | int
+    high: float | int
+    below: int
+    inside: int
+
+
+def _long_form(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
+    """Column number ``c`` and value ``v`` of every value that is present."""
+    cells = [F.struct(F.lit(i).alias("c"), named(c).cast(kind).alias("v")) for i, c in enumerate(cols)]
+    if len(cells) == 1:
+        values = df.select(F.lit(0).alias("c"), named(cols[0]).cast(kind).alias("v"))
+    else:
+        values = df.select(F.inline(F.array(*cells)))
+    return values.filter("v is not null" if kind == "bigint" else "v is not null and not isnan(v)")
+
+
+def _extents(values: DataFrame, columns: int, kind: str) -> list[Extent]:
+    infinite = "false" if kind == "bigint" else "abs(v) = double('inf')"
+    rows = (
+        values.groupBy("c")
+        .agg(
+            F.expr(f"min(if({infinite}, null, v)) as low"),
+            F.expr(f"max(if({infinite}, null, v)) as high"),
+            F.expr(f"count_if(not {infinite}) as inside"),
+            F.expr(f"count_if({infinite} and v < 0) as under"),
+            F.expr(f"count_if({infinite} and v > 0) as over"),
+        )
+        .collect()
+    )
+    found = {row["c"]: Extent(*row[1:]) for row in rows}
+    return [found.get(i, Extent(None, None, 0, 0, 0)) for i in range(columns)]
+
+
+def _slot(low, high, kind: str) -> Column:
+    """Sub-interval number of ``v`` in [low, high]."""
+    if kind == "double":
+        share = (F.col("v") - F.lit(low)) / F.lit(high - low)
         return F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1))
     width = (high - low) // SPLITS + 1
-    kind = "bigint" if high - low < 2**63 else "decimal(20, 0)"
-    return F.expr(f"cast((cast(__v as {kind}) - {low}) div {width} as bigint)")
+    wide = "bigint" if high - low < 2**63 else "decimal(20, 0)"
+    return F.expr(f"cast((cast(v as {wide}) - {low}) div {width} as bigint)")
 
 
-def _pass(values: DataFrame, intervals: Sequence[tuple], integral: bool) -> list:
+def _pass(values: DataFrame, intervals: Sequence[Interval], kind: str) -> list:
     """Rows per (interval, sub-interval); few enough rows are listed by value."""
-    listing = sum(inside for _, _, _, inside in intervals) <= LISTABLE
+    listing = sum(i.inside for i in intervals) <= LISTABLE
     number, slot = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-    for i, (low, high, _, _) in enumerate(intervals):
-        inside = F.col("__v").between(F.lit(low), F.lit(high))
-        number = F.when(inside, i).otherwise(number)
-        slot = F.when(inside, _slot(low, high, integral)).otherwise(slot)
-    part = F.col("__v") if listing else slot
+    for i, part in enumerate(intervals):
+        within = (F.col("c") == part.column) & F.col("v").between(F.lit(part.low), F.lit(part.high))
+        number = F.when(within, i).otherwise(number)
+        slot = F.when(within, _slot(part.low, part.high, kind)).otherwise(slot)
     return (
-        values.select("__v", number.alias("__i"), part.alias("__s"))
-        .filter("__i is not null")
-        .groupBy("__i", "__s")
-        .agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.count(F.lit(1)).alias("n"))
-        .orderBy("__i", "low")
+        values.select("v", number.alias("i"), (F.col("v") if listing else slot).alias("s"))
+        .filter("i is not null")
+        .groupBy("i", "s")
+        .agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+        .orderBy("i", "low")
         .collect()
     )
 
 
-def order_statistics(df: DataFrame, col: str, ranks: Sequence[int]) -> list:
-    """Values at the given zero-based ranks in ascending order.
-
-    Null and NaN are skipped; a rank outside the data gives None.
-    """
-    integral = isinstance(df.schema[col].dataType, T.IntegralType)
-    values = df.select(named(col).cast("bigint" if integral else "double").alias("__v"))
-    if integral:
-        values, infinite = values.filter("__v is not null"), "false"
-    else:
-        values, infinite = values.filter("__v is not null and not isnan(__v)"), "abs(__v) = double('inf')"
-    finite = F.expr(f"if({infinite}, null, __v)")
-    low, high, inside, under, over = values.agg(
-        F.min(finite),
-        F.max(finite),
-        F.count(finite),
-        F.expr(f"count_if({infinite} and __v < 0)"),
-        F.expr(f"count_if({infinite} and __v > 0)"),
-    ).first()
-    found: dict[int, object] = {}
-    pending: dict[int, tuple] = {}  # rank -> (low, high, rows below, rows inside)
-    for rank in set(ranks):
-        if 0 <= rank < under:
-            found[rank] = float("-inf")
-        elif under <= rank < under + inside:
-            pending[rank] = (low, high, under, inside)
-        elif under + inside <= rank < under + inside + over:
-            found[rank] = float("inf")
+def _at_ranks(
+    values: DataFrame, extents: Sequence[Extent], wanted: Sequence[tuple[int, int]], kind: str
+) -> dict[tuple[int, int], float | int | None]:
+    """Value at each wanted (column, zero-based rank)."""
+    found: dict[tuple[int, int], float | int | None] = {}
+    pending: dict[tuple[int, int], Interval] = {}
+    for column, rank in set(wanted):
+        extent = extents[column]
+        if not 0 <= rank < extent.total:
+            found[column, rank] = None
+        elif rank < extent.under:
+            found[column, rank] = float("-inf")
+        elif rank >= extent.under + extent.inside:
+            found[column, rank] = float("inf")
+        else:
+            pending[column, rank] = Interval(column, extent.low, extent.high, extent.under, extent.inside)
     while True:
-        for rank, (low, high, _, _) in list(pending.items()):
-            if low == high:
-                found[rank] = low
-                del pending[rank]
+        for place, part in list(pending.items()):
+            if part.low == part.high:
+                found[place] = part.low
+                del pending[place]
         if not pending:
-            return [found.get(rank) for rank in ranks]
+            return found
         intervals = sorted(set(pending.values()))
-        counts = _pass(values, intervals, integral)
-        for rank, interval in pending.items():
-            below = interval[2]
-            for row in counts:
-                if intervals[row["__i"]] != interval:
-                    continue
+        counts: dict[Interval, list] = {part: [] for part in intervals}
+        for row in _pass(values, intervals, kind):
+            counts[intervals[row["i"]]].append(row)
+        for (column, rank), part in pending.items():
+            below = part.below
+            for row in counts[part]:
                 if rank < below + row["n"]:
-                    pending[rank] = (row["low"], row["high"], below, row["n"])
+                    pending[column, rank] = Interval(column, row["low"], row["high"], below, row["n"])
                     break
                 below += row["n"]
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbouring values."""
-    value = named(col).cast("double")
-    total = df.filter(value.isNotNull() & ~F.isnan(value)).count()
-    if not total:
-        return [None] * len(probs)
-    places = [p * (total - 1) for p in probs]
-    ranks = sorted({r for place in places for r in (int(place), min(int(place) + 1, total - 1))})
-    at = dict(zip(ranks, order_statistics(df, col, ranks), strict=True))
-    result = []
-    for place in places:
-        lower, upper = at[int(place)], at[min(int(place) + 1, total - 1)]
-        result.append(float(lower + (upper - lower) * (place - int(place))))
+def order_statistics(df: DataFrame, col: str, ranks: Sequence[int]) -> list:
+    """Values at the given zero-based ranks in ascending order.
+
+    Null and NaN are skipped; a rank outside the data gives None.
+    """
+    kind = "bigint" if isinstance(df.schema[col].dataType, T.IntegralType) else "double"
+    values = _long_form(df, [col], kind)
+    found = _at_ranks(values, _extents(values, 1, kind), [(0, r) for r in ranks], kind)
+    return [found[0, r] for r in ranks]
+
+
+def quantiles(
+    df: DataFrame, cols: str | Sequence[str], probs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column, interpolated between neighbouring values."""
+    cols = as_keys(cols)
+    values = _long_form(df, cols, "double")
+    extents = _extents(values, len(cols), "double")
+    places = [[p * (e.total - 1) for p in probs] if e.total else [] for e in extents]
+
+    def neighbours(column: int, place: float) -> tuple[int, int]:
+        return int(place), min(int(place) + 1, extents[column].total - 1)
+
+    wanted = [(c, r) for c, row in enumerate(places) for place in row for r in neighbours(c, place)]
+    at = _at_ranks(values, extents, wanted, "double")
+    result = {}
+    for c, name in enumerate(cols):
+        row: list[float | None] = [] if places[c] else [None] * len(probs)
+        for place in places[c]:
+            lower, upper = (at[c, r] for r in neighbours(c, place))
+            share = place - int(place)
+            row.append(float(lower if share == 0 or lower == upper else lower + (upper - lower) * share))
+        result[name] = row
     return result
 
 

@@ -40,10 +40,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
         if not exact:
             aggregates.append(F.percentile_approx(value, list(QUARTILES), 10_000).alias(f"q{i}"))
     summary = df.agg(*aggregates)
+    quartiles_of = quantiles(df, cols, QUARTILES) if exact else {}
     rows = []
     for i, c in enumerate(cols):
         if exact:
-            quartiles = [F.lit(q).cast("double") for q in quantiles(df, c, QUARTILES)]
+            quartiles = [F.lit(q).cast("double") for q in quartiles_of[c]]
         else:
             quartiles = [F.col(f"q{i}")[j] for j in range(len(QUARTILES))]
         rows.append(
@@ -92,5 +93,5 @@ def covariance(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def quantile_threshold(df: DataFrame, score: str, q: float = 0.95, exact: bool = True) -> float | None:
     """The score below which a share ``q`` of the rows lies."""
     if exact:
-        return quantiles(df, score, [q])[0]
+        return quantiles(df, score, [q])[score][0]
     return df.agg(F.percentile_approx(named(score), q, 10_000)).first()[0]

@@ -59,7 +59,7 @@ def test_limit_rows(spark):
 def test_folds_match_a_plain_ranking(spark):
     rows = [(i, "ab"[i % 3 == 0]) for i in range(500)] + [(1000 + i, None) for i in range(7)]
     df = spark.createDataFrame(rows, "id int, y string")
-    for slices in (4, 65_536):
+    for slices in (None, 4, 65_536):
         got = {r["id"]: r["fold"] for r in sampling.stratified_folds(df, "id", "y", k=10, slices=slices).collect()}
         expected = {}
         for label in ("a", "b", None):
@@ -104,5 +104,16 @@ def test_order_statistics_on_wide_integers(spark, monkeypatch):
 
 def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 10)], "x double")
-    assert select.quantiles(df, "x", [0.0, 0.25, 0.5, 1.0]) == pytest.approx([1.0, 1.75, 2.5, 10.0])
-    assert select.quantiles(df.filter("x < 0"), "x", [0.5]) == [None]
+    assert select.quantiles(df, "x", [0.0, 0.25, 0.5, 1.0])["x"] == pytest.approx([1.0, 1.75, 2.5, 10.0])
+    assert select.quantiles(df.filter("x < 0"), "x", [0.5]) == {"x": [None]}
+
+
+def test_quantiles_of_several_columns_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = np.stack([rng.random(2000), rng.integers(0, 3, 2000), np.exp(rng.normal(0, 5, 2000))], axis=1)
+    df = spark.createDataFrame([tuple(map(float, row)) for row in data], ["a", "b", "c"])
+    monkeypatch.setattr(select, "LISTABLE", 30)
+    monkeypatch.setattr(select, "SPLITS", 64)
+    got = select.quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.9])
+    for i, name in enumerate("abc"):
+        assert got[name] == pytest.approx(np.quantile(data[:, i], [0.25, 0.5, 0.9]).tolist(), rel=1e-12)
