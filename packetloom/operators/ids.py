@@ -46,19 +46,23 @@ def fit_ids(
     order: Sequence[str] | None = None,
     max_categories: int = MAX_CATEGORIES,
     num_hashed: int = 2**18,
+    **logistic_settings,
 ) -> PipelineModel:
     """Fit index → one-hot → assemble → logistic regression.
 
     ``encoding`` is ``"index"``, ``"hash"``, or ``"auto"``: index while every
     categorical has at most ``max_categories`` values, hash beyond. ``order``
-    gives the assembly order of the original column names.
+    gives the assembly order of the original column names, and
+    ``logistic_settings`` override those of the regression.
     """
     cats, nums = list(cats), list(nums)
     if encoding == "auto":
         encoding = "index" if fits_index(df, cats, max_categories) else "hash"
     if encoding not in ("index", "hash"):
         raise ValueError(f"unknown encoding {encoding!r}")
-    logistic = LogisticRegression(featuresCol="features", labelCol=label, **LOGISTIC_SETTINGS)
+    logistic = LogisticRegression(
+        featuresCol="features", labelCol=label, **{**LOGISTIC_SETTINGS, **logistic_settings}
+    )
     if not cats:
         stages = [assemble(nums), logistic]
     elif encoding == "hash":

@@ -20,7 +20,7 @@ from packetloom.functions.columns import as_keys, named
 
 SPLITS = 2048
 LISTABLE = 50_000
-SMALL_LIMIT = 100_000
+SMALL_LIMIT = 1_000
 
 
 class Extent(NamedTuple):
@@ -175,23 +175,38 @@ def quantiles(
 
 
 def smallest(df: DataFrame, order: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
-    """Exactly ``n`` rows with the smallest numeric ``order`` value.
+    """Exactly ``n`` rows with the smallest numeric ``order`` value, nulls first.
 
     Small ``n`` is a top-n. Beyond that the cut value is found first and the
-    rows are then taken by a filter, so no task ever holds the result. Rows
-    that tie at the cut are ordered by ``ties``, which must tell them apart.
+    rows are then taken by a filter, so no task ever holds the result. ``ties``
+    orders rows that tie at the cut; if too many tie for a top-n, they are
+    told apart by a hash of the whole row, in the same way.
     """
     if n <= 0:
         return df.limit(0)
+    value = named(order)
     if n <= SMALL_LIMIT:
-        return df.orderBy(named(order), *[named(t) for t in ties]).limit(n)
-    (cut,) = order_statistics(df, order, [n - 1])
+        return df.orderBy(value, *[named(t) for t in ties]).limit(n)
+    missing = df.filter(value.isNull()).count()
+    if n <= missing:
+        return _among_equals(df.filter(value.isNull()), n, ties)
+    (cut,) = order_statistics(df, order, [n - missing - 1])
     if cut is None:
         return df
     below, at = df.agg(
-        F.count_if(named(order) < F.lit(cut)), F.count_if(named(order) == F.lit(cut))
+        F.count_if(value.isNull() | (value < F.lit(cut))), F.count_if(value == F.lit(cut))
     ).first()
     if below + at == n:
-        return df.filter(named(order) <= F.lit(cut))
-    rest = df.filter(named(order) == F.lit(cut)).orderBy(*[named(t) for t in ties]).limit(n - below)
-    return df.filter(named(order) < F.lit(cut)).unionByName(rest)
+        return df.filter(value.isNull() | (value <= F.lit(cut)))
+    rest = _among_equals(df.filter(value == F.lit(cut)), n - below, ties)
+    return df.filter(value.isNull() | (value < F.lit(cut))).unionByName(rest)
+
+
+def _among_equals(df: DataFrame, n: int, ties: Sequence[str]) -> DataFrame:
+    """``n`` of the rows that share their order value."""
+    if n <= SMALL_LIMIT:
+        return df.orderBy(*[named(t) for t in ties]).limit(n) if ties else df.limit(n)
+    if "__row_hash" in df.columns:  # equal in every column: any of them will do
+        return df.limit(n)
+    hashed = df.withColumn("__row_hash", F.xxhash64(*[named(c) for c in df.columns]))
+    return smallest(hashed, "__row_hash", n).drop("__row_hash")

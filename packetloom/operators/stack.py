@@ -34,6 +34,7 @@ def fit_stack(
     l1: float = L1,
     l2: float = L2,
     max_iter: int = EPOCHS,
+    tol: float = 1e-9,
     bounds: Bounds | None = None,
 ) -> Stacker:
     """Minimise mean cross-entropy + l1·|w| + l2·‖w‖² over min-maxed scores.
@@ -51,6 +52,7 @@ def fit_stack(
         elasticNetParam=l1 / strength if strength else 0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=tol,
     )
     scaled = minmax(df, cols, bounds, suffix="__scaled").select(
         *[named(c + "__scaled") for c in cols], named(label).cast("double").alias("__label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,65 @@ def connection_ids_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*FLOW_KEY, "label", rounded("score", 4).alias("score"), "prediction")
 
 
+# Newton steps for a logistic regression on two numerics. Rows with equal
+# features are counted together; the list of cells rides along the recursion.
+CELLS_SQL = """
+  cells as (select list({'x': x, 'z': z, 'n': n, 's': s}) as l, sum(n) as total
+            from (select x, z, count(*)::double as n, sum(label)::double as s from f group by x, z))"""
+
+
+def _cell_sum(term: str) -> str:
+    return f"list_sum(list_transform(l, lambda c: {term}))"
+
+
+NUMERIC_SQL = f"""
+  with recursive f as (select *, l_quantity as x, l_linenumber::double as z from ({FLOW_SQL})),
+  {CELLS_SQL},
+  newton(i, b, u, v) as (
+    select 0, 0.0::double, 0.0::double, 0.0::double
+    union all
+    select i + 1,
+           b + (g0*(hxx*hzz - hxz*hxz) - h0x*(gx*hzz - hxz*gz) + h0z*(gx*hxz - hxx*gz)) / det,
+           u + (h00*(gx*hzz - hxz*gz) - g0*(h0x*hzz - hxz*h0z) + h0z*(h0x*gz - gx*h0z)) / det,
+           v + (h00*(hxx*gz - gx*hxz) - h0x*(h0x*gz - gx*h0z) + g0*(h0x*hxz - hxx*h0z)) / det
+    from (select *, h00*(hxx*hzz - hxz*hxz) - h0x*(h0x*hzz - hxz*h0z) + h0z*(h0x*hxz - hxx*h0z) as det
+          from (select i, b, u, v,
+                  {_cell_sum("c.s - c.n*p(c.x, c.z, b, u, v)")} as g0,
+                  {_cell_sum("c.x*(c.s - c.n*p(c.x, c.z, b, u, v))")} as gx,
+                  {_cell_sum("c.z*(c.s - c.n*p(c.x, c.z, b, u, v))")} as gz,
+                  {_cell_sum("c.n*q(c.x, c.z, b, u, v)")} as h00,
+                  {_cell_sum("c.n*c.x*q(c.x, c.z, b, u, v)")} as h0x,
+                  {_cell_sum("c.n*c.z*q(c.x, c.z, b, u, v)")} as h0z,
+                  {_cell_sum("c.n*c.x*c.x*q(c.x, c.z, b, u, v)")} as hxx,
+                  {_cell_sum("c.n*c.x*c.z*q(c.x, c.z, b, u, v)")} as hxz,
+                  {_cell_sum("c.n*c.z*c.z*q(c.x, c.z, b, u, v)")} as hzz
+                from newton, cells where i < 25)))
+  select l_orderkey, l_partkey, l_suppkey, l_linenumber, label,
+         round(p(x, z, b, u, v), 4) as score
+  from f, newton where i = 25"""
+PROBABILITY = "(1 / (1 + exp(-({b} + {u} * {x} + {v} * {z}))))"
+
+
+def _expand(sql: str) -> str:
+    """Write out p(x, z, b, u, v), the probability, and q = p (1 - p)."""
+
+    def write(match: re.Match) -> str:
+        x, z, b, u, v = (part.strip() for part in match.group(2).split(","))
+        p = PROBABILITY.format(x=x, z=z, b=b, u=u, v=v)
+        return p if match.group(1) == "p" else f"({p} * (1 - {p}))"
+
+    return re.sub(r"\b([pq])\(([^()]*)\)", write, sql)
+
+
+@query("ids_numeric_probability", _expand(NUMERIC_SQL))
+def ids_numeric_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two numerics, fitted to full precision, against Newton steps."""
+    rows = _labelled(spark, sf_dir)
+    model = ids.fit_ids(rows, "label", [], ["l_quantity", "l_linenumber"], tol=1e-14)
+    scored = ids.probability_of_one(ids.score(model, rows))
+    return scored.select(*FLOW_KEY, "label", rounded("score", 4).alias("score"))
+
+
 def _flow_run(spark: SparkSession, sf_dir: str, **settings):
     return train_detection(
         flows(spark, sf_dir), FLOW_KEY, "verdict", "BENIGN", ["source_ip", "dest_ip"], FLOW_NUMERICS,
@@ -239,11 +300,60 @@ def anomaly_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("l_orderkey", rounded("anomaly_score").alias("anomaly_score"))
 
 
-@query("anomaly_5d")
+# The two leading axes of the 5 x 5 covariance: squaring a matrix again and
+# again leaves the projector on its leading axis; the second axis comes from
+# the matrix with the first one taken out.
+_FEATURES = ["x1", "x2", "x3", "x4", "x5"]
+_SQUARED = """list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j:
+               list_sum(list_transform(range(1, 6), lambda k: m[i][k] * m[k][j]))))"""
+_TRACE = "list_sum(list_transform(range(1, 6), lambda i: m[i][i]))"
+
+
+def _leading_sql(name: str, source: str) -> str:
+    """Projector on the leading axis of the matrix in ``source``."""
+    normed = f"list_transform(m, lambda r: list_transform(r, lambda x: x / {_TRACE}))"
+    return f"""
+      {name}_steps(i, m) as (
+        select 0, {normed} from {source}
+        union all
+        select i + 1, {normed} from (select i, {_SQUARED} as m from {name}_steps where i < 24)),
+      {name} as (select m from {name}_steps where i = 24)"""
+
+
+ANOMALY_SQL = f"""
+  with recursive s as (
+    select {", ".join("t." + k for k in FLOW_KEY)},
+           {", ".join(f"(t.{c} - lo.{c}) / (hi.{c} - lo.{c})::double as x{i}" for i, c in enumerate(FLOW_NUMERICS, 1))}
+    from (select l_orderkey, l_partkey, l_suppkey, {", ".join(FLOW_NUMERICS)} from lineitem) t,
+         (select {", ".join(f"min({c}) as {c}" for c in FLOW_NUMERICS)} from lineitem) lo,
+         (select {", ".join(f"max({c}) as {c}" for c in FLOW_NUMERICS)} from lineitem) hi),
+  cov as (select [{", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in _FEATURES) + "]" for a in _FEATURES)}] as m
+          from s),
+  {_leading_sql("one", "cov")},
+  rest as (
+    select list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j: a[i][j] - size * o[i][j])) as m
+    from (select cov.m as a, one.m as o,
+                 list_sum(list_transform(range(1, 6), lambda i:
+                   list_sum(list_transform(range(1, 6), lambda j: cov.m[i][j] * one.m[j][i])))) as size
+          from cov, one)),
+  {_leading_sql("two", "rest")},
+  mean as (select {", ".join(f"avg({x}) as {x}" for x in _FEATURES)} from s),
+  z as (select {", ".join("s." + k for k in FLOW_KEY)}, [{", ".join(f"s.{x} - mean.{x}" for x in _FEATURES)}] as z
+        from s, mean),
+  d as (
+    select {", ".join(FLOW_KEY)},
+           sqrt(list_sum(list_transform(range(1, 6), lambda i:
+             power(z[i] - list_sum(list_transform(range(1, 6), lambda j: (o[i][j] + w[i][j]) * z[j])), 2)))) as dist
+    from z, (select one.m as o, two.m as w from one, two))
+  select {", ".join(FLOW_KEY)}, round((dist - lo) / (hi - lo), 5) as anomaly_score
+  from d, (select min(dist) as lo, max(dist) as hi from d)"""
+
+
+@query("anomaly_5d", ANOMALY_SQL)
 def anomaly_5d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flows(spark, sf_dir)
     scored = anomaly.anomaly_score(anomaly.fit_anomaly(rows, FLOW_NUMERICS, k=2), rows)
-    return scored.select(*FLOW_KEY, rounded("anomaly_score").alias("anomaly_score"))
+    return scored.select(*FLOW_KEY, rounded("anomaly_score", 5).alias("anomaly_score"))
 
 
 @query("anomaly_embeddings")
@@ -286,12 +396,37 @@ def mlp_train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minmax(_labelled(spark, sf_dir), ["l_quantity", "l_linenumber"], suffix="_score")
     cols = ["l_quantity_score", "l_linenumber_score"]
-    return stack.score_stack(stack.fit_stack(rows, cols, "label"), rows)
+    return stack.score_stack(stack.fit_stack(rows, cols, "label", max_iter=500, tol=1e-14), rows)
+
+
+# Proximal gradient steps on the same objective: both slopes are shrunk towards
+# zero by step * 0.01 (soft threshold) and pulled by 0.02 per unit.
+STACK_SQL = f"""
+  with recursive f as (
+    select *, (l_quantity - q0) / (q1 - q0) as x, (l_linenumber - n0) / (n1 - n0)::double as z
+    from ({FLOW_SQL}), (select min(l_quantity) q0, max(l_quantity) q1, min(l_linenumber) n0,
+                               max(l_linenumber) n1 from lineitem)),
+  {CELLS_SQL},
+  prox(i, b, u, v) as (
+    select 0, 0.0::double, 0.0::double, 0.0::double
+    union all
+    select i + 1, b - 1.2 * g0,
+           sign(u - 1.2 * gx) * greatest(abs(u - 1.2 * gx) - 1.2 * 0.01, 0),
+           sign(v - 1.2 * gz) * greatest(abs(v - 1.2 * gz) - 1.2 * 0.01, 0)
+    from (select i, b, u, v,
+            {_cell_sum("c.n*p(c.x, c.z, b, u, v) - c.s")} / total as g0,
+            {_cell_sum("c.x*(c.n*p(c.x, c.z, b, u, v) - c.s)")} / total + 0.02 * u as gx,
+            {_cell_sum("c.z*(c.n*p(c.x, c.z, b, u, v) - c.s)")} / total + 0.02 * v as gz
+          from prox, cells where i < 1500)),
+  s as (select f.*, p(x, z, b, u, v) as raw from f, prox where i = 1500)
+  select l_orderkey, l_partkey, l_suppkey, l_linenumber, label,
+         round((raw - lo) / (hi - lo), 3) as combined_score
+  from s, (select min(raw) lo, max(raw) hi from s)"""
 
 
-@query("stack_score")
+@query("stack_score", _expand(STACK_SQL))
 def stack_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stacked(spark, sf_dir).select(*FLOW_KEY, "label", rounded("combined_score", 4).alias("combined_score"))
+    return _stacked(spark, sf_dir).select(*FLOW_KEY, "label", rounded("combined_score", 3).alias("combined_score"))
 
 
 @query("stack_uninformative", "select l_orderkey, 0.0::double as combined_score from lineitem")

@@ -50,6 +50,19 @@ def test_large_selection_equals_top_n(spark, monkeypatch):
     assert select.smallest(df, "v", 0).count() == 0
 
 
+def test_selection_with_hot_and_missing_order_values(spark, monkeypatch):
+    monkeypatch.setattr(select, "SMALL_LIMIT", 5)
+    monkeypatch.setattr(select, "LISTABLE", 20)
+    df = spark.range(900).selectExpr("id", "case when id % 3 = 0 then 7 when id % 30 = 1 then null else id end as v")
+    values = sorted((r["v"] is not None, r["v"] or 0) for r in df.collect())
+    for n in (3, 20, 31, 100, 250, 400, 900):
+        got = select.smallest(df, "v", n).collect()
+        assert len({r["id"] for r in got}) == n
+        assert sorted((r["v"] is not None, r["v"] or 0) for r in got) == values[:n]
+    same = spark.range(50).selectExpr("1 as v")
+    assert select.smallest(same, "v", 20).count() == 20
+
+
 def test_limit_rows(spark):
     df = spark.range(100).selectExpr("id", "cast(id as string) as name")
     assert [r[0] for r in sampling.limit_rows(df, 3, "id").collect()] == [0, 1, 2]
