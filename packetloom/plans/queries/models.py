@@ -300,26 +300,49 @@ def anomaly_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("l_orderkey", rounded("anomaly_score").alias("anomaly_score"))
 
 
-# The two leading axes of the 5 x 5 covariance: squaring a matrix again and
+# The two leading axes of a covariance matrix: squaring a matrix again and
 # again leaves the projector on its leading axis; the second axis comes from
 # the matrix with the first one taken out.
 _FEATURES = ["x1", "x2", "x3", "x4", "x5"]
-_SQUARED = """list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j:
-               list_sum(list_transform(range(1, 6), lambda k: m[i][k] * m[k][j]))))"""
-_TRACE = "list_sum(list_transform(range(1, 6), lambda i: m[i][i]))"
 
 
-def _leading_sql(name: str, source: str) -> str:
-    """Projector on the leading axis of the matrix in ``source``."""
-    normed = f"list_transform(m, lambda r: list_transform(r, lambda x: x / {_TRACE}))"
+def _leading_sql(name: str, source: str, n: int) -> str:
+    """Projector on the leading axis of the n x n matrix in ``source``."""
+    all_n = f"range(1, {n + 1})"
+    trace = f"list_sum(list_transform({all_n}, lambda i: m[i][i]))"
+    normed = "list_transform(m, lambda r: list_transform(r, lambda x: x / t))"
+    squared = f"""list_transform({all_n}, lambda i: list_transform({all_n}, lambda j:
+                    list_sum(list_transform({all_n}, lambda k: m[i][k] * m[k][j]))))"""
     return f"""
       {name}_steps(i, m) as (
-        select 0, {normed} from {source}
+        select 0, {normed} from (select m, {trace} as t from {source})
         union all
-        select i + 1, {normed} from (select i, {_SQUARED} as m from {name}_steps where i < 24)),
+        select i + 1, {normed}
+        from (select i, m, {trace} as t from (select i, {squared} as m from {name}_steps where i < 24))),
       {name} as (select m from {name}_steps where i = 24)"""
 
 
+def _two_axes_sql(n: int) -> str:
+    """Projectors ``one`` and ``two`` on the leading axes of the matrix in ``cov``."""
+    all_n = f"range(1, {n + 1})"
+    return f"""
+      {_leading_sql("one", "cov", n)},
+      rest as (
+        select list_transform({all_n}, lambda i: list_transform({all_n}, lambda j: a[i][j] - size * o[i][j])) as m
+        from (select cov.m as a, one.m as o,
+                     list_sum(list_transform({all_n}, lambda i:
+                       list_sum(list_transform({all_n}, lambda j: cov.m[i][j] * one.m[j][i])))) as size
+              from cov, one)),
+      {_leading_sql("two", "rest", n)}"""
+
+
+def _distance_sql(n: int) -> str:
+    """Distance of ``z`` to the plane of both axes (o and w)."""
+    all_n = f"range(1, {n + 1})"
+    return f"""sqrt(list_sum(list_transform({all_n}, lambda i:
+                 power(z[i] - list_sum(list_transform({all_n}, lambda j: (o[i][j] + w[i][j]) * z[j])), 2))))"""
+
+
 ANOMALY_SQL = f"""
   with recursive s as (
     select {", ".join("t." + k for k in FLOW_KEY)},
@@ -329,21 +352,12 @@ ANOMALY_SQL = f"""
          (select {", ".join(f"max({c}) as {c}" for c in FLOW_NUMERICS)} from lineitem) hi),
   cov as (select [{", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in _FEATURES) + "]" for a in _FEATURES)}] as m
           from s),
-  {_leading_sql("one", "cov")},
-  rest as (
-    select list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j: a[i][j] - size * o[i][j])) as m
-    from (select cov.m as a, one.m as o,
-                 list_sum(list_transform(range(1, 6), lambda i:
-                   list_sum(list_transform(range(1, 6), lambda j: cov.m[i][j] * one.m[j][i])))) as size
-          from cov, one)),
-  {_leading_sql("two", "rest")},
+  {_two_axes_sql(5)},
   mean as (select {", ".join(f"avg({x}) as {x}" for x in _FEATURES)} from s),
   z as (select {", ".join("s." + k for k in FLOW_KEY)}, [{", ".join(f"s.{x} - mean.{x}" for x in _FEATURES)}] as z
         from s, mean),
   d as (
-    select {", ".join(FLOW_KEY)},
-           sqrt(list_sum(list_transform(range(1, 6), lambda i:
-             power(z[i] - list_sum(list_transform(range(1, 6), lambda j: (o[i][j] + w[i][j]) * z[j])), 2)))) as dist
+    select {", ".join(FLOW_KEY)}, {_distance_sql(5)} as dist
     from z, (select one.m as o, two.m as w from one, two))
   select {", ".join(FLOW_KEY)}, round((dist - lo) / (hi - lo), 5) as anomaly_score
   from d, (select min(dist) as lo, max(dist) as hi from d)"""
@@ -356,13 +370,29 @@ def anomaly_5d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*FLOW_KEY, rounded("anomaly_score", 5).alias("anomaly_score"))
 
 
-@query("anomaly_embeddings")
+EMBEDDING_SQL = f"""
+  with recursive e as (select vec_id, i, embedding[i]::double as v from embeddings, range(1, 65) t(i)),
+  s as (select vec_id, i, (v - lo) / (hi - lo) as x
+        from e join (select i, min(v) as lo, max(v) as hi from e group by i) using (i)),
+  cov as (select list(r order by i) as m
+          from (select i, list(c order by j) as r
+                from (select a.i, b.i as j, covar_samp(a.x, b.x) as c from s a join s b using (vec_id) group by a.i, b.i)
+                group by i)),
+  {_two_axes_sql(64)},
+  z as (select vec_id, list(x - mean order by i) as z
+        from s join (select i, avg(x) as mean from s group by i) using (i) group by vec_id),
+  d as (select vec_id, {_distance_sql(64)} as dist from z, (select one.m as o, two.m as w from one, two))
+  select vec_id, round((dist - lo) / (hi - lo), 5) as anomaly_score
+  from d, (select min(dist) as lo, max(dist) as hi from d)"""
+
+
+@query("anomaly_embeddings", EMBEDDING_SQL)
 def anomaly_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     wide = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     cols = wide.columns[1:]
-    scored = anomaly.anomaly_score(anomaly.fit_anomaly(wide, cols, k=8), wide)
-    return scored.select("vec_id", rounded("anomaly_score").alias("anomaly_score"))
+    scored = anomaly.anomaly_score(anomaly.fit_anomaly(wide, cols, k=2), wide)
+    return scored.select("vec_id", rounded("anomaly_score", 5).alias("anomaly_score"))
 
 
 @query("anomaly_conv1d")
