@@ -13,8 +13,9 @@ LOSS_EPSILON = 1e-7
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Counts for every (actual, predicted) pair of the classes that occur as labels.
 
-    Rows come from one grouped count; the class grid is built from that small
-    result, so classes never predicted still show with 0.
+    The rows are read once, by a grouped count. Its result is no larger than
+    the matrix, so it is packed into one row to learn the classes, and zeros
+    for all pairs are added before the final sum.
     """
     counts = (
         df.filter(named(label).isNotNull())
@@ -24,14 +25,19 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    grid = (
-        counts.agg(F.array_sort(F.collect_set("actual")).alias("classes"))
-        .select(F.explode("classes").alias("actual"), "classes")
-        .select("actual", F.explode("classes").alias("predicted"))
+    packed = counts.agg(
+        F.collect_list(F.struct("actual", "predicted", "n")).alias("cells"),
+        F.array_sort(F.collect_set("actual")).alias("classes"),
+    )
+    known = F.expr("filter(cells, c -> array_contains(classes, c.predicted))")
+    zeros = F.expr(
+        """flatten(transform(classes, a -> transform(classes, p ->
+             named_struct('actual', a, 'predicted', p, 'n', 0L))))"""
     )
     return (
-        grid.join(counts, ["actual", "predicted"], "left")
-        .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+        packed.select(F.inline(F.concat(known, zeros)))
+        .groupBy("actual", "predicted")
+        .agg(F.sum("n").alias("n"))
         .orderBy("actual", "predicted")
     )
 
