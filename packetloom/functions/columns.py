@@ -60,6 +60,11 @@ def key_digest(key: str | Sequence[str], seed: int | None = None) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def leading_number(digest: Column, hex_digits: int = 8) -> Column:
+    """Leading hex digits of a digest as a non-negative integer."""
+    return F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("bigint")
+
+
 def key_hash(key: str | Sequence[str], seed: int | None = None, hex_digits: int = 8) -> Column:
-    """Leading digits of the key digest as a non-negative integer."""
-    return F.conv(F.substring(key_digest(key, seed), 1, hex_digits), 16, 10).cast("bigint")
+    """Leading digits of the key digest; below ``HASH_SPACE`` for eight digits."""
+    return leading_number(key_digest(key, seed), hex_digits)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from packetloom.functions.columns import named
 from packetloom.operators.evaluate import with_detection_stats
@@ -57,7 +56,10 @@ def threshold_sweep(
         inputCol="mirrored",
         outputCol="slot",
     ).transform(mirrored)
-    histogram = slots.groupBy(F.col("slot").cast("int").alias("slot")).agg(
+    # The default never applies; it tells the optimizer that slots are not null,
+    # so the later join does not add a filter that buckets every row again.
+    slot = F.coalesce(F.col("slot").cast("int"), F.lit(len(points)))
+    histogram = slots.groupBy(slot.alias("slot")).agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
     steps = df.sparkSession.createDataFrame(
@@ -65,9 +67,9 @@ def threshold_sweep(
         T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("threshold", T.DoubleType())]),
     )
     # At most one row per grid point from here on, so one window task is enough.
-    upto = W.Window.orderBy("slot").rowsBetween(W.Window.unboundedPreceding, 0)
-    everything = W.Window.orderBy("slot").rowsBetween(
-        W.Window.unboundedPreceding, W.Window.unboundedFollowing
+    upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.orderBy("slot").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
     joined = steps.join(histogram, "slot", "left").select(
         "slot", "threshold", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg")
