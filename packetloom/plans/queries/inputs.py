@@ -12,7 +12,7 @@ FLOW_NUMERICS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
 FLOW_LAYOUT = EnsembleFormat(features=tuple(FLOW_NUMERICS), label="verdict")
 
 HOST_SQL = """
-  select event_id, 'host-' || (user_id % 7) as hostname, hour(ts) as hour, value as load,
+  select event_id, 'host-' || (user_id % 7) as hostname, cast(hour(ts) as integer) as hour, value as load,
          cast(regexp_extract(props, '[0-9]+') as double) / 100.0 as memutil,
          user_id / 150.0 as netutil
   from events"""
