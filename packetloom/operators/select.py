@@ -9,6 +9,7 @@ neither a hot value nor the table size matters.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -38,7 +39,7 @@ class Extent(NamedTuple):
 
 
 class Interval(NamedTuple):
-    """Part of a column's range that still holds a wanted rank."""
+    """Part of a column's range that holds a wanted rank, down to a single value."""
 
     column: int
     low: float | int
@@ -104,24 +105,25 @@ def _pass(values: DataFrame, intervals: Sequence[Interval], kind: str) -> list:
 
 def _at_ranks(
     values: DataFrame, extents: Sequence[Extent], wanted: Sequence[tuple[int, int]], kind: str
-) -> dict[tuple[int, int], float | int | None]:
-    """Value at each wanted (column, zero-based rank)."""
-    found: dict[tuple[int, int], float | int | None] = {}
+) -> dict[tuple[int, int], Interval | None]:
+    """The value at each wanted (column, zero-based rank), with its row counts."""
+    found: dict[tuple[int, int], Interval | None] = {}
     pending: dict[tuple[int, int], Interval] = {}
     for column, rank in set(wanted):
         extent = extents[column]
         if not 0 <= rank < extent.total:
             found[column, rank] = None
         elif rank < extent.under:
-            found[column, rank] = float("-inf")
+            found[column, rank] = Interval(column, -math.inf, -math.inf, 0, extent.under)
         elif rank >= extent.under + extent.inside:
-            found[column, rank] = float("inf")
+            below = extent.under + extent.inside
+            found[column, rank] = Interval(column, math.inf, math.inf, below, extent.over)
         else:
             pending[column, rank] = Interval(column, extent.low, extent.high, extent.under, extent.inside)
     while True:
         for place, part in list(pending.items()):
             if part.low == part.high:
-                found[place] = part.low
+                found[place] = part
                 del pending[place]
         if not pending:
             return found
@@ -138,15 +140,19 @@ def _at_ranks(
                 below += row["n"]
 
 
+def _single_column(df: DataFrame, col: str, ranks: Sequence[int]) -> list[Interval | None]:
+    kind = "bigint" if isinstance(df.schema[col].dataType, T.IntegralType) else "double"
+    values = _long_form(df, [col], kind)
+    found = _at_ranks(values, _extents(values, 1, kind), [(0, r) for r in ranks], kind)
+    return [found[0, r] for r in ranks]
+
+
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int]) -> list:
     """Values at the given zero-based ranks in ascending order.
 
     Null and NaN are skipped; a rank outside the data gives None.
     """
-    kind = "bigint" if isinstance(df.schema[col].dataType, T.IntegralType) else "double"
-    values = _long_form(df, [col], kind)
-    found = _at_ranks(values, _extents(values, 1, kind), [(0, r) for r in ranks], kind)
-    return [found[0, r] for r in ranks]
+    return [part and part.low for part in _single_column(df, col, ranks)]
 
 
 def quantiles(
@@ -167,7 +173,7 @@ def quantiles(
     for c, name in enumerate(cols):
         row: list[float | None] = [] if places[c] else [None] * len(probs)
         for place in places[c]:
-            lower, upper = (at[c, r] for r in neighbours(c, place))
+            lower, upper = (at[c, r].low for r in neighbours(c, place))
             share = place - int(place)
             row.append(float(lower if share == 0 or lower == upper else lower + (upper - lower) * share))
         result[name] = row
@@ -175,7 +181,7 @@ def quantiles(
 
 
 def smallest(df: DataFrame, order: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
-    """Exactly ``n`` rows with the smallest numeric ``order`` value, nulls first.
+    """Exactly ``n`` rows with the smallest numeric ``order`` value, nulls first, NaN last.
 
     Small ``n`` is a top-n. Beyond that the cut value is found first and the
     rows are then taken by a filter, so no task ever holds the result. ``ties``
@@ -190,16 +196,17 @@ def smallest(df: DataFrame, order: str, n: int, ties: Sequence[str] = ()) -> Dat
     missing = df.filter(value.isNull()).count()
     if n <= missing:
         return _among_equals(df.filter(value.isNull()), n, ties)
-    (cut,) = order_statistics(df, order, [n - missing - 1])
-    if cut is None:
-        return df
-    below, at = df.agg(
-        F.count_if(value.isNull() | (value < F.lit(cut))), F.count_if(value == F.lit(cut))
-    ).first()
-    if below + at == n:
-        return df.filter(value.isNull() | (value <= F.lit(cut)))
-    rest = _among_equals(df.filter(value == F.lit(cut)), n - below, ties)
-    return df.filter(value.isNull() | (value < F.lit(cut))).unionByName(rest)
+    (place,) = _single_column(df, order, [n - missing - 1])
+    if place is None:  # every value is taken, and NaN comes after all of them
+        last = F.isnan(value.cast("double")) & value.isNotNull()
+        ordered = df.filter(~last)
+        left = n - ordered.count()
+        return ordered.unionByName(_among_equals(df.filter(last), left, ties)) if left > 0 else ordered
+    cut, below = F.lit(place.low), missing + place.below
+    if below + place.inside == n:
+        return df.filter(value.isNull() | (value <= cut))
+    rest = _among_equals(df.filter(value == cut), n - below, ties)
+    return df.filter(value.isNull() | (value < cut)).unionByName(rest)
 
 
 def _among_equals(df: DataFrame, n: int, ties: Sequence[str]) -> DataFrame:

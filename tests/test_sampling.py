@@ -63,6 +63,14 @@ def test_selection_with_hot_and_missing_order_values(spark, monkeypatch):
     assert select.smallest(same, "v", 20).count() == 20
 
 
+def test_selection_puts_nan_last(spark, monkeypatch):
+    monkeypatch.setattr(select, "SMALL_LIMIT", 5)
+    df = spark.range(60).selectExpr("id", "case when id % 3 = 0 then double('nan') else double(id) end as v")
+    for n in (10, 40, 43, 50, 60, 70):
+        got = [r["v"] for r in select.smallest(df, "v", n).collect()]
+        assert len(got) == min(n, 60) and sum(v != v for v in got) == max(min(n, 60) - 40, 0)
+
+
 def test_limit_rows(spark):
     df = spark.range(100).selectExpr("id", "cast(id as string) as name")
     assert [r[0] for r in sampling.limit_rows(df, 3, "id").collect()] == [0, 1, 2]
