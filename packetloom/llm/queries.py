@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.bpe import bpe_encode
 from packetloom.llm.common import read_table
+from packetloom.llm.host_rules import host_rules
+from packetloom.llm.order_minhash import edited_likeness
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +39,63 @@ def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_order_minhash")
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
+HOST_RULES_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+wins AS (
+  SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS c FROM wins),
+covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words
+  FROM twice CROSS JOIN range(3) t(k) WHERE c > 1 GROUP BY r),
+again AS (
+  SELECT r, sum(c - 1) AS n_dup_lines
+  FROM (SELECT r, line, count(*) AS c FROM (SELECT r, unnest(lines) AS line FROM split) GROUP BY r, line)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (
+  SELECT doc_id, source AS host, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (r) LEFT JOIN again USING (r)),
+hosts AS (
+  SELECT host, count(*) AS n, unnest([
+    {'rule': 1, 'f': count(*) FILTER (n_words < 50)},
+    {'rule': 2, 'f': count(*) FILTER (100 * n_repeat_words > 50 * n_words)},
+    {'rule': 3, 'f': count(*) FILTER (10 * n_symbols > n_words)},
+    {'rule': 4, 'f': count(*) FILTER (10 * n_dup_lines > n_words)}]) AS x
+  FROM counts GROUP BY host),
+sums AS (
+  SELECT x.rule AS rule, sum(n) AS docs, sum(x.f) / sum(n) AS m,
+         sum(x.f * x.f / n) - sum(x.f) * sum(x.f) / sum(n) AS spread, count(*) AS hosts, sum(n * n) / sum(n) AS even
+  FROM hosts GROUP BY 1),
+priors AS (
+  SELECT rule, m, least(greatest(m * (1 - m) / greatest((spread - (hosts - 1) * m * (1 - m)) / greatest(docs - even, 1.0), 1e-9) - 1, 1.0), 1000.0) AS s
+  FROM sums),
+verdicts AS (
+  SELECT host, max((x.f + s * m) / (n + s)) > 0.8 AS host_failed
+  FROM hosts JOIN priors ON rule = x.rule GROUP BY host),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT host_failed AS kept, b.host AS host, host_failed
+FROM base b JOIN verdicts v ON b.host IS NOT DISTINCT FROM v.host
+"""
+
+
+@query("op2_host_rules", HOST_RULES_SQL)
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_failed"
+    )
