@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from packetloom.llm.bpe import bpe_encode
 from packetloom.llm.common import read_table
 from packetloom.llm.host_rules import host_rules
+from packetloom.llm.mixture import mix_sources
 from packetloom.llm.order_minhash import edited_likeness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +100,40 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_failed"
     )
+
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS symbols,
+         (CAST('0x' || substring(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+keyed AS (SELECT doc_id, source, size, -ln(u) / ((1.0 + size) / (1 + size + 4 * symbols)) AS key FROM sized),
+sources AS (SELECT source, sum(size) AS source_size FROM keyed GROUP BY source),
+weighed AS (
+  SELECT *, 3.0 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0 AS weight FROM sources),
+leveled AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size,
+         least(CAST(cap AS DOUBLE), CAST(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight AS DOUBLE)) AS target FROM leveled),
+parts AS (SELECT *, coalesce(CAST(floor(target / nullif(source_size, 0)) AS BIGINT), 0) AS epochs FROM targets),
+placed AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS through
+  FROM keyed k JOIN parts p ON k.source IS NOT DISTINCT FROM p.source),
+gaps AS (SELECT *, rest - coalesce(max(CASE WHEN through <= rest THEN through END) OVER (PARTITION BY source), 0) AS gap FROM placed),
+fills AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN through > rest AND size > 0 AND abs(gap - size) < gap THEN abs(gap - size) END NULLS LAST, key, doc_id) AS nearest
+  FROM gaps)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * (epochs + CASE WHEN through <= rest OR (nearest = 1 AND size > 0 AND abs(gap - size) < gap) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM fills
+"""
+
+
+@query("op8_mix_sources", MIX_SQL)
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
