@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterable
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,16 @@ from packetloom.llm.common import map_blocks
 
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+#: The same split for texts without code points above U+024F: letters, numbers and spaces of that range spelt out.
+LAST_LATIN = "\u024f"
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PATTERN = f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pre-tokens whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Bytes of a word up to which whole blocks of words are merged as arrays.
+SHORT = 48
+#: The rank of a pair that doesn't merge.
+NONE = np.int32(2**31 - 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,49 +47,58 @@ class Codec:
         special = {x["content"]: x["id"] for x in given["added_tokens"]}
         self.bytes_of = {i: b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in piece) for piece, i in vocab.items()}
         self.bytes_of |= {i: piece.encode() for piece, i in special.items()}
-        self.first = [0] * 256
+        self.first = np.zeros(256, np.int32)
         for letter, b in letters.items():
             self.first[b] = vocab[letter]
-        self.rank, self.merged = {}, {}
-        for r, pair in enumerate(given["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[key := vocab[a] << 20 | vocab[b]] = r
-            self.merged[key] = vocab[a + b]
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in given["model"]["merges"]]
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        self.pairs = [(vocab[a], vocab[b]) for a, b in pairs]
+        self.rank = {x: r for r, x in enumerate(self.pairs)}
+        self.rank_of = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.rank_of]
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.split = regex.compile(PATTERN)
+        every, latin, beyond = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall, re.compile(f"[^\0-{LAST_LATIN}]").search
+        self.split = lambda text: (every if beyond(text) else latin)(text)
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.cut is None or not any(x in text for x in self.special):
-            return self.split.findall(text)
-        return [x for part in self.cut.split(text) for x in ([part] if part in self.special else self.split.findall(part))]
+            return self.split(text)
+        return [x for part in self.cut.split(text) for x in ([part] if part in self.special else self.split(part))]
 
     def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word. All words lie in one row of symbols, parted by -1.
-
-        ``places`` maps each mergeable pair to the positions of its left symbols. The active pair of
-        lowest rank is merged at all its positions from left to right; only the lists of the pairs
-        beside a merge change. A merge makes a piece that only higher ranks use, so ascending ranks
-        give what each word alone would.
+        """Ids of each word."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        long = [i for i, w in enumerate(words) if len(w) > SHORT]
+        made: list = [None] * len(words)
+        for at, merge in ((short, self._merge_short), (long, self._merge_long)):
+            for i, ids in zip(at, merge([words[i] for i in at]) if at else (), strict=True):
+                made[i] = ids
+        return made
+
+    def _merge_long(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """All words lie in one row of symbols, parted by -1. ``places`` maps each mergeable pair to the
+        positions of its left symbols. The active pair of lowest rank is merged at all its positions from
+        left to right; only the lists of the pairs beside a merge change. A merge makes a piece that only
+        higher ranks use, so ascending ranks give what each word alone would.
         """
-        row: list[int] = []
-        starts = []
-        for word in words:
-            starts.append(len(row))
-            row.extend([self.first[b] for b in word])
-            row.append(-1)
+        row = self.first[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        row[np.cumsum(np.fromiter(map(len, words), np.int64) + 1) - 1] = -1
+        ends = np.flatnonzero(row < 0).tolist()
+        ranks = np.full(len(row), NONE, np.int32)
+        self._look_up(row, ranks, np.arange(len(row) - 1))
+        places: dict[int, list[int]] = {}  # by rank, which names the pair
+        for i in np.flatnonzero(ranks != NONE).tolist():
+            places.setdefault(int(ranks[i]), []).append(i)
+        row = row.tolist()
         after, before = list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
-        rank, merged = self.rank, self.merged
-        places: dict[int, list[int]] = {}
-        for i, (a, b) in enumerate(pairwise(row)):
-            if a >= 0 and b >= 0 and (key := a << 20 | b) in rank:
-                places.setdefault(key, []).append(i)
-        active = [(rank[key], key) for key in places]
+        active = list(places)
         heapq.heapify(active)
         while active:
-            key = heapq.heappop(active)[1]
-            a, b, new = key >> 20, key & 0xFFFFF, merged[key]
-            for i in sorted(places.pop(key)):
+            r = heapq.heappop(active)
+            a, b, new = *self.pairs[r], int(self.merged[r])
+            for i in sorted(places.pop(r)):
                 j = after[i]
                 if row[i] != a or row[j] != b:
                     continue
@@ -88,14 +106,56 @@ class Codec:
                 k = after[i] = after[j]
                 before[k] = i
                 for left, x, y in ((before[i], row[before[i]] if before[i] >= 0 else -1, new), (i, new, row[k])):
-                    if x >= 0 and y >= 0 and (near := x << 20 | y) in rank:
+                    if x >= 0 and y >= 0 and (near := self.rank.get((x, y))) is not None:
                         if near in places:
                             places[near].append(left)
                         else:
                             places[near] = [left]
-                            heapq.heappush(active, (rank[near], near))
-        ends = [*starts[1:], len(row)]
-        return [tuple(x for x in row[s:e] if x >= 0) for s, e in zip(starts, ends, strict=True)]
+                            heapq.heappush(active, near)
+        return [tuple(x for x in row[s:e] if x >= 0) for s, e in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
+    def _merge_short(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The same index as arrays, for the many short words: at each position the rank of the pair that
+        starts there, or ``NONE``. A sweep takes, in every word at once, all places of its lowest active
+        rank (of a run like aaaa every second one, from the left) and looks up only the pairs beside them.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        row = self.first[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        row[np.cumsum(sizes) - 1] = -1
+        rank = np.full(len(row), NONE, np.int32)
+        self._look_up(row, rank, np.arange(len(row) - 1))
+        which, made = np.arange(len(words)), [()] * len(words)
+        while len(which):
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            least = np.minimum.reduceat(rank, starts)
+            over = least == NONE
+            if over.any():
+                for w, s, e in zip(which[over].tolist(), starts[over].tolist(), (starts + sizes)[over].tolist(), strict=True):
+                    made[w] = tuple(row[s : e - 1].tolist())
+                stay = np.repeat(~over, sizes)
+                row, rank, which, sizes, least = row[stay], rank[stay], which[~over], sizes[~over], least[~over]
+                if not len(which):
+                    break
+            found = np.flatnonzero(rank == np.repeat(least, sizes))
+            index = np.arange(len(found))
+            fresh = np.ones(len(found), bool)
+            fresh[1:] = found[1:] != found[:-1] + 1
+            chosen = found[(index - np.maximum.accumulate(np.where(fresh, index, 0))) % 2 == 0]
+            word = np.repeat(np.arange(len(sizes)), sizes)[chosen]
+            row[chosen] = self.merged[rank[chosen]]
+            keep = np.ones(len(row), bool)
+            keep[chosen + 1] = False
+            at = chosen - np.arange(len(chosen))
+            row, rank = row[keep], rank[keep]
+            sizes = sizes - np.bincount(word, minlength=len(sizes))
+            self._look_up(row, rank, np.concatenate([at, at[at > 0] - 1]))
+        return made
+
+    def _look_up(self, row: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        a, b = row[at].astype(np.int64), row[at + 1].astype(np.int64)
+        keys = np.where((a < 0) | (b < 0), -1, a << 20 | b)
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        rank[at] = np.where(self.keys[found] == keys, self.rank_of[found], NONE)
 
     def encode(self, texts: Iterable[str]) -> list[list[int]]:
         pieces = [self.pre_tokens(text) for text in texts]

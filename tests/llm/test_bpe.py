@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from packetloom.llm.bpe import Codec, bpe_decode, bpe_encode
+from packetloom.llm.bpe import LATIN_PATTERN, PATTERN, Codec, bpe_decode, bpe_encode
 from packetloom.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,14 +29,26 @@ def codec():
 def test_same_ids_as_the_library(codec, library):
     rng = random.Random(5)
     letters = "abcaaa  the ing\n\t'sll0159ñüß.,|%<>…日本語кот \u0085 \x1c\x1f᠎​😀é<|endoftext|>"
-    texts = ["", " ", "a" * 3000, "ab" * 999, "<|endoftext|>x<|endoftext|><|endoftext|>", "<|endof", " \n \n  x", "don't we'll"]
+    texts = ["", " ", "a" * 3000, "aab" * 500 + "aaaaa", "b" + "a" * 777, "ab" * 999, "<|endoftext|>x<|endoftext|><|endoftext|>", "<|endof", " \n \n  x", "don't we'll"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(3000)]
+    texts += ["".join(rng.choice("abeinrst") for _ in range(rng.randint(1, 200))) for _ in range(1000)]
     texts += [f"{x}<|endoftext|> {x}" for x in texts[-50:]]
     ids = codec.encode(texts)
     assert ids == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     assert [codec.decode(x) for x in ids] == texts == library.decode_batch(ids, skip_special_tokens=False)
 
 
+def test_latin_pattern_is_the_general_one():
+    every, latin = regex.compile(PATTERN), re.compile(LATIN_PATTERN)
+    rng = random.Random(8)
+    for i in range(0x250):
+        text = f"a{chr(i)}1 {chr(i)}{chr(i)} '{chr(i)} .{chr(i)}s"
+        assert every.findall(text) == latin.findall(text), i
+    for _ in range(3000):
+        text = "".join(rng.choice("  \n\t\xa0\x85\x1c'sdlrevm.,1²½aßÿ") for _ in range(30))
+        assert every.findall(text) == latin.findall(text)
+
+
 def test_invalid_bytes_decode_like_the_library(codec, library):
     rng = random.Random(6)
     for _ in range(300):
