@@ -14,6 +14,7 @@ from packetloom.llm.host_rules import host_rules
 from packetloom.llm.jaccard_tree import jaccard_components
 from packetloom.llm.mixture import mix_sources
 from packetloom.llm.order_minhash import edited_likeness
+from packetloom.llm.seed_extend import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +162,26 @@ LEFT JOIN (SELECT a, min(b) AS least_b FROM reach GROUP BY a) r ON r.a = s.doc_i
 @query("op6_signature_tree_join", JACCARD_SQL)
 def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+REPEATS_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split),
+wins AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS w FROM starts),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS owner FROM wins) WHERE owner < doc_id),
+covered AS (SELECT DISTINCT doc_id, i + k AS i FROM again CROSS JOIN range(13) t(k)),
+words AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split),
+kept AS (
+  SELECT w.doc_id, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.i) FILTER (c.i IS NULL), '') AS kept
+  FROM words w LEFT JOIN covered c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY w.doc_id)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
+
+
+@query("op7_seed_extend", REPEATS_SQL)
+def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
+    return made.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
