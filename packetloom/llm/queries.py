@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.llm import pu_quality, toxic_cnn
 from packetloom.llm.bpe import bpe_encode
-from packetloom.llm.common import read_table
+from packetloom.llm.common import fold, read_table
 from packetloom.llm.host_rules import host_rules
 from packetloom.llm.jaccard_tree import jaccard_components
 from packetloom.llm.mixture import mix_sources
@@ -185,3 +186,17 @@ def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = remove_repeats(read_table(spark, sf_dir, "documents"))
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
     return made.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_pu_quality")
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    made = pu_quality.score(docs, pu_quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return made.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= pu_quality.ACCEPT).cast("int").alias("predicted"))
+
+
+@query("op4_toxic_cnn")
+def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    made = toxic_cnn.score(docs, toxic_cnn.train(docs, read_table(spark, sf_dir, "labels")))
+    return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxic_cnn.TOXIC).cast("int").alias("predicted"), "threshold", "flagged")
