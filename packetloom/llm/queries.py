@@ -15,8 +15,12 @@ from packetloom.llm.host_rules import host_rules
 from packetloom.llm.jaccard_tree import jaccard_components
 from packetloom.llm.mixture import mix_sources
 from packetloom.llm.order_minhash import edited_likeness
+from packetloom.llm.pii import pseudonymise
 from packetloom.llm.seed_extend import remove_repeats
+from packetloom.llm.trie_counts import token_counts
 
+#: Stands for the secret key that a user passes to the surrogates.
+PII_KEY = b"key of the registered query"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +204,14 @@ def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     made = toxic_cnn.score(docs, toxic_cnn.train(docs, read_table(spark, sf_dir, "labels")))
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxic_cnn.TOXIC).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+@query("op3_trie_token_counts")
+def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_pii_surrogates")
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, spans="entities")
+    return made.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")

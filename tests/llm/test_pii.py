@@ -1,0 +1,107 @@
+"""Kinds, formats, coreference, distinctness under forced collisions, untouched texts."""
+
+import random
+import re
+
+import pytest
+
+from packetloom.llm import pii
+from packetloom.llm.pii import GIVEN, entities, luhn, pseudonymise, replaced, surrogate
+
+KEY = b"test key"
+CASES = {
+    "email": ["erthaly.34@mail7.example.com", "Jo_Doe+x@sub.site.co.uk"],
+    "phone": ["+1 (017) 555-7713", "+49 30 1234567", "(212) 555-0199", "212-555-0199", "+442071838750"],
+    "card": ["4929348385146306", "4111 1111 1111 1111", "2390409500648960"],
+    "ipv4": ["97.51.17.173", "10.0.0.7", "192.168.1.5", "172.20.3.4"],
+    "ssn": ["078-05-1120"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "secret": ["04dbebab91ab85687d33eeaaf9ac699e1188f962"],
+}
+
+
+@pytest.mark.parametrize("kind", CASES)
+def test_kinds_and_formats(kind):
+    for found in CASES[kind]:
+        text = f"on the {found}, or (so) it said"
+        assert [(k, e) for _, _, k, e in entities(text)] == [(kind, found)], found
+        new, spans = replaced(text, KEY, {})
+        made = new[spans[0][0] : spans[0][1]]
+        assert found not in new and new == text.replace(found, made)
+        assert [k for _, _, k, _ in entities(new)] == [kind]
+        if kind in ("phone", "card", "ssn", "secret"):
+            assert re.sub(r"\d", "0", re.sub("[a-f]", "0", made)) == re.sub(r"\d", "0", re.sub("[a-f]", "0", found))
+        if kind == "card":
+            assert luhn(re.sub(r"\D", "", made)) == luhn(re.sub(r"\D", "", found)) and made[0] == found[0]
+        if kind == "phone" and found.startswith("+1 "):
+            assert made.startswith("+1 (")
+        if kind == "ipv4" and found.startswith(("10.", "192.168.", "172.")):
+            assert made.split(".")[0] == found.split(".")[0]
+        if kind == "iban":
+            plain = re.sub(r"\s", "", made)
+            assert made[:2] == found[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_keyed_secrets_and_names():
+    text = 'api_key = "Zx81kQpT77aa" and token: abcdef0123456789'
+    assert [e for *_, e in entities(text)] == ["Zx81kQpT77aa", "abcdef0123456789"]
+    for text, kind, script, gender in (
+        ("said Mr. Smith to", "name:latin:m", "latin", "m"),
+        ("said Mrs Anna Smith to", "name:latin:f", "latin", "f"),
+        ("sagte Frau Müller-Berg dann", "name:latin:f", "latin", "f"),
+        ("by Dr. Maria Lopez in", "name:latin:f", "latin", "f"),
+        ("and Robert Jones went", "name:latin:m", "latin", "m"),
+        ("Госпожа Анна Петрова была", "name:cyrillic:f", "cyrillic", "f"),
+    ):
+        (start, end, got, found), = entities(text)
+        assert got == kind
+        made = surrogate(KEY, kind, found)
+        assert len(made.split()) == len(found.split()) and pii.script(made) == script
+        if len(found.split()) > 1:
+            assert made.split()[0] in GIVEN[script][gender]
+
+
+def test_clean_texts_stay():
+    for text in ("", "The and attion to thanedble the, anea.", "In 1999 there were 12 of 3.5 or 10,000.", "see 1.2.3 and 2024-01-02", "Des enberge die Keyes"):
+        assert replaced(text, KEY, {}) == (text, [])
+
+
+def rows(spark, n=400):
+    rng = random.Random(1)
+    out = [(i, f"call +1 ({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d} or a.{i}@x.org from 10.0.0.{rng.randrange(9)}", "en") for i in range(n)]
+    out += [(1000, None, None), (1001, "", "en"), (None, "a.1@x.org", "en"), out[5], out[5]]
+    return spark.createDataFrame(out, "doc_id long, text string, entity string").repartition(5)
+
+
+def check(docs, made):
+    assert made.columns == docs.columns and made.count() == docs.count()
+    before = {(r.doc_id, r.entity): r.text for r in docs.collect()}
+    mapping = {}
+    for r in made.collect():
+        old = before[r.doc_id, r.entity]
+        if not old:
+            assert r.text == old
+            continue
+        a, b = entities(old), entities(r.text)
+        assert [k for _, _, k, _ in a] == [k for _, _, k, _ in b]
+        for (*_, x), (*_, y) in zip(a, b, strict=True):
+            assert mapping.setdefault(x, y) == y and x != y
+    assert len(set(mapping.values())) == len(mapping) and not set(mapping) & set(mapping.values())
+
+
+def test_coreference_and_distinctness(spark):
+    docs = rows(spark)
+    check(docs, pseudonymise(docs, KEY))
+    assert {r.text for r in pseudonymise(docs, KEY).collect()} == {r.text for r in pseudonymise(docs.repartition(2), KEY).collect()}
+    assert {r.text for r in pseudonymise(docs, b"another").collect()} != {r.text for r in pseudonymise(docs, KEY).collect()}
+    assert pseudonymise(docs.limit(0), KEY).count() == 0
+    spans = pseudonymise(docs, KEY, spans="spans").where("size(spans) > 0").first()
+    assert [k for _, _, k, _ in entities(spans.text)] == [s.kind for s in spans.spans]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_collisions_are_resolved(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW_ATTEMPTS", few)
+    docs = spark.createDataFrame([(i, f"from 192.168.0.{1 + i % 120} there", "x") for i in range(400)], "doc_id long, text string, entity string")
+    key = next(k for k in (b"%d" % i for i in range(50)) if len({surrogate(k, "ipv4", f"192.168.0.{j}") for j in range(1, 121)}) < 120)
+    check(docs, pseudonymise(docs, key))
