@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import materialize
+from packetloom.llm.common import heavy_light_join, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source that a task sorts, on average.
@@ -47,23 +47,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
     return leveled.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: str = "mix"
-) -> DataFrame:
-    """One row a document: ``doc_id``, ``size`` (words), ``source``, ``source_size``, ``target``, ``copies``, ``taken`` = size x copies.
+def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
+    """``docs`` with ``__size`` (words) and ``__key``."""
+    symbols = F.coalesce(F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", "")), F.lit(0))
+    rows = docs.withColumn("__size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
+    return rows.withColumn("__key", -F.log(uniform(F.col(doc_id), seed)) / quality_weight(F.col("__size"), symbols))
 
-    Copies are the complete epochs, floor(target / source_size), and one more for the documents that come
-    first by key while the words taken stay within the rest of the target. The document that would pass it
-    is skipped for the one left whose size is nearest to the gap, if taking that brings the sum nearer.
-    Documents are taken whole. Null and empty texts have size 0 and key order as any other; a source
-    without words has target 0. Keys depend on the id alone, so reruns agree; rows with equal ids share a key
-    and order by size. A source's rows are cut into slots of the key's range, summed apart and offset, so
-    that no task holds a source.
-    """
-    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))
-    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(symbols, F.lit(0)).alias("symbols"))
-    keyed = read.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size"), F.col("symbols")))
-    sizes = materialize(keyed.drop("symbols"), "mixture-sizes")
+
+def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Documents in key order with the words up to each, its source's target, epochs and rest; and each source's filling document."""
+    keyed = _keyed(docs, doc_id, text, source, seed).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"))
+    sizes = materialize(keyed, "mixture-sizes")
     slots = max(1, -(-sizes.count() // SLOT_ROWS))
     sizes = sizes.withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key"))) * slots), F.lit(slots - 1)).cast("long"))
     targets = source_targets(sizes, weights, most)
@@ -80,13 +74,51 @@ def mix_sources(
     gaps = gaps.select("source", (F.col("rest") - F.coalesce("full", F.lit(0))).alias("gap"))
     gaps = placed.select("source", "slot").distinct().join(gaps.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     left = _by_slot(placed.where("through > rest and size > 0"), gaps).where("abs(gap - size) < gap")
-    fills = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "doc_id", "through")).alias("fill"))
+    return placed, left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "doc_id", "through", "size")).alias("fill"))
+
+
+def mix_sources(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: str = "mix"
+) -> DataFrame:
+    """One row a document: ``doc_id``, ``size`` (words), ``source``, ``source_size``, ``target``, ``copies``, ``taken`` = size x copies.
+
+    Copies are the complete epochs, floor(target / source_size), and one more for the documents that come
+    first by key while the words taken stay within the rest of the target. The document that would pass it
+    is skipped for the one left whose size is nearest to the gap, if taking that brings the sum nearer.
+    Documents are taken whole. Null and empty texts have size 0 and key order as any other; a source
+    without words has target 0. Keys depend on the id alone, so reruns agree; rows with equal ids share a key
+    and order by size. A source's rows are cut into slots of the key's range, summed apart and offset, so
+    that no task holds a source.
+    """
+    placed, fills = _placed(docs, doc_id, text, source, weights, most, seed)
     fills = placed.select("source", "slot").distinct().join(fills.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("source", "slot", F.col("fill.through").alias("fill"))
     chosen = (F.col("through") <= F.col("rest")) | (F.col("through") == F.coalesce("fill", F.lit(-1))) & (F.col("size") > 0)
     out = _by_slot(placed, fills, "left").withColumn("copies", F.col("epochs") + chosen.cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: str = "mix"
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it.
+
+    A source's choice is its epochs, the last row by (key, id, size) that fits and the filling one, so rows are
+    chosen where they lie and texts of large sources aren't shuffled. Rows equal in id and size are chosen
+    alike. All columns stay.
+    """
+    placed, fills = _placed(docs, doc_id, text, source, weights, most, seed)
+    row = F.struct("key", "doc_id", "size")
+    plan = placed.groupBy("source").agg(F.count("*").alias("__n"), F.first("epochs").alias("__epochs"), F.max(F.when(F.col("through") <= F.col("rest"), row)).alias("__last"))
+    fills = fills.select(F.col("source").alias("of"), F.struct("fill.key", "fill.doc_id", "fill.size").alias("__fill"))
+    plan = materialize(plan.join(fills, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mixture-plan")
+    total = plan.agg(F.sum("__n")).first()[0] or 0
+    rows = heavy_light_join(_keyed(docs, doc_id, text, source, seed), plan.withColumnRenamed("source", source), source, "__n", total, ["__epochs", "__last", "__fill"])
+    own = F.struct(F.col("__key").alias("key"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"))
+    chosen = F.coalesce(own <= F.col("__last"), F.lit(False)) | F.coalesce((own == F.col("__fill")) & (F.col("__size") > 0), F.lit(False))
+    copies = (F.coalesce("__epochs", F.lit(0)) + chosen.cast("long")).cast("int")
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+
+
 def _by_slot(rows: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
     """Join on source, null being a source, and slot."""
     keyed = keyed.withColumnRenamed("source", "of").withColumnRenamed("slot", "part")
