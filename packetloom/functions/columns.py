@@ -25,6 +25,12 @@ def benign_as_zero(label: str, benign: str) -> Column:
     return F.when(named(label) == F.lit(benign), 0).otherwise(1)
 
 
+def is_finite(value: Column) -> Column:
+    """True for a number that is neither NaN nor infinite; false for null."""
+    value = value.cast("double")
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
+
+
 def exceeds(score: str, threshold: float | Column) -> Column:
     """Strictly above the threshold. A null or NaN score is never above it."""
     value = named(score).cast("double")

@@ -5,13 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from packetloom.functions.columns import named
-
-MAX_CATEGORIES = 100_000
-
 
 def index_name(col: str) -> str:
     return f"{col}_index"
@@ -51,15 +44,3 @@ def hash_features(cols: Sequence[str], n: int = 2**18, out: str = "hashed") -> F
     return FeatureHasher(
         inputCols=list(cols), outputCol=out, numFeatures=n, categoricalCols=list(cols)
     )
-
-
-def fits_index(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> bool:
-    """Whether every column has few enough values for an index on the driver.
-
-    An index keeps all its categories on the driver and ships them to every
-    task, so its size is measured before it is built.
-    """
-    if not cols:
-        return True
-    sizes = df.agg(*[F.approx_count_distinct(named(c)).alias(f"n{i}") for i, c in enumerate(cols)])
-    return max(sizes.first()) <= limit

@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.columns import exceeds, named, ratio
+from packetloom.functions.columns import exceeds, is_finite, named, ratio
 
 LOSS_EPSILON = 1e-7
 
 
-def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Counts for every (actual, predicted) pair of the classes that occur as labels.
+def confusion(df: DataFrame, label: str, pred: str, predicted_only: bool = True) -> DataFrame:
+    """Counts for every (actual, predicted) pair; a null label is class 1, so that all rows with a prediction count.
 
+    The predicted classes are all that occur, or with ``predicted_only=False`` those that occur as labels.
     The rows are read once, by a grouped count. Its result is no larger than
     the matrix, so it is packed into one row to learn the classes, and zeros
     for all pairs are added before the final sum.
     """
     counts = (
-        df.filter(named(label).isNotNull())
-        .groupBy(
-            named(label).cast("double").alias("actual"),
+        df.groupBy(
+            F.coalesce(named(label).cast("double"), F.lit(1.0)).alias("actual"),
             named(pred).cast("double").alias("predicted"),
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
     packed = counts.agg(
         F.collect_list(F.struct("actual", "predicted", "n")).alias("cells"),
-        F.array_sort(F.collect_set("actual")).alias("classes"),
+        F.collect_set("actual").alias("classes"),
+        (F.array_union(F.collect_set("actual"), F.collect_set("predicted")) if predicted_only else F.collect_set("actual")).alias("columns"),
     )
-    known = F.expr("filter(cells, c -> array_contains(classes, c.predicted))")
+    known = F.expr("filter(cells, c -> array_contains(columns, c.predicted))")
     zeros = F.expr(
-        """flatten(transform(classes, a -> transform(classes, p ->
+        """flatten(transform(classes, a -> transform(columns, p ->
              named_struct('actual', a, 'predicted', p, 'n', 0L))))"""
     )
     return (
@@ -43,11 +44,16 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def multiclass_accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Share of rows whose prediction equals the label."""
-    hit = named(label).cast("double").eqNullSafe(named(pred).cast("double"))
+    """Share of rows whose prediction equals the label; a row without either is a miss."""
+    hit = named(label).cast("double") == named(pred).cast("double")
     return df.agg(ratio(F.count_if(hit), F.count(F.lit(1))).alias("accuracy"))
 
 
+def positive_label(label: str) -> Column:
+    """Whether a row counts as positive; a null label does, as it does when labels are made."""
+    return F.coalesce(named(label) == 1, F.lit(True))
+
+
 def _counts(positive: Column, flagged: Column) -> list[Column]:
     return [
         F.count_if(~positive & ~flagged).alias("tn"),
@@ -58,8 +64,11 @@ def _counts(positive: Column, flagged: Column) -> list[Column]:
 
 
 def binary_counts(df: DataFrame, label: str, flag: str) -> DataFrame:
-    """tn, fp, fn, tp, accuracy and missed-positive rate in one row."""
-    counts = df.agg(*_counts(named(label) == 1, named(flag).cast("int") == 1))
+    """tn, fp, fn, tp, accuracy and missed-positive rate in one row.
+
+    Every row counts: a null label is positive, a null flag isn't raised.
+    """
+    counts = df.agg(*_counts(positive_label(label), F.coalesce(named(flag).cast("int") == 1, F.lit(False))))
     total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return counts.select(
         "*",
@@ -102,7 +111,7 @@ def with_detection_stats(counts: DataFrame) -> DataFrame:
 
 def detection_stats(df: DataFrame, label: str, score: str, x: float) -> DataFrame:
     """The thirteen detection statistics at one threshold, as one row."""
-    return with_detection_stats(df.agg(*_counts(named(label) == 1, exceeds(score, x))))
+    return with_detection_stats(df.agg(*_counts(positive_label(label), exceeds(score, x))))
 
 
 def mean_threshold(df: DataFrame, score: str) -> float | None:
@@ -119,8 +128,9 @@ def mean_threshold_report(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def regression_report(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Row count, root mean squared error and R squared, in one aggregate."""
-    y = named(label).cast("double")
+    """Row count, root mean squared error and R squared over the rows with a finite label and prediction, in one aggregate."""
+    both = is_finite(named(label)) & is_finite(named(pred))
+    y = F.when(both, named(label).cast("double"))
     r = y - named(pred).cast("double")
     sums = df.agg(
         F.count(r).alias("n"), F.sum(r * r).alias("sse"), (F.var_pop(y) * F.count(y)).alias("sst")
@@ -133,14 +143,17 @@ def regression_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def train_report(df: DataFrame, label: str, probability: str) -> DataFrame:
-    """Mean cross-entropy with clipped probabilities, and accuracy at 0.5."""
-    p = named(probability).cast("double")
+    """Mean cross-entropy with clipped probabilities, and accuracy at 0.5, over the rows with a finite probability.
+
+    A null label is positive.
+    """
+    p = F.when(is_finite(named(probability)), named(probability).cast("double"))
     clipped = F.least(F.greatest(p, F.lit(LOSS_EPSILON)), F.lit(1.0 - LOSS_EPSILON))
-    positive = named(label) == 1
-    loss = -F.when(positive, F.log(clipped)).otherwise(F.log(F.lit(1.0) - clipped))
+    positive = positive_label(label)
+    loss = F.when(p.isNotNull(), -F.when(positive, F.log(clipped)).otherwise(F.log(F.lit(1.0) - clipped)))
     hit = (p > 0.5) == positive
     return df.agg(
         F.count(p).alias("n"),
         F.avg(loss).alias("loss"),
-        ratio(F.count_if(hit), F.count(F.lit(1))).alias("accuracy"),
+        ratio(F.count_if(hit), F.count(p)).alias("accuracy"),
     )

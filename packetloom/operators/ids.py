@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.columns import named
 from packetloom.operators.encode import (
-    MAX_CATEGORIES,
     assemble,
-    fits_index,
     hash_features,
     one_hot,
     string_index,
@@ -42,31 +40,33 @@ def fit_ids(
     cats: Sequence[str],
     nums: Sequence[str],
     handle_invalid: str = "error",
-    encoding: str = "auto",
+    encoding: str = "index",
     order: Sequence[str] | None = None,
-    max_categories: int = MAX_CATEGORIES,
     num_hashed: int = 2**18,
     **logistic_settings,
 ) -> PipelineModel:
     """Fit index → one-hot → assemble → logistic regression.
 
-    ``encoding`` is ``"index"``, ``"hash"``, or ``"auto"``: index while every
-    categorical has at most ``max_categories`` values, hash beyond. ``order``
-    gives the assembly order of the original column names, and
-    ``logistic_settings`` override those of the regression.
+    ``encoding`` is the caller's choice at every size. ``"index"`` keeps a
+    dictionary of the categories on the driver and in every task; ``"hash"``
+    needs none and puts all categoricals into ``num_hashed`` slots, which stand
+    first, so it cannot refuse an unseen value and takes ``handle_invalid="keep"``
+    alone. ``order`` gives the assembly order of the original column names (of
+    the numerics, if hashed), and ``logistic_settings`` override those of the
+    regression.
     """
     cats, nums = list(cats), list(nums)
-    if encoding == "auto":
-        encoding = "index" if fits_index(df, cats, max_categories) else "hash"
     if encoding not in ("index", "hash"):
         raise ValueError(f"unknown encoding {encoding!r}")
+    if cats and encoding == "hash" and handle_invalid != "keep":
+        raise ValueError("hashed categoricals know no unseen value: set handle_invalid='keep'")
     logistic = LogisticRegression(
         featuresCol="features", labelCol=label, **{**LOGISTIC_SETTINGS, **logistic_settings}
     )
     if not cats:
         stages = [assemble(nums), logistic]
     elif encoding == "hash":
-        stages = [hash_features(cats, num_hashed), assemble(["hashed", *nums]), logistic]
+        stages = [hash_features(cats, num_hashed), assemble(["hashed", *(c for c in (order or nums) if c not in cats)]), logistic]
     else:
         inputs = [vector_name(c) if c in cats else c for c in (order or [*cats, *nums])]
         keep = "keep" if handle_invalid == "keep" else "error"

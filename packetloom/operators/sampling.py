@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import HASH_SPACE, as_keys, key_digest, key_hash, leading_number, named
-from packetloom.operators.select import smallest
+from packetloom.operators.select import first_rows, smallest
 from packetloom.operators.shape import fill_zero
 
 ROWS_PER_SLICE = 100_000
@@ -60,12 +60,10 @@ def sample_exact(
     return fill_zero(taken.drop("__h", "__d"))
 
 
-def limit_rows(df: DataFrame, n: int, order_by: str) -> DataFrame:
-    """The first ``n`` rows by a key; files have no row order to rely on."""
+def limit_rows(df: DataFrame, n: int, order_by: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows by a key, then by ``ties``; files have no row order to rely on."""
     numeric = dict(df.dtypes)[order_by] in ("tinyint", "smallint", "int", "bigint", "float", "double")
-    if numeric:
-        return smallest(df, order_by, n)
-    return df.orderBy(named(order_by)).limit(n)
+    return smallest(df, order_by, n, ties) if numeric else first_rows(df, n, [order_by, *ties])
 
 
 def stratified_folds(

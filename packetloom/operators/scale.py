@@ -12,34 +12,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.columns import named
+from packetloom.functions.columns import is_finite, named
 
 Bounds = Mapping[str, tuple[float | None, float | None]]
 Moments = Mapping[str, tuple[float | None, float | None]]
 
 
+def _finite(value: Column) -> Column:
+    """The value as a double; NaN and infinite ones as null."""
+    return F.when(is_finite(value), value.cast("double"))
+
+
 def _pairs(df: DataFrame, cols: Sequence[str], left, right) -> dict[str, tuple]:
     aggregates: list[Column] = []
     for i, c in enumerate(cols):
-        value = named(c).cast("double")
+        value = _finite(named(c))
         aggregates += [left(value).alias(f"a{i}"), right(value).alias(f"b{i}")]
     row = df.agg(*aggregates).first()
     return {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
 
 
 def fit_bounds(df: DataFrame, cols: Sequence[str]) -> Bounds:
-    """Minimum and maximum of each column, all in one pass."""
+    """Minimum and maximum of each column's finite values, all in one pass."""
     return _pairs(df, cols, F.min, F.max)
 
 
 def fit_moments(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """Mean and population standard deviation of each column, in one pass."""
+    """Mean and population standard deviation of each column's finite values, in one pass."""
     return _pairs(df, cols, F.avg, F.stddev_pop)
 
 
 def minmax_column(value: Column, low: float | None, high: float | None) -> Column:
-    """Scale into [0, 1]; a constant column becomes 0, not 0.5."""
-    value = value.cast("double")
+    """Scale into [0, 1]; a constant column becomes 0, not 0.5, and a non-finite value null."""
+    value = _finite(value)
     if low is None or high is None:
         return value
     if high == low:
@@ -48,8 +53,8 @@ def minmax_column(value: Column, low: float | None, high: float | None) -> Colum
 
 
 def standard_column(value: Column, mean: float | None, sd: float | None) -> Column:
-    """Centre and divide by the population deviation (by 1 if it is zero)."""
-    value = value.cast("double")
+    """Centre and divide by the population deviation (by 1 if it is zero); a non-finite value becomes null."""
+    value = _finite(value)
     if mean is None or sd is None:
         return value
     return (value - F.lit(float(mean))) / F.lit(float(sd) if sd else 1.0)

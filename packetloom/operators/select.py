@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.columns import as_keys, named
+from packetloom.session import materialize
 
 SPLITS = 2048
 LISTABLE = 50_000
@@ -75,27 +77,38 @@ def _extents(values: DataFrame, columns: int, kind: str) -> list[Extent]:
     return [found.get(i, Extent(None, None, 0, 0, 0)) for i in range(columns)]
 
 
-def _slot(low, high, kind: str) -> Column:
-    """Sub-interval number of ``v`` in [low, high]."""
-    if kind == "double":
-        share = (F.col("v") - F.lit(low)) / F.lit(high - low)
-        return F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1))
-    width = (high - low) // SPLITS + 1
-    wide = "bigint" if high - low < 2**63 else "decimal(20, 0)"
-    return F.expr(f"cast((cast(v as {wide}) - {low}) div {width} as bigint)")
+def _interval_table(values: DataFrame, intervals: Sequence[Interval], stuck: set[Interval], kind: str) -> DataFrame:
+    """The intervals as a table, a row each: few, as there are at most columns times ranks of them.
+
+    A double's slot is its share of the interval, from halves so that no difference overflows. An
+    interval that a pass could not shrink is cut in two at ``cut``, which its highest value exceeds.
+    """
+    rows = []
+    for i, part in enumerate(intervals):
+        if kind == "double":
+            half = part.high / 2 - part.low / 2
+            cut = part.low + half if part.low + half < part.high else part.low
+            rows.append((i, part.column, part.low, part.high, half, cut, part in stuck or half == 0))
+        else:
+            rows.append((i, part.column, part.low, part.high, Decimal((part.high - part.low) // SPLITS + 1), None, False))
+    number = "decimal(20,0)" if kind == "bigint" else "double"
+    schema = f"i int, ic int, low {kind}, high {kind}, step {number}, cut double, halve boolean"
+    return values.sparkSession.createDataFrame(rows, schema)
 
 
-def _pass(values: DataFrame, intervals: Sequence[Interval], kind: str) -> list:
+def _pass(values: DataFrame, intervals: Sequence[Interval], stuck: set[Interval], kind: str) -> list:
     """Rows per (interval, sub-interval); few enough rows are listed by value."""
     listing = sum(i.inside for i in intervals) <= LISTABLE
-    number, slot = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-    for i, part in enumerate(intervals):
-        within = (F.col("c") == part.column) & F.col("v").between(F.lit(part.low), F.lit(part.high))
-        number = F.when(within, i).otherwise(number)
-        slot = F.when(within, _slot(part.low, part.high, kind)).otherwise(slot)
+    table = F.broadcast(_interval_table(values, intervals, stuck, kind))
+    within = (F.col("c") == F.col("ic")) & F.col("v").between(F.col("low"), F.col("high"))
+    if kind == "double":
+        share = (F.col("v") / 2 - F.col("low") / 2) / F.col("step")
+        slot = F.when(F.col("halve"), (F.col("v") > F.col("cut")).cast("bigint")).otherwise(F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)))
+    else:
+        slot = F.expr("cast((cast(v as decimal(20, 0)) - low) div step as bigint)")
     return (
-        values.select("v", number.alias("i"), (F.col("v") if listing else slot).alias("s"))
-        .filter("i is not null")
+        values.join(table, within)
+        .select("v", "i", (F.col("v") if listing else slot).alias("s"))
         .groupBy("i", "s")
         .agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
         .orderBy("i", "low")
@@ -120,6 +133,7 @@ def _at_ranks(
             found[column, rank] = Interval(column, math.inf, math.inf, below, extent.over)
         else:
             pending[column, rank] = Interval(column, extent.low, extent.high, extent.under, extent.inside)
+    stuck: set[Interval] = set()
     while True:
         for place, part in list(pending.items()):
             if part.low == part.high:
@@ -129,8 +143,9 @@ def _at_ranks(
             return found
         intervals = sorted(set(pending.values()))
         counts: dict[Interval, list] = {part: [] for part in intervals}
-        for row in _pass(values, intervals, kind):
+        for row in _pass(values, intervals, stuck, kind):
             counts[intervals[row["i"]]].append(row)
+        stuck = {part for part in intervals if [(r["low"], r["high"]) for r in counts[part]] == [(part.low, part.high)]}
         for (column, rank), part in pending.items():
             below = part.below
             for row in counts[part]:
@@ -183,37 +198,54 @@ def quantiles(
 def smallest(df: DataFrame, order: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
     """Exactly ``n`` rows with the smallest numeric ``order`` value, nulls first, NaN last.
 
-    Small ``n`` is a top-n. Beyond that the cut value is found first and the
-    rows are then taken by a filter, so no task ever holds the result. ``ties``
-    orders rows that tie at the cut; if too many tie for a top-n, they are
-    told apart by a hash of the whole row, in the same way.
+    Rows that tie are taken in the order of ``ties``, then of a hash of the whole row, at every ``n``; so
+    only equal rows are an open choice. Small ``n`` is a top-n. Beyond that the cut value is found first
+    and the rows are then taken by a filter, so no task ever holds the result.
     """
     if n <= 0:
         return df.limit(0)
     value = named(order)
     if n <= SMALL_LIMIT:
-        return df.orderBy(value, *[named(t) for t in ties]).limit(n)
+        return df.orderBy(value, *[named(t) for t in ties], _row_hash(df)).limit(n)
     missing = df.filter(value.isNull()).count()
     if n <= missing:
-        return _among_equals(df.filter(value.isNull()), n, ties)
+        return first_rows(df.filter(value.isNull()), n, ties)
     (place,) = _single_column(df, order, [n - missing - 1])
     if place is None:  # every value is taken, and NaN comes after all of them
         last = F.isnan(value.cast("double")) & value.isNotNull()
         ordered = df.filter(~last)
         left = n - ordered.count()
-        return ordered.unionByName(_among_equals(df.filter(last), left, ties)) if left > 0 else ordered
+        return ordered.unionByName(first_rows(df.filter(last), left, ties)) if left > 0 else ordered
     cut, below = F.lit(place.low), missing + place.below
     if below + place.inside == n:
         return df.filter(value.isNull() | (value <= cut))
-    rest = _among_equals(df.filter(value == cut), n - below, ties)
+    rest = first_rows(df.filter(value == cut), n - below, ties)
     return df.filter(value.isNull() | (value < cut)).unionByName(rest)
 
 
-def _among_equals(df: DataFrame, n: int, ties: Sequence[str]) -> DataFrame:
-    """``n`` of the rows that share their order value."""
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[named(c) for c in df.columns])
+
+
+def first_rows(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """``n`` rows in the order of ``keys``, of any sortable type, then of a hash of the whole row.
+
+    Small ``n`` is a top-n. Otherwise rows are dealt out by ranges of that order, stored with their place
+    in their range, and taken by each range's quota; equal rows are dealt out by a running number, so a row
+    that repeats without end is no single task.
+    """
+    order = [*[named(k) for k in keys], _row_hash(df)]
     if n <= SMALL_LIMIT:
-        return df.orderBy(*[named(t) for t in ties]).limit(n) if ties else df.limit(n)
-    if "__row_hash" in df.columns:  # equal in every column: any of them will do
-        return df.limit(n)
-    hashed = df.withColumn("__row_hash", F.xxhash64(*[named(c) for c in df.columns]))
-    return smallest(hashed, "__row_hash", n).drop("__row_hash")
+        return df.orderBy(*order).limit(n)
+    names = [f"k{i}" for i in range(len(order))]
+    rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *[o.alias(c) for o, c in zip(order, names, strict=True)])
+    rows = rows.withColumn("number", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(*names, "number").sortWithinPartitions(*names, "number")
+    placed = ranged.select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"))
+    placed = materialize(placed, "first-rows")
+    quotas, left = [], n
+    for part, size in sorted(placed.groupBy("part").count().collect()):  # a row a task
+        quotas.append((part, min(size, left)))
+        left -= quotas[-1][1]
+    table = df.sparkSession.createDataFrame(quotas, "part int, quota long")
+    return placed.join(F.broadcast(table), "part").filter("place < quota").select("row.*")

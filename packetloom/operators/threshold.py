@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate, repeat, takewhile
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.columns import named
-from packetloom.operators.evaluate import with_detection_stats
+from packetloom.operators.evaluate import positive_label, with_detection_stats
 
 # Objective name -> statistic it maximises (fixed values).
 OBJECTIVES = {
@@ -23,16 +24,13 @@ OBJECTIVES = {
 
 
 def threshold_grid(start: float = 1.0, stop: float = 0.0, step: float = 0.01) -> list[float]:
-    """Thresholds from ``start`` towards ``stop`` (excluded) by repeated steps.
+    """Thresholds from ``start`` down to ``stop`` (excluded).
 
-    The running sum is meant: ``start - i * step`` differs in the last bits and
-    would move scores that sit on a grid point.
+    Each is the one before less ``step``: ``start - i * step`` differs in the
+    last bits and would move scores that sit on a grid point.
     """
-    points, x, down = [], start, start > stop
-    while x > stop if down else x < stop:
-        points.append(x)
-        x = x - step if down else x + step
-    return points
+    falling = accumulate(repeat(step), lambda x, by: x - by, initial=start)
+    return list(takewhile(lambda x: x > stop, falling))
 
 
 def threshold_sweep(
@@ -48,7 +46,7 @@ def threshold_sweep(
     points = sorted(set(threshold_grid() if grid is None else grid), reverse=True)
     value = named(score).cast("double")
     mirrored = df.select(
-        (named(label) == 1).alias("positive"),
+        positive_label(label).alias("positive"),
         F.when(value.isNotNull() & ~F.isnan(value), -value).otherwise(float("inf")).alias("mirrored"),
     )
     slots = Bucketizer(

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from packetloom.functions.columns import is_finite, named
 from packetloom.operators.evaluate import confusion, multiclass_accuracy
 from packetloom.operators.ids import fit_ids, score
 from packetloom.operators.sampling import split
@@ -39,7 +41,7 @@ def train_detection(
     nums: Sequence[str],
     order: Sequence[str] | None = None,
     handle_invalid: str = "error",
-    encoding: str = "auto",
+    encoding: str = "index",
     fraction: float = 0.7,
     seed: int = 42,
     **fit_settings,
@@ -66,11 +68,20 @@ def train_connections(df: DataFrame, key: str | Sequence[str], **settings) -> De
     )
 
 
+def finite_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Non-finite values of ``cols`` as 0, as missing ones are filled; nulls stay."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.when(is_finite(named(c)) | named(c).isNull(), named(c)).otherwise(0.0) for c in cols if kinds[c] in ("double", "float")})
+
+
 def train_flows(df: DataFrame, key: str | Sequence[str], **settings) -> DetectionRun:
-    """Flow records: both addresses as categoricals, unseen addresses kept."""
+    """Flow records: both addresses hashed (2^18 slots unless ``num_hashed`` says otherwise), unseen ones kept.
+
+    A rate over a duration of zero is NaN or infinite in raw flows; ``finite_rates`` turns these into 0.
+    """
     nums = [c for c in formats.FLOW_ORDER if c not in formats.FLOW_CATEGORICAL]
-    settings = {"handle_invalid": "keep", **settings}
+    settings = {"handle_invalid": "keep", "encoding": "hash", **settings}
     return train_detection(
-        df, key, formats.FLOW_LABEL, formats.FLOW_BENIGN,
+        finite_rates(df, nums), key, formats.FLOW_LABEL, formats.FLOW_BENIGN,
         formats.FLOW_CATEGORICAL, nums, formats.FLOW_ORDER, **settings,
     )

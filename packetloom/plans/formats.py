@@ -1,7 +1,7 @@
 """Input formats the jobs understand.
 
 Fixed values: column names (leading spaces included), label tokens and
-assembly orders are those of the public log formats.
+assembly orders are those of the log formats; the ensemble's features are a choice among them.
 """
 
 # Connection records
@@ -37,18 +37,6 @@ ENSEMBLE_FEATURES = [
     "Init_Win_bytes_forward", " Init_Win_bytes_backward",
 ]
 
-# Shaping of raw flows for the ensemble: source column -> new name
-FLOW_SHAPE = {
-    " Source IP": {"col_name": "src_ip"},
-    " Source Port": {"col_name": "src_port"},
-    " Destination IP": {"col_name": "dst_ip"},
-    " Destination Port": {"col_name": "dst_port"},
-    "Init_Win_bytes_forward": {"col_name": "bytes_in"},
-    " Init_Win_bytes_backward": {"col_name": "bytes_out"},
-    " Protocol": {"col_name": "protocol"},
-    " Label": "",
-}
-
 # Host metrics
 HOST_LABEL = "load"
 HOST_FEATURES = ["hour", "memutil", "netutil"]

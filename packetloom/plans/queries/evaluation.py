@@ -100,6 +100,22 @@ def binary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({c: rounded(c, 9) for c in ("accuracy", "missed_positive_rate")})
 
 
+@query(
+    "binary_counts_null_labels",
+    """with f as (select case when label = 2 then null else label end as label, flag
+                  from (select l_linenumber % 3 as label, case when l_quantity > 40 then null else (l_discount > 0.05)::int end as flag from lineitem))
+       select count(*) filter (label = 0 and coalesce(flag, 0) = 0) as tn, count(*) filter (label = 0 and flag = 1) as fp,
+              count(*) filter (coalesce(label, 1) = 1 and coalesce(flag, 0) = 0) as fn, count(*) filter (coalesce(label, 1) = 1 and flag = 1) as tp from f""",
+)
+def binary_counts_null_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row counts: a null label is positive, a null flag isn't raised."""
+    kind = F.col("l_linenumber") % 3
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(kind != 2, kind).alias("label"), F.when(F.col("l_quantity") <= 40, (F.col("l_discount") > 0.05).cast("int")).alias("flag")
+    )
+    return evaluate.binary_counts(rows, "label", "flag").select("tn", "fp", "fn", "tp")
+
+
 @query(
     "mean_threshold_report",
     f"""select tn, fp, fn, tp, round((tp + tn)::double / (tn + fp + fn + tp), 9) as accuracy,
@@ -182,6 +198,16 @@ def score_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_describe(stats.describe(scored_events(spark, sf_dir), ["score"]))
 
 
+WIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("describe_wide", " union all ".join(_describe_sql(c, "lineitem") for c in WIDE))
+def describe_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every numeric column of the line items at once."""
+    rows = table(spark, sf_dir, "lineitem").select(*WIDE)
+    return _round_describe(stats.describe(rows, list(WIDE)))
+
+
 @query(
     "flow_describe",
     " union all ".join(

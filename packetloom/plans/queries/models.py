@@ -171,7 +171,7 @@ def flow_ids_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flow_ids_hashed_accuracy")
 def flow_ids_hashed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with hashed addresses, the way for more of them than an index can hold."""
-    return _flow_run(spark, sf_dir, encoding="hash", num_hashed=4096).accuracy().select(rounded("accuracy", 3).alias("accuracy"))
+    return _flow_run(spark, sf_dir, encoding="hash").accuracy().select(rounded("accuracy", 3).alias("accuracy"))
 
 
 LITERALS = {"l_linenumber": 0.6, "l_quantity": 0.05, "l_discount": -3.5}
@@ -197,7 +197,7 @@ def timed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "crossval_group_accuracy",
     f"""with f as (select label, size_class,
-                          ('0x' || substr(md5(l_orderkey::varchar), 1, 8))::ubigint % 5 as fold from ({FLOW_SQL})),
+                          ('0x' || substr(md5(l_orderkey::varchar), 1, 8))::ubigint % 10 as fold from ({FLOW_SQL})),
             g as (select size_class, fold, count(*) as n, sum(label) as s from f group by size_class, fold),
             o as (select *, (sum(s) over w - s) / (sum(n) over w - n) as p from g
                   window w as (partition by size_class)),
@@ -206,9 +206,9 @@ def timed_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crossval_group_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sampling.stratified_folds(
-        _labelled(spark, sf_dir).select("l_orderkey", "label", "size_class"), "l_orderkey", "label", k=5, exact=False
+        _labelled(spark, sf_dir).select("l_orderkey", "label", "size_class"), "l_orderkey", "label", k=10, exact=False
     )
-    folds = crossval.cross_validate(rows, "fold", 5, _group_model, ids.score, "label")
+    folds = crossval.cross_validate(rows, "fold", 10, _group_model, ids.score, "label")
     summary = crossval.summarize_folds(folds)
     return summary.select(*[rounded(c, 9).alias(c) for c in summary.columns])
 
@@ -219,7 +219,7 @@ def crossval_mlp_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sampling.stratified_folds(
         _labelled(spark, sf_dir).select(*FLOW_KEY, *FLOW_NUMERICS[1:], "label"), FLOW_KEY, "label", k=10
     )
-    fit, score = crossval.standardized_mlp(FLOW_NUMERICS, "label", max_iter=10)
+    fit, score = crossval.standardized_mlp(FLOW_NUMERICS, "label")
     return crossval.cross_validate(rows, "fold", 10, fit, score, "label")
 
 
@@ -398,14 +398,14 @@ def anomaly_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("anomaly_conv1d")
 def anomaly_conv1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flows(spark, sf_dir)
-    model = anomaly.fit_anomaly(rows, FLOW_NUMERICS, method="conv1d", key="l_orderkey", steps=10)
+    model = anomaly.fit_anomaly(rows, FLOW_NUMERICS, method="conv1d", key="l_orderkey")
     scored = anomaly.anomaly_score(model, rows)
     return scored.select(*FLOW_KEY, rounded("anomaly_score", 4).alias("anomaly_score"))
 
 
 def _malicious(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
-    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", max_iter=50)
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label")
     return mlp.score_mlp(scorer, rows)
 
 
@@ -418,7 +418,7 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mlp_train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and accuracy on the training rows."""
     rows = _labelled(spark, sf_dir)
-    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", max_iter=50)
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label")
     report = evaluate.train_report(mlp.raw_probability(scorer, rows, "p", scorer.bounds), "label", "p")
     return report.withColumns({"loss": rounded("loss", 3), "accuracy": rounded("accuracy", 3)})
 
@@ -470,7 +470,7 @@ def stack_uninformative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ensemble(spark: SparkSession, sf_dir: str):
     rows = flows(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", *FLOW_NUMERICS, "verdict")
-    return rows, ensemble.ensemble_fit(rows, FLOW_LAYOUT, max_iter=50)
+    return rows, ensemble.ensemble_fit(rows, FLOW_LAYOUT)
 
 
 SCORES = [FLOW_LAYOUT.anomaly, FLOW_LAYOUT.malicious, FLOW_LAYOUT.combined]

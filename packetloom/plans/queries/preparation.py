@@ -318,6 +318,47 @@ def minmax_saved_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.minmax(rows, ["l_quantity"], {"l_quantity": (10.0, 40.0)}, clamp=True)
 
 
+@query("limit_rows_by_time", "select event_id, ts from events order by ts, event_id limit 1500")
+def limit_rows_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rows than a top-n takes, by a key that isn't a number."""
+    return sampling.limit_rows(table(spark, sf_dir, "events").select("event_id", "ts"), 1500, "ts", ["event_id"])
+
+
+@query("limit_rows_ties", "select l_orderkey, l_linenumber, l_quantity from lineitem order by l_quantity, l_orderkey, l_linenumber limit 1700")
+def limit_rows_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key of fifty values: the cut falls among ties, which go by order and line."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sampling.limit_rows(rows, 1700, "l_quantity", ["l_orderkey", "l_linenumber"])
+
+
+ODD_SQL = """select l_orderkey, l_linenumber, case l_linenumber when 2 then 'NaN'::double when 3 then 'inf'::double
+                    when 4 then '-inf'::double else l_extendedprice::double end as price from lineitem"""
+
+
+def _odd_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, price = F.col("l_linenumber"), F.col("l_extendedprice").cast("double")
+    odd = F.when(line == 2, float("nan")).when(line == 3, float("inf")).when(line == 4, float("-inf")).otherwise(price)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", odd.alias("price"))
+
+
+@query(
+    "minmax_nonfinite",
+    f"""with f as ({ODD_SQL}), b as (select min(price) as low, max(price) as high from f where isfinite(price))
+        select l_orderkey, l_linenumber, case when isfinite(price) then round((price - low) / (high - low), 6) end as price from f, b""",
+)
+def minmax_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scale.minmax(_odd_prices(spark, sf_dir), ["price"]).withColumn("price", rounded("price"))
+
+
+@query(
+    "standardize_nonfinite",
+    f"""with f as ({ODD_SQL}), b as (select avg(price) as mean, stddev_pop(price) as sd from f where isfinite(price))
+        select l_orderkey, l_linenumber, case when isfinite(price) then round((price - mean) / sd, 4) + 0.0 end as price from f, b""",
+)
+def standardize_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scale.standardize(_odd_prices(spark, sf_dir), ["price"]).withColumn("price", rounded("price", 4))
+
+
 @query("minmax_constant", "select l_orderkey, 0.0::double as steady from lineitem")
 def minmax_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_tax") * 0 + 5.0).alias("steady"))
@@ -402,10 +443,14 @@ def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hash_features",
-    "select l_orderkey, 2.0::double as marks, 64 as width from lineitem",
+    """select l_suppkey::varchar as source_ip, count(*) as n, 1 as slots, 1.0::double as marks, 64 as width, true as spread
+       from lineitem group by l_suppkey""",
 )
 def hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode.hash_features(["source_ip", "dest_ip"], n=64).transform(flows(spark, sf_dir))
+    """Per address: rows, the different slots they got and the mark in each; ``spread`` if many slots are used."""
+    rows = encode.hash_features(["source_ip"], n=64).transform(flows(spark, sf_dir))
     values = vector_to_array("hashed")
-    total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-    return rows.select("l_orderkey", total.alias("marks"), F.size(values).alias("width"))
+    slotted = rows.select("source_ip", F.array_position(values, 1.0).alias("slot"), F.aggregate(values, F.lit(0.0), lambda a, b: a + b).alias("marks"), F.size(values).alias("width"))
+    own = slotted.groupBy("source_ip").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("marks").alias("marks"), F.max("width").alias("width"))
+    used = slotted.agg((F.count_distinct("slot") >= F.least(F.count_distinct("source_ip"), F.lit(64)) / 2).alias("spread"))
+    return own.crossJoin(F.broadcast(used))  # one row

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +29,11 @@ def build_session(app: str = "packetloom", master: str | None = None, **conf: st
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names, or else in the warehouse.
 
-    Only a local master may fall back to a temporary folder: on a cluster an
-    executor could not read what another one wrote there.
+    Either is a folder that every executor reaches; the session's settings stay as they are.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

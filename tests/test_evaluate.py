@@ -64,7 +64,17 @@ def test_grid_is_the_running_difference():
     grid = threshold.threshold_grid()
     assert len(grid) == 100 and grid[0] == 1.0
     assert grid[50] == 0.49999999999999956 and grid[-1] == 0.009999999999999247
-    assert len(threshold.threshold_grid(0.0, 1.0, 0.25)) == 4
+    assert threshold.threshold_grid(0.0, 1.0, 0.25) == []
+
+
+def test_every_row_counts(spark):
+    df = spark.createDataFrame([(1, 1), (None, 1), (0, None), (None, None), (0, 0)], "y int, p int")
+    row = evaluate.binary_counts(df, "y", "p").first()
+    assert (row["tn"], row["fp"], row["fn"], row["tp"]) == (2, 0, 1, 2)
+    cells = {(r["actual"], r["predicted"]): r["n"] for r in evaluate.confusion(df.selectExpr("y", "coalesce(p, 7) as p"), "y", "p").collect()}
+    assert sum(cells.values()) == 5 and cells[0.0, 7.0] == 1
+    assert {p for _, p in ((r["actual"], r["predicted"]) for r in evaluate.confusion(df, "y", "p", predicted_only=False).collect())} == {0.0, 1.0}
+    assert evaluate.multiclass_accuracy(df, "y", "p").first()[0] == 0.4
 
 
 def test_sweep_equals_recounting_at_every_threshold(spark):

@@ -56,9 +56,10 @@ def test_saturated_fit_gives_group_means(spark):
 
 def test_many_categories_are_hashed(spark):
     df = toy(spark)
-    assert encode.fits_index(df, ["cat"], 3) and not encode.fits_index(df, ["id"], 100)
-    model = ids.fit_ids(df, "label", ["cat"], ["x"], max_categories=2, num_hashed=32)
+    model = ids.fit_ids(df, "label", ["cat"], ["x"], "keep", "hash", num_hashed=32)
     assert len(model.stages) == 3 and model.stages[-1].numFeatures == 33
+    with pytest.raises(ValueError):
+        ids.fit_ids(df, "label", ["cat"], ["x"], encoding="hash")
     with pytest.raises(ValueError):
         ids.fit_ids(df, "label", ["cat"], ["x"], encoding="none")
 
@@ -130,7 +131,8 @@ def test_flow_records_end_to_end(spark):
         rows.append(tuple(row[c] for c in columns))
     kinds = {c: "string" for c in [" Label", *formats.FLOW_CATEGORICAL]} | {"record_id": "int"}
     df = spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in columns))
-    run = train_flows(df, "record_id")  # every source address in the test part is unseen
+    df = df.withColumn("Flow Bytes/s", F.when(F.col("record_id") % 7 == 0, float("inf")).when(F.col("record_id") % 7 == 1, float("nan")).otherwise(F.col("`Flow Bytes/s`")))
+    run = train_flows(df, "record_id", encoding="index")  # every source address in the test part is unseen
     assert sum(r["n"] for r in run.confusion().collect()) == run.scored.count() > 0
     hashed = train_flows(df, "record_id", encoding="hash", num_hashed=64)
     assert hashed.accuracy().first()[0] > 0.5

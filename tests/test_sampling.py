@@ -71,6 +71,28 @@ def test_selection_puts_nan_last(spark, monkeypatch):
         assert len(got) == min(n, 60) and sum(v != v for v in got) == max(min(n, 60) - 40, 0)
 
 
+def test_ties_are_taken_in_order_at_any_number(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id % 200 as k", "7 as v", "cast(id % 200 as string) as name").repartition(5)
+    for limit in (1_000, 5):
+        monkeypatch.setattr(select, "SMALL_LIMIT", limit)
+        for n in (4, 150, 399):
+            assert sorted(r["k"] for r in select.smallest(df, "v", n, ["k"]).collect()) == [i // 2 for i in range(n)]
+            names = sorted(str(i // 2) for i in range(400))[:n]
+            assert sorted(r["name"] for r in sampling.limit_rows(df, n, "name").collect()) == names
+            assert sorted(r["k"] for r in sampling.limit_rows(df, n, "v", ["k"]).collect()) == [i // 2 for i in range(n)]
+    assert select.first_rows(spark.range(3000).selectExpr("1 as v"), 2000, ["v"]).count() == 2000
+
+
+def test_quantiles_of_wide_ranges_and_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(select, "LISTABLE", 50)
+    wide = spark.range(2001).selectExpr("(id - 1000) * 1.7e305 as v", "if(id % 2 = 0, 5e-324, -5e-324) * id as tiny")
+    got = select.quantiles(wide, ["v", "tiny"], [0.0, 0.25, 0.5, 1.0])
+    assert got["v"] == [-1000 * 1.7e305, -500 * 1.7e305, 0.0, 1000 * 1.7e305]
+    assert got["tiny"][0] == -1999 * 5e-324 and got["tiny"][-1] == 2000 * 5e-324
+    many = spark.range(2000).selectExpr(*[f"double((id + {37 * i}) % 2000) as c{i}" for i in range(30)])
+    assert all(x[1] == 999.5 for x in select.quantiles(many, many.columns, [0.25, 0.5, 0.75]).values())
+
+
 def test_limit_rows(spark):
     df = spark.range(100).selectExpr("id", "cast(id as string) as name")
     assert [r[0] for r in sampling.limit_rows(df, 3, "id").collect()] == [0, 1, 2]

@@ -41,3 +41,10 @@ def test_empty_frame(spark):
 def test_bounds_take_one_pass(spark):
     df = spark.range(10).selectExpr("id as a", "id * 2 as b")
     assert scale.fit_bounds(df, ["a", "b"]) == {"a": (0.0, 9.0), "b": (0.0, 18.0)}
+
+
+def test_non_finite_values_leave_the_others_alone(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (2.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "v double")
+    assert [r[0] for r in scale.minmax(df, ["v"]).collect()] == [0.0, 1.0, 0.5, None, None, None, None]
+    got = [r[0] for r in scale.standardize(df, ["v"]).collect()]
+    assert got[2] == 0.0 and got[3:] == [None] * 4 and got[0] == -got[1]
