@@ -65,24 +65,32 @@ PATTERNS = (
     ("name", rf"\b(?:{'|'.join(sorted(map(re.escape, _TITLE), key=len, reverse=True))})\.?[ \t]+(?P<v_name>{_NAME}(?:[ \t]+{_NAME})?)"),
     ("name", rf"\b(?:{'|'.join(_GENDER)})[ \t]+{_NAME}"),
 )
-_ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(PATTERNS)))
-_KEYWORDS = ("token", "secret", "passw", "key")
-_TWO_NAMES = re.compile(f"[{_UPPER}][{_LOWER}'’-]*\\.?[ \t]+[{_UPPER}][{_LOWER}]")
+_FIND = {
+    names: re.compile("|".join(f"(?P<k{i}>{p})" for i, (k, p) in enumerate(PATTERNS) if names or k != "name")) for names in (False, True)
+}
+_KEYWORDS = tuple(f(w) for w in ("token", "secret", "passw", "key") for f in (str.lower, str.title, str.upper))
+_TWO_NAMES = re.compile(f"[{_UPPER}][{_LOWER}'’-]*[ \t]+[{_UPPER}][{_LOWER}]")
+_DOTTED = tuple(f"{t}. " for t in _TITLE) + tuple(f"{t}.\t" for t in _TITLE)
 
 
-def worth_a_look(text: str) -> bool:
-    """Whether the text has what every pattern needs: a digit, an @, a key word or two capitalised words in a row."""
-    return any(c in text for c in "@0123456789") or any(w in text.lower() for w in _KEYWORDS) or _TWO_NAMES.search(text) is not None
+def may_hold(text: str) -> tuple[bool, bool]:
+    """Whether the text has what the patterns need: a digit, an @ or a key word (small, capitalised or in capitals); and, for names, two capitalised words in a row or a title with a dot."""
+    return (
+        any(c in text for c in "@0123456789") or any(w in text for w in _KEYWORDS),
+        any(t in text for t in _DOTTED) or _TWO_NAMES.search(text) is not None,
+    )
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, entity) from left to right. The kind of a name tells script and gender, as ``name:latin:f``."""
     out = []
-    if not worth_a_look(text):
+    other, names = may_hold(text)
+    if not (other or names):
         return out
-    for m in _ANY.finditer(text):
-        i = next(i for i in range(len(PATTERNS)) if m.group(f"k{i}") is not None)
-        kind, group = PATTERNS[i][0], next((g for g in ("v_secret", "v_name") if m.group(g) is not None), 0)
+    for m in _FIND[names].finditer(text):
+        groups = m.groupdict()
+        i = next(i for i in range(len(PATTERNS)) if groups.get(f"k{i}") is not None)
+        kind, group = PATTERNS[i][0], next((g for g in ("v_secret", "v_name") if groups.get(g) is not None), 0)
         start, end = m.span(group)
         found = text[start:end]
         if kind == "name":
