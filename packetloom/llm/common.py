@@ -23,8 +23,10 @@ __all__ = [
     "map_blocks",
     "materialize",
     "mixed",
+    "pack",
     "read_table",
     "run_starts",
+    "unpack",
     "windows",
 ]
 
@@ -47,14 +49,14 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``BLOCK_BYTES`` of text each, so that memory is bounded by a block."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text each, so that memory is bounded by a block."""
     for batch in batches:
         column = batch.column(text)
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
-            if i > start and total + size > BLOCK_BYTES:
+            if i > start and total + size > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size
@@ -62,7 +64,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
-def map_blocks(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def map_blocks(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch], dict], most: int = BLOCK_BYTES) -> DataFrame:
     """``work`` turns a block of rows into columns by name; types come from ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -70,7 +72,8 @@ def map_blocks(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordB
     arrow = to_arrow_schema(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
+        pa.default_memory_pool().release_unused()  # what an earlier task of this worker left
+        for block in blocks(batches, text, most):
             made = work(block)
             yield pa.RecordBatch.from_arrays(
                 [made[f.name].cast(f.type) if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow
@@ -82,7 +85,7 @@ def map_blocks(df: DataFrame, text: str, schema: str, work: Callable[[pa.RecordB
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words met before; forgets all when it is full."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -120,6 +123,16 @@ def run_starts(ordered: np.ndarray) -> np.ndarray:
     return new
 
 
+def pack(a: np.ndarray) -> bytes:
+    """The bytes of all items by place, so that the equal high ones lie together and compress."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def heavy_light_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, values: list[str]) -> DataFrame:
     """Left join of ``rows`` to ``keyed`` (one row a key, with its number of rows in ``count``) without a hot task.
 
@@ -133,7 +146,7 @@ def heavy_light_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, to
     light = keyed.where(F.col(count) < line).select(F.col("__k_pair").alias("__k_light"), F.struct(*values).alias("__v_light"))
     pair = F.struct(F.col(key).isNull().alias("no"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("as"))
     found = rows.withColumn(own, pair).join(F.broadcast(heavy), F.col(own) == F.col("__k_heavy"), "left")
-    spread = F.struct(F.lit(True).alias("no"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("as"))
+    spread = F.struct(F.lit(True).alias("no"), F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string")).alias("as"))
     found = found.withColumn(own, F.when(F.col("__k_heavy").isNotNull(), spread).otherwise(F.col(own)))
     found = found.join(light, F.col(own) == F.col("__k_light"), "left").withColumn("__v", F.coalesce("__v_heavy", "__v_light"))
     return reduce(lambda d, v: d.withColumn(v, F.col(f"__v.{v}")), values, found).drop(own, "__k_heavy", "__k_light", "__v_heavy", "__v_light", "__v")

@@ -18,18 +18,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import WordHashes, heavy_light_join, map_blocks, materialize, mixed, windows
+from packetloom.llm.common import WordHashes, heavy_light_join, map_blocks, materialize, mixed, pack, run_starts, unpack, windows
 from packetloom.llm.components import connected_components
 
 #: Words in a shingle; similarity in hundredths.
 WIDTH, PERCENT = 5, 80
 #: Orders under which sets meet in the first step.
-ORDERS = 3
+ORDERS = 2
 #: Hashes in a block of the first step, members in a block of the second; larger blocks are cut.
 BLOCK_HASHES, BLOCK_MEMBERS = 400_000, 4_000
+#: Buckets that hashes share, for each partition; blocks have twice as many.
+BUCKETS = 4
+#: A set's prefix holds one in so many of its hashes beyond the short one, to tell sets that share only a passage.
+SPARE = 10
 #: Members of a leaf, children of a node.
 LEAF, FANOUT = 16, 8
 #: Ids up to which a semi join with the documents is a broadcast.
@@ -54,14 +58,18 @@ def needed(a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
 
 
 def bitmap(ordered: np.ndarray) -> bytes:
-    """Bits of the hashes below 2^62, a fixed quarter of all possible ones; a power of two bits, at least the set's size."""
-    width = 1 << min(16, max(6, int(len(ordered) - 1).bit_length()))
-    sampled = ordered[: np.searchsorted(ordered, np.uint64(2**62))]
+    """The set's bits: a power of two of them, at least four a hash up to 2^16."""
+    width = 1 << min(16, max(6, int(4 * len(ordered) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
-    bits[(sampled & np.uint64(width - 1)).astype(np.int64)] = 1
+    bits[(ordered & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def short_prefix(n: int | np.ndarray) -> int | np.ndarray:
+    """Smallest hashes of which linked sets share one. With ``k`` more they share ``k + 1``."""
+    return n + PERCENT * -n // 100 + 1
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``print`` (the set's 128-bit hash; null if empty), ``least`` (smallest hash
     under each order), ``prefix`` and ``bits`` of each document."""
@@ -75,7 +83,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             if not n:
                 made.append((0, None, [], [], b""))
                 continue
-            prefix = own[: n + PERCENT * -n // 100 + 1]
+            prefix = own[: short_prefix(n) + n // SPARE]
             least = [int(mixed(own ^ _SALT * np.uint64(k)).min().astype(np.int64)) for k in range(ORDERS)]
             made.append((n, xxhash.xxh3_128_hexdigest(own.tobytes()), least, prefix.astype(np.int64).tolist(), bitmap(own)))
         return {"doc_id": block.column("doc_id")} | dict(zip(("n", "print", "least", "prefix", "bits"), map(list, zip(*made, strict=True)), strict=True))
@@ -192,16 +200,104 @@ def _first_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[at], table.schema.field("doc_id").type), "b": pa.array(ids[root[at]], table.schema.field("doc_id").type)})
 
 
+def _may_link(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tree's bound for single pairs, taken together by the widths of their bitmaps."""
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    out = np.zeros(len(a), bool)
+    for x in np.unique(size):
+        for y in np.unique(size):
+            at = np.flatnonzero((size[a] == x) & (size[b] == y))
+            if not len(at):
+                continue
+            own, rows = [], []
+            for side, width in ((a[at], x), (b[at], y)):
+                found, where = np.unique(side, return_inverse=True)
+                m = np.frombuffer(b"".join(bits[i] for i in found), np.uint64).reshape(len(found), -1, min(x, y) // 8)
+                own.append(np.bitwise_or.reduce(m, axis=1))
+                rows.append(where)
+            count = [np.bitwise_count(m).sum(axis=1).astype(np.int64)[r] for m, r in zip(own, rows, strict=True)]
+            shared = np.bitwise_count(own[0][rows[0]] & own[1][rows[1]]).sum(axis=1).astype(np.int64)
+            spare = [n[s[at]] - needed(n[a[at]], n[b[at]]) for s in (a, b)]
+            out[at] = (count[0] - shared <= spare[0]) & (count[1] - shared <= spare[1])
+    return out
+
+
 def _candidates(table: pa.Table) -> pa.Table:
-    """Of one block: pairs of different components that the tree can't rule out. Visitors aren't paired among
-    themselves, nor members of one part in a block of two parts."""
-    ids, own, part = (table.column(c).to_numpy() for c in ("doc_id", "own", "part"))
-    alone = part.min() == part.max()
-    tree = Tree(table.column("bits").to_pylist(), table.column("n").to_numpy(), table.column("component").to_numpy())
-    got = [(ids[a[k]], ids[b[k]]) for a, b, _ in tree.pairs() if (k := (own[a] | own[b]) & (alone | (part[a] != part[b]))).any()]
-    a, b = (np.concatenate([g[i] for g in got]) if got else np.empty(0, ids.dtype) for i in (0, 1))
+    """Of a bucket of blocks: pairs of different components that can't be ruled out.
+
+    Blocks of a leaf's size are compared inside at once; larger ones get a tree. Visitors aren't paired
+    among themselves, nor members of one part in a block of two parts.
+    """
+    block, ids, n, group, own, part = (table.column(c).to_numpy() for c in ("block", "doc_id", "n", "component", "own", "part"))
+    bits = table.column("bits").to_pylist()
+    order = np.argsort(block, kind="stable")
+    starts = np.flatnonzero(run_starts(block[order]))
+    sizes = np.diff(np.append(starts, len(order)))
+    found = []
+    small = order[np.repeat(sizes <= LEAF, sizes)]
+    for step in range(1, min(LEAF, len(small))):
+        a, b = small[:-step], small[step:]
+        fits = (block[a] == block[b]) & (group[a] != group[b]) & (own[a] | own[b])
+        fits &= (100 * n[a] >= PERCENT * n[b]) & (100 * n[b] >= PERCENT * n[a])
+        found.append((a[fits], b[fits]))
+    if found:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = np.unique(np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), a, b]), axis=1) if len(a) else np.empty((4, 0), np.int64)
+        pair = pair[:, np.append(True, (pair[:2, 1:] != pair[:2, :-1]).any(axis=0))[: pair.shape[1]]]
+        ok = _may_link(bits, n, pair[2], pair[3])
+        found = [(pair[2][ok], pair[3][ok])]
+    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+        at = order[start : start + size]
+        alone = part[at].min() == part[at].max()
+        for x, y, _ in Tree([bits[i] for i in at], n[at], group[at]).pairs():
+            x, y = at[x], at[y]
+            k = (own[x] | own[y]) & (alone | (part[x] != part[y]))
+            found.append((x[k], y[k]))
+    a, b = (np.concatenate([ids[f[i]] for f in found]) if found else np.empty(0, ids.dtype) for i in (0, 1))
     kind = table.schema.field("doc_id").type
-    return pa.table({"a": pa.array(np.maximum(a, b), kind), "b": pa.array(np.minimum(a, b), kind)})
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+    return pa.table({"a": pa.array(pairs[0], kind), "b": pa.array(pairs[1], kind)})
+
+
+def _packed_prefixes(reps: DataFrame, n_buckets: int) -> DataFrame:
+    """Prefix hashes with id and component, packed by bucket of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            sizes = np.diff(lists.offsets.to_numpy())
+            hashes = lists.flatten().to_numpy().astype(np.int64)
+            if not len(hashes):
+                continue
+            ids, components, n = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("doc_id", "component", "n"))
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = 2 * n + (place < short_prefix(n))
+            bucket = (hashes.view(np.uint64) >> np.uint64(8)) % np.uint64(n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+            rows = [(k, *(pack(np.ascontiguousarray(x[order[i:j]])) for x in (hashes, ids, ids - components, n))) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], ["bucket", "hashes", "ids", "above", "n"])
+
+    return reps.select("doc_id", "component", "n", "prefix").mapInArrow(run, "bucket int, hashes binary, ids binary, above binary, n binary")
+
+
+def _shared_prefixes(kind: str):
+    """Of a bucket: the members of each hash that have one of another component and a size within reach, with their number."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, ids, above, n = (np.concatenate([unpack(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("hashes", "ids", "above", "n"))
+        order = np.lexsort((n, hashes))
+        ids, short, n, component = ids[order], n[order] % 2 == 1, n[order] // 2, (ids - above)[order]
+        block = np.cumsum(run_starts(hashes[order])) - 1
+        place = block * (int(n.max()) * 2 + 2)  # blocks apart, sizes in order
+        low = np.searchsorted(place + n, place - (-PERCENT * n // 100))
+        high = np.searchsorted(place + n, place + 100 * n // PERCENT, "right")
+        changes = np.append(0, np.cumsum(component[1:] != component[:-1]))
+        at = np.flatnonzero(changes[high - 1] != changes[low])
+        count = np.bincount(block[at[short[at]]], minlength=block[-1] + 1 if len(block) else 0)
+        return pa.table({"hash": hashes[order][at], "doc_id": pa.array(ids[at], pa.int64()).cast({"int": pa.int32()}.get(kind, pa.int64())), "members": count[block[at]], "short": short[at]})
+
+    return run
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,10 +319,11 @@ def set_classes(sketch: DataFrame) -> DataFrame:
 
 def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Links (``a``, ``b``) between class representatives that join up each component of all links."""
-    reps = materialize(sketch.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"]).drop("print"), "jaccard-reps")
     kind = docs.schema[doc_id].dataType.simpleString()
+    is_rep = classes.select("print", F.col("rep").alias("doc_id"))
     # step one: blocks of one smallest hash
-    meet = reps.select("doc_id", "n", F.posexplode("least").alias("k", "hash"))
+    meet = sketch.select("doc_id", "print", "n", "least").join(is_rep, ["print", "doc_id"]).select("doc_id", "n", F.posexplode("least").alias("k", "hash"))
+    meet = materialize(meet, "jaccard-least")
     keys = meet.groupBy("k", "hash").agg(F.count("*").alias("members"), F.sum("n").alias("hashes")).where("members > 1").drop("members")
     meet = meet.join(keys, ["k", "hash"]).withColumn("part", F.expr(f"pmod(xxhash64(doc_id), ceil(hashes / {BLOCK_HASHES}))")).select("doc_id", "k", "hash", "part")
     meet = materialize(meet, "jaccard-meet")
@@ -234,21 +331,30 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     first = materialize(meet.join(sets, "doc_id").groupBy("k", "hash", "part").applyInArrow(_first_links, f"a {kind}, b {kind}"), "jaccard-first")
     roots = connected_components(first, "jaccard-first")
     # step two: all prefix blocks that hold two components
-    reps = reps.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    reps = materialize(reps.drop("least"), "jaccard-rooted")
-    shared = reps.select("doc_id", "component", "n", F.explode("prefix").alias("hash"))
-    keys = shared.groupBy("hash").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 <> c1")
-    # links need sizes within a factor of 1.25: a band meets itself and the next
-    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+    rooted = classes.select(F.col("rep").alias("doc_id"), "print").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = sketch.select("doc_id", "print", "n").join(is_rep, ["print", "doc_id"]).select("doc_id", "n")
+    reps = sketch.drop("least").join(rooted, ["print", "doc_id"]).drop("print")
+    n_buckets = BUCKETS * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    shared = _packed_prefixes(reps, n_buckets).groupBy("bucket").applyInArrow(_shared_prefixes(kind), f"hash long, doc_id {kind}, members long, short boolean")
+    shared = materialize(shared, "jaccard-shared")
+    # a set that links shares n // SPARE + 1 hashes of its prefix with the other, or as many as that one's smaller prefix has to spare
+    several = shared.groupBy("doc_id").agg(F.count("*").alias("hits")).join(rooted.select("doc_id", "component"), "doc_id")
+    several = several.join(sizes, "doc_id").where(F.col("hits") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / SPARE))
+    member = shared.where("short").drop("short").join(materialize(several.select("doc_id", "component").distinct(), "jaccard-several"), "doc_id")
+    member = member.join(reps.select("doc_id", "n", "bits"), "doc_id")
+    # links need sizes within a factor of 1.25: in a block of many, a band of sizes meets itself and the next
+    large = F.col("members") > LEAF
+    band = F.when(large, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
     at = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
-    member = shared.join(keys.select("hash", "members"), "hash").withColumn("at", F.explode(at)).select("doc_id", "hash", "members", "at.*")
+    at = F.when(large, at).otherwise(F.slice(at, 1, 1))
     # a block with too many members is cut into parts, and each pair of parts is a block
     parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(i, part).alias("i"), F.greatest(i, part).alias("j")))
-    member = member.select("doc_id", "hash", "band", "own", part.alias("part"), F.explode(cells).alias("cell"))
-    blocks = member.join(reps.select("doc_id", "n", "component", "bits"), "doc_id")
-    pairs = materialize(blocks.groupBy("hash", "band", "cell").applyInArrow(_candidates, f"a {kind}, b {kind}").distinct(), "jaccard-pairs")
+    member = member.withColumn("part", part).withColumn("at", F.explode(at)).withColumn("cell", F.explode(cells))
+    member = member.select("doc_id", "n", "component", "bits", "part", "at.own", F.xxhash64("hash", "at.band", "cell.i", "cell.j").alias("block"))
+    blocks = member.groupBy(F.pmod("block", F.lit(2 * n_buckets)).alias("bucket"))
+    pairs = materialize(blocks.applyInArrow(_candidates, f"a {kind}, b {kind}").distinct(), "jaccard-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     more = materialize(sets_of(docs, ids, doc_id, text), "jaccard-more-sets")
     return first.union(_checked(pairs, more))
@@ -271,3 +377,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = heavy_light_join(sketch.select("doc_id", "n", "print"), classes, "print", "copies", sketch.count(), ["component_id"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays.
+
+    Of rows that repeat an id one stays, the first by text; rows without id and texts without words all
+    stay. All columns stay. Ids to drop are broadcast if they are few, else joined by shuffle.
+    """
+    found = jaccard_components(docs, doc_id, text)
+    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-drop")
+    left = docs.join(F.broadcast(drop) if drop.count() <= FEW_IDS else drop, doc_id, "left_anti")
+    again = materialize(docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id), "jaccard-again")
+    n = again.count()
+    if not n:
+        return left.select(*docs.columns)
+    again = F.broadcast(again) if n <= FEW_IDS else again
+    first = Window.partitionBy(doc_id).orderBy(text, *(c for c in docs.columns if c not in (doc_id, text)))
+    once = left.join(again, doc_id, "left_semi").withColumn("__first", F.row_number().over(first)).where("__first = 1")
+    return left.join(again, doc_id, "left_anti").select(*docs.columns).union(once.select(*docs.columns))

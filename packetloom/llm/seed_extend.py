@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import P1, WordHashes, blocks, map_blocks, mixed, run_starts, windows
+from packetloom.llm.common import P1, WordHashes, blocks, map_blocks, mixed, pack, run_starts, unpack, windows
 
 #: Words of the shortest repeat and of a seed.
 LENGTH, SEED = 13, 5
@@ -25,16 +25,6 @@ BUCKETS = 4
 _PARTS = ("seeds", "docs", "starts", "counts", "prints", "own_docs", "own_starts", "own_counts")
 
 
-def pack(a: np.ndarray) -> bytes:
-    """The bytes of all items by place, so that the equal high ones lie together and compress."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text's word hashes: seeds, first window and number of windows of each anchor; all windows' prints."""
     if len(words) < LENGTH:
