@@ -23,7 +23,9 @@ LAST_LATIN = "\u024f"
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN_PATTERN = f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pre-tokens whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Bytes of text that are split and merged at once.
+BLOCK = 1_000_000
 #: Bytes of a word up to which whole blocks of words are merged as arrays.
 SHORT = 48
 #: The rank of a pair that doesn't merge.
@@ -67,8 +69,8 @@ class Codec:
             return self.split(text)
         return [x for part in self.cut.split(text) for x in ([part] if part in self.special else self.split(part))]
 
-    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each word."""
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as the bytes of 32-bit numbers."""
         short = [i for i, w in enumerate(words) if len(w) <= SHORT]
         long = [i for i, w in enumerate(words) if len(w) > SHORT]
         made: list = [None] * len(words)
@@ -77,7 +79,7 @@ class Codec:
                 made[i] = ids
         return made
 
-    def _merge_long(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge_long(self, words: list[bytes]) -> list[bytes]:
         """All words lie in one row of symbols, parted by -1. ``places`` maps each mergeable pair to the
         positions of its left symbols. The active pair of lowest rank is merged at all its positions from
         left to right; only the lists of the pairs beside a merge change. A merge makes a piece that only
@@ -112,9 +114,9 @@ class Codec:
                         else:
                             places[near] = [left]
                             heapq.heappush(active, near)
-        return [tuple(x for x in row[s:e] if x >= 0) for s, e in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+        return [np.array([x for x in row[s:e] if x >= 0], np.int32).tobytes() for s, e in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
 
-    def _merge_short(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge_short(self, words: list[bytes]) -> list[bytes]:
         """The same index as arrays, for the many short words: at each position the rank of the pair that
         starts there, or ``NONE``. A sweep takes, in every word at once, all places of its lowest active
         rank (of a run like aaaa every second one, from the left) and looks up only the pairs beside them.
@@ -124,14 +126,15 @@ class Codec:
         row[np.cumsum(sizes) - 1] = -1
         rank = np.full(len(row), NONE, np.int32)
         self._look_up(row, rank, np.arange(len(row) - 1))
-        which, made = np.arange(len(words)), [()] * len(words)
+        which, made = np.arange(len(words)), [b""] * len(words)
         while len(which):
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             least = np.minimum.reduceat(rank, starts)
             over = least == NONE
             if over.any():
+                data = row.tobytes()
                 for w, s, e in zip(which[over].tolist(), starts[over].tolist(), (starts + sizes)[over].tolist(), strict=True):
-                    made[w] = tuple(row[s : e - 1].tolist())
+                    made[w] = data[4 * s : 4 * (e - 1)]
                 stay = np.repeat(~over, sizes)
                 row, rank, which, sizes, least = row[stay], rank[stay], which[~over], sizes[~over], least[~over]
                 if not len(which):
@@ -157,18 +160,20 @@ class Codec:
         found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         rank[at] = np.where(self.keys[found] == keys, self.rank_of[found], NONE)
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Ids of each text; those of a pre-token are remembered as the bytes of 32-bit numbers."""
         pieces = [self.pre_tokens(text) for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if new := [x for x in set(chain.from_iterable(pieces)) if x not in self.known]:
             plain = [x for x in new if x not in self.special]
-            self.known |= dict(zip(plain, self.merge_all([x.encode() for x in plain]), strict=True))
-            self.known |= {x: (self.special[x],) for x in new if x in self.special}
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in pieces]
+            for x, ids in zip(plain, self.merge_all([x.encode() for x in plain]), strict=True):
+                self.known[x] = ids
+            self.known |= {x: np.int32(self.special[x]).tobytes() for x in new if x in self.special}
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32) for x in pieces]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
 
 
 _codecs: dict[int, Codec] = {}
@@ -182,10 +187,10 @@ def _codec(source: str) -> Codec:
     return _codecs[key]
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
+def _lists(ids: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
 
 
 def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
@@ -204,7 +209,7 @@ def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         ids = codec.encode(x or "" for x in block.column("text").to_pylist())
         return {"doc_id": block.column("doc_id"), "ids": _lists(ids)} | ({"decoded": [codec.decode(x) for x in ids]} if decoded else {})
 
-    return map_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded, work)
+    return map_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded, work, BLOCK)
 
 
 def bpe_decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
