@@ -36,8 +36,8 @@ class Counter:
     """Counts and log-probabilities of pre-tokens. A letter outside the vocabulary is one piece for each of its bytes."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: every ending of a piece, with its score if it is a piece itself
+        self.endings = {p[i:]: scores.get(p[i:]) for p in scores for i in range(len(p))}
         self.byte = min(scores.values(), default=0.0) - 1
         self.known: dict[str, tuple[int, float]] = {}
         self.nodes = 0
@@ -46,8 +46,7 @@ class Counter:
         """Of each marked word: pieces on its best path (of equal paths the shortest) and the path's score."""
         out: dict[str, tuple[int, float]] = {}
         path: list[tuple[float, int]] = [(0.0, 0)]  # by depth: score and minus the pieces of the best split
-        last = ""
-        scores, longest = self.scores, self.longest
+        last, endings = "", self.endings
         for word in sorted(set(words)):
             shared = 0
             for a, b in zip(last, word, strict=False):
@@ -59,11 +58,14 @@ class Counter:
                 n = len(word[end - 1].encode())
                 score, pieces = path[end - 1]
                 best = (score + n * self.byte, pieces - n)
-                for start in range(max(0, end - longest), end):
-                    own = scores.get(word[start:end])
-                    if own is not None:
+                for start in range(end - 1, -1, -1):
+                    part = word[start:end]
+                    if part not in endings:
+                        break  # no piece ends so, nor in anything longer
+                    if (own := endings[part]) is not None:
                         score, pieces = path[start]
-                        best = max(best, (score + own, pieces - 1))
+                        if (found := (score + own, pieces - 1)) > best:
+                            best = found
                 path.append(best)
             self.nodes += len(word) - shared
             out[word] = (-path[-1][1], path[-1][0])
