@@ -99,7 +99,7 @@ def main() -> None:
         lambda: anomaly.fit_anomaly(plain, FLOW_NUMERICS, method="conv1d", key="l_orderkey", steps=CONV_STEPS),
     )
     timed("conv_score", lambda: drain(anomaly.anomaly_score(conv, plain)))
-    stacked = timed("ensemble_fit", lambda: ensemble.ensemble_fit(plain, FLOW_LAYOUT, max_iter=30))
+    stacked = timed("ensemble_fit", lambda: ensemble.ensemble_fit(plain, FLOW_LAYOUT))
     timed("ensemble_score", lambda: drain(ensemble.ensemble_score(stacked, plain)))
     timed("ensemble_score_saved_bounds", lambda: drain(ensemble.ensemble_score(stacked, plain, bounds="saved")))
 
