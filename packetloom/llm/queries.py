@@ -153,10 +153,10 @@ WITH RECURSIVE split AS (
 starts AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM split WHERE len(words) > 0),
 sets AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle FROM starts),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-overlaps AS (
+common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM overlaps JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT s.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(least_b, s.doc_id)) AS component_id
 FROM split s LEFT JOIN sizes z ON z.doc_id = s.doc_id
