@@ -71,7 +71,7 @@ def _seed_rows(docs: DataFrame, n_buckets: int) -> DataFrame:
             first = run_starts(whole[order])
             owner = ids[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
             later = order[(ids[order] > owner)]
-            kept = order[first]
+            kept = order[ids[order] == owner]  # an anchor that its owner repeats is met at each place
             bucket = (seeds[kept] % np.uint64(n_buckets)).astype(np.int64)
             kept = kept[np.argsort(bucket, kind="stable")]
             bucket.sort()
