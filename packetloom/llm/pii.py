@@ -55,7 +55,7 @@ _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 #: Kind and pattern, the first that matches at a place counts. A group called ``v`` is the entity, else all of it.
 PATTERNS = (
     ("email", r"[A-Za-z0-9ß-öø-ÿ_+-]+(?:\.[A-Za-z0-9ß-öø-ÿ_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
-    ("secret", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<v_secret>[A-Za-z0-9_/+.-]{8,})"),
+    ("secret", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<v_secret>(?=[_/+.-]*[A-Za-z0-9])[A-Za-z0-9_/+.-]{8,})"),
     ("secret", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{40}|[0-9a-f]{64})\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),

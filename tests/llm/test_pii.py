@@ -105,3 +105,12 @@ def test_collisions_are_resolved(spark, monkeypatch, few):
     docs = spark.createDataFrame([(i, f"from 192.168.0.{1 + i % 120} there", "x") for i in range(400)], "doc_id long, text string, entity string")
     key = next(k for k in (b"%d" % i for i in range(50)) if len({surrogate(k, "ipv4", f"192.168.0.{j}") for j in range(1, 121)}) < 120)
     check(docs, pseudonymise(docs, key))
+
+
+def test_form_blanks_and_underlined_headings_are_no_secrets(spark):
+    texts = ["Password: ________", "token: ........", "Password:\n----------\nfor 1 of you", "secret = ++++//++++ 5", "api_key: ________ or token: ...."]
+    assert [entities(t) for t in texts] == [[]] * len(texts)
+    assert [e for *_, e in entities("Password: _______x, token: --------9")] == ["_______x", "--------9"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, "token: hunterhunter1"])], "doc_id long, text string, entity string")
+    made = {r.doc_id: r.text for r in pseudonymise(docs, KEY).collect()}
+    assert [made[i] for i in range(len(texts))] == texts and made[len(texts)] != "token: hunterhunter1"
