@@ -47,7 +47,7 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("er", "son", "man", "dal", "ton", "ard"), "cyrillic": ("ов", "ин", "ко"), "greek": ("ίδης", "άκης", "όπουλος")}
 
-_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω", "a-zß-öø-ÿа-яёά-ώ"
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-ΊΌΎΏ", "a-zß-öø-ÿа-яёά-ώ"
 _NAME = f"[{_UPPER}][{_LOWER}]+(?:['’-][{_UPPER}][{_LOWER}]+)?"
 _GENDER = {n: g for by in GIVEN.values() for g, names in by.items() for n in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
@@ -68,17 +68,24 @@ PATTERNS = (
 _FIND = {
     names: re.compile("|".join(f"(?P<k{i}>{p})" for i, (k, p) in enumerate(PATTERNS) if names or k != "name")) for names in (False, True)
 }
-_KEYWORDS = tuple(f(w) for w in ("token", "secret", "passw", "key") for f in (str.lower, str.title, str.upper))
+_KEYWORDS = ("token", "secret", "passw", "key")
+_DIGIT = re.compile(r"\d")  # of any script, as in the patterns
+_KEY_STARTS = ("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+_HEX_LETTERS = re.compile("[a-f]{40}")
 _TWO_NAMES = re.compile(f"[{_UPPER}][{_LOWER}'’-]*[ \t]+[{_UPPER}][{_LOWER}]")
 _DOTTED = tuple(f"{t}. " for t in _TITLE) + tuple(f"{t}.\t" for t in _TITLE)
 
 
 def may_hold(text: str) -> tuple[bool, bool]:
-    """Whether the text has what the patterns need: a digit, an @ or a key word (small, capitalised or in capitals); and, for names, two capitalised words in a row or a title with a dot."""
-    return (
-        any(c in text for c in "@0123456789") or any(w in text for w in _KEYWORDS),
-        any(t in text for t in _DOTTED) or _TWO_NAMES.search(text) is not None,
-    )
+    """Whether the text has what the patterns need: a digit, an @, a key word in any case or the start of a key without digits; and, for names, two capitalised words in a row or a title with a dot.
+
+    Every text with an entity passes.
+    """
+    other = any(c in text for c in "@0123456789") or any(w in text for w in _KEY_STARTS)
+    if not other:
+        folded = text.casefold()  # as (?i) does, this takes ſ for s and the Kelvin sign for k
+        other = any(w in folded for w in _KEYWORDS) or _HEX_LETTERS.search(text) is not None or (not text.isascii() and _DIGIT.search(text) is not None)
+    return other, any(t in text for t in _DOTTED) or _TWO_NAMES.search(text) is not None
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
