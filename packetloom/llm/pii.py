@@ -7,7 +7,9 @@ country code, a card number its issuer digit and check digit, an address its pri
 secret its alphabet, a name its gender, script and letter case.
 
 Distinctness is checked over the whole table: where the surrogates of two entities coincide, or one is an
-entity of the table itself, all but the first take the next attempt, until none is left.
+entity of the table itself, all but the first take the next attempt, until none is left. Where a form has few
+values, as 192.168.x.x, attempts from ``WIDER`` on take a wider form of the kind, and from ``TOKENS`` on a
+token of letters that names the kind, so that every entity gets a surrogate however full a space is.
 """
 
 from __future__ import annotations
@@ -111,6 +113,11 @@ def script(text: str) -> str:
     return next((s for c in text for s, a, b in (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ")) if a <= c <= b), "latin")
 
 
+#: Attempts from which on a form with a bounded number of values is widened, and those that take tokens.
+WIDER, TOKENS = 8, 16
+_PHONE = re.compile(next(p for k, p in PATTERNS if k == "phone"))
+
+
 class _Stream:
     """Numbers drawn one after another from the HMAC of kind, entity and attempt."""
 
@@ -169,8 +176,11 @@ def _iban(text: str, draw: _Stream) -> str:
     return f"{text[:2]}{check:02d}{body}"
 
 
-def _ip(text: str, draw: _Stream) -> str:
+def _ip(text: str, draw: _Stream, attempt: int) -> str:
+    """The same range; a small private range widens to 10.x.x.x."""
     a, b, _, _ = map(int, text.split("."))
+    if attempt >= WIDER and (a == 127 or (a, b) in ((192, 168), (169, 254)) or (a == 172 and 16 <= b < 32)):
+        a = 10
     if a == 10 or a == 127:
         head = [a, draw.below(256)]
     elif (a, b) in ((192, 168), (169, 254)):
@@ -183,6 +193,24 @@ def _ip(text: str, draw: _Stream) -> str:
     return ".".join(map(str, [*head, draw.below(256), 1 + draw.below(254)]))
 
 
+def _phone(text: str, draw: _Stream, attempt: int) -> str:
+    """Country code kept; widens by digits at the end where the form allows it."""
+    fixed = len(re.match(r"\+?(\d{1,3}(?=\D))?", text)[1] or "") if text.startswith("+") else 0
+    longer = text + "0" * max(0, attempt - WIDER + 1)
+    return _digits(longer if _PHONE.fullmatch(longer) else text, draw, fixed)
+
+
+def _secret(text: str, draw: _Stream, attempt: int) -> str:
+    """The same alphabet; widens by characters of the kinds it has."""
+    kinds = [c for c in text if c.isalnum()]
+    return _same_letters(text + "".join(draw.of(kinds) for _ in range(max(0, attempt - WIDER + 1))), draw)
+
+
+def _token(kind: str, draw: _Stream) -> str:
+    """The kind and letters that no pattern matches, for spaces that are full."""
+    return f"{kind}-" + "".join(draw.of("ghijklmnopqrstuvwxyz") for _ in range(24))
+
+
 def _email(text: str, draw: _Stream, attempt: int) -> str:
     """A new local part of the same form at a reserved domain with the same ending."""
     local, domain = text.rsplit("@", 1)
@@ -196,7 +224,7 @@ def _name(text: str, kind: str, draw: _Stream, attempt: int) -> str:
     given = GIVEN[letters]["mf"[draw.below(2)] if gender == "n" else gender]
     surname = lambda: "".join(draw.of(SYLLABLES[letters]) for _ in range(3 + attempt)).capitalize() + draw.of(ENDINGS[letters])
     words = text.split()
-    first = draw.of(given) if len(words) > 1 or words[0] in _GENDER else surname()
+    first = draw.of(given) if len(words) > 1 or (words[0] in _GENDER and attempt < WIDER) else surname()
     return " ".join([first, *(surname() for _ in words[1:])])
 
 
@@ -204,25 +232,27 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The replacement of an entity; never the entity itself."""
     for again in range(1000):
         draw = _Stream(key, kind, entity, attempt * 1000 + again)
+        if attempt >= TOKENS and kind in ("ipv4", "card", "iban", "phone", "ssn"):
+            return _token(kind, draw)
         if kind == "email":
             made = _email(entity, draw, attempt)
         elif kind == "ipv4":
-            made = _ip(entity, draw)
+            made = _ip(entity, draw, attempt)
         elif kind == "card":
             made = _card(entity, draw)
         elif kind == "iban":
             made = _iban(entity, draw)
         elif kind == "phone":
-            made = _digits(entity, draw, len(re.match(r"\+?(\d{1,3}(?=\D))?", entity)[1] or "") if entity.startswith("+") else 0)
+            made = _phone(entity, draw, attempt)
         elif kind == "ssn":
             made = _digits(entity, draw, 0)
         elif kind.startswith("name"):
             made = _name(entity, kind, draw, attempt)
         else:
-            made = _same_letters(entity, draw)
+            made = _secret(entity, draw, attempt)
         if made != entity:
             return made
-    raise ValueError(f"no surrogate for a {kind}")
+    return _token(kind.split(":")[0], draw)
 
 
 def _drawn(found: DataFrame, key: bytes) -> DataFrame:
@@ -236,16 +266,17 @@ def _drawn(found: DataFrame, key: bytes) -> DataFrame:
     return found.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, made string")
 
 
-def later_attempts(found: DataFrame, key: bytes, most_rounds: int = 50) -> DataFrame:
+def later_attempts(found: DataFrame, key: bytes) -> DataFrame:
     """``kind``, ``entity``, ``attempt`` of the entities whose first surrogate is taken.
 
     A round draws, groups by surrogate and advances all but the least entity of a group, and every one
     whose surrogate is an entity of the table. Only entities that collide go into the next round, checked
-    against the surrogates of all others.
+    against the surrogates of all others. Every kind ends in values whose number grows or is beyond any
+    table's, so rounds end: a full space needs a few more than ``TOKENS``.
     """
     state = materialize(_drawn(found.withColumn("attempt", F.lit(0)), key), "pii-attempt")
     real = found.select(F.col("entity").alias("made")).distinct()
-    for _ in range(most_rounds):
+    while True:
         first = state.groupBy("made").agg(F.min(F.struct("attempt", "kind", "entity")).alias("owner"), F.count("*").alias("n"))
         taken = first.join(real.withColumn("real", F.lit(True)), "made", "left").where("n > 1 or real")
         hit = state.join(taken, "made").where(F.col("real") | (F.struct("attempt", "kind", "entity") != F.col("owner"))).select("kind", "entity")
@@ -254,7 +285,6 @@ def later_attempts(found: DataFrame, key: bytes, most_rounds: int = 50) -> DataF
             return state.where("attempt > 0").select("kind", "entity", "attempt")
         again = state.join(hit.withColumn("hit", F.lit(True)), ["kind", "entity"], "left")
         state = materialize(_drawn(again.where("hit").withColumn("attempt", F.col("attempt") + 1), key).union(again.where("hit is null").select("kind", "entity", "attempt", "made")), "pii-attempt")
-    raise ValueError("surrogates keep colliding")
 
 
 def found_entities(docs: DataFrame, text: str) -> DataFrame:

@@ -134,3 +134,27 @@ def test_filter_passes_every_text_with_an_entity(monkeypatch):
     filtered = [entities(t) for t in texts]
     monkeypatch.setattr(pii, "may_hold", lambda text: (True, True))
     assert filtered == [entities(t) for t in texts] and sum(map(len, filtered)) > 1000
+
+
+def test_attempts_widen_what_is_bounded():
+    for kind, found, again in (("ipv4", "192.168.1.5", "10."), ("phone", "+1 2345", "+1 "), ("secret", "x_______", ""), ("name:latin:m", "Adam", "")):
+        many = {surrogate(KEY, kind, found, a) for a in range(pii.WIDER, pii.TOKENS)}
+        assert len(many) == pii.TOKENS - pii.WIDER and all(m.startswith(again) for m in many)
+        for m in many:
+            text = {"secret": "token: ", "name:latin:m": "Mr "}.get(kind, "") + m
+            assert [(k.split(":")[0], e) for _, _, k, e in entities(text)] == [(kind.split(":")[0], m)], text
+    for kind, (found, *_) in CASES.items():
+        late = surrogate(KEY, kind, found, pii.TOKENS)
+        assert late != found and (kind in ("email", "secret") or entities(f"so {late} it") == [])
+
+
+def test_full_spaces_have_surrogates(spark):
+    found = [f"192.168.{i}.{j}" for i in range(160) for j in range(1, 255)] + [f"+1 {i:04d}" for i in range(6000)]
+    found += [f"Mr {n}" for n in GIVEN["latin"]["m"]] + [f"token: {c}_______" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame([(i, "; ".join(found[i::500])) for i in range(500)], "doc_id long, text string").repartition(4).cache()
+    made = {r.doc_id: r.text for r in pseudonymise(docs, KEY).collect()}
+    mapping = {}
+    for i in range(500):
+        for a, b in zip(found[i::500], made[i].split("; "), strict=True):
+            mapping[a] = b
+    assert len(mapping) == len(found) == len(set(mapping.values())) and not set(mapping) & set(mapping.values())
