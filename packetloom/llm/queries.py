@@ -202,7 +202,7 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxic_cnn")
 def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    made = toxic_cnn.score(docs, toxic_cnn.train(docs, read_table(spark, sf_dir, "labels")))
+    made = toxic_cnn.train_and_score(docs, read_table(spark, sf_dir, "labels"))
     return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxic_cnn.TOXIC).cast("int").alias("predicted"), "threshold", "flagged")
 
 

@@ -3,30 +3,34 @@
 The network is trained in numpy on a bounded sample of labelled rows. As a filter's response to a window is
 a sum of one part per word, a text is scored by looking up each word's parts, adding them up along the
 text and taking each filter's largest response: the whole text is read, whatever its length.
+
+Thresholds by language come from all labelled rows that the network wasn't trained on, counted by Spark.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import fold, map_blocks, materialize
+from packetloom.llm.common import fold, heavy_light_join, map_blocks, materialize
 
 #: Labelled rows used to fit, at most, of either class: the first by a hash of their ids.
 MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
 #: Rows of the embedding table, their length, filters of each width, widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
-#: Passes, batch size, step; every fifth row of the sample is kept to calibrate.
+#: Passes, batch size, step; every fifth row of the sample is kept to scale the scores.
 EPOCHS, BATCH, STEP, LEAK = 12, 150, 0.02, 0.1
 #: A text is toxic from this score on, where no language says otherwise.
 TOXIC = 0.7
-#: Words whose parts a worker remembers; then it forgets them all. Languages with a threshold of their own.
-REMEMBERED, MOST_LANGUAGES = 150_000, 100
+#: Score bins between whose edges a language's threshold is chosen.
+BINS = 10_000
+#: Words whose parts a worker remembers; then it forgets them all.
+REMEMBERED = 150_000
 
 _EDGE = b".,;:!?\"'()[]{}|*%&$#<>-_"
 _PARTS = sum(WIDTHS)
@@ -70,7 +74,7 @@ class Network:
     out: np.ndarray
     offset: float = 0.0
     scale: tuple[float, float] = (1.0, 0.0)
-    thresholds: dict = field(default_factory=dict)
+    thresholds: DataFrame | None = None  # lang, threshold
 
     def parts(self, rows: np.ndarray) -> np.ndarray:
         """Words x parts x filters: what a word adds to each response."""
@@ -215,26 +219,22 @@ def threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float(best[np.argmin(np.abs(best - TOXIC))])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", parts: int = 3, held_out: int = 1) -> Network:
-    """Fit on rows whose crc32(id) mod ``parts`` isn't ``held_out``; the scale of the scores and the languages' thresholds come from every fifth of them.
-
-    An id with several labels counts as toxic if any is 1; null labels and ids don't count. A sample
-    without both classes gives the untrained network, whose scores are all 0.5. A bounded number of rows comes to the driver.
-    """
+def _fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, parts: int, held_out: int) -> tuple[Network, DataFrame]:
+    """The network without thresholds, and ``doc_id``, ``y`` of the labelled rows of the learning fold that it wasn't trained on."""
     order = F.xxhash64("doc_id", F.lit("fit"))
     learn = fold("doc_id", parts) != held_out
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(learn & F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
     chosen = known.where("y = 1").orderBy(order, "doc_id").limit(MOST_TOXIC).union(known.where("y = 0").orderBy(order, "doc_id").limit(MOST_CLEAN))
     chosen = materialize(chosen, "toxic-rows")  # a bounded number
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "y")).alias("r")).orderBy("doc_id").collect()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).orderBy("doc_id").collect()
     y = np.array([r.r.y for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         net = new_network()
         net.out[:] = 0
-        return net
-    texts, langs = [bytes(r.r.text or b"") for r in rows], np.array([r.r.lang or "" for r in rows])
+        return net, known
+    texts = [bytes(r.r.text or b"") for r in rows]
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::5]] = True
@@ -242,29 +242,86 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     memory = Memory()
     margins = np.concatenate([memory.margins(net, texts[i : i + 50]) for i in range(0, len(texts), 50)])
     net.scale = _platt(margins[held], y[held])
-    names, counts = np.unique(langs, return_counts=True)
-    for name in names[np.argsort(-counts, kind="stable")][:MOST_LANGUAGES]:
-        own = held & (langs == name)
-        net.thresholds[str(name)] = threshold(net.scores(margins[own]), y[own])
-    return net
-
+    kept = docs.sparkSession.createDataFrame([(r.doc_id,) for r, h in zip(rows, held, strict=True) if h], known.select("doc_id").schema)
+    trained = chosen.select("doc_id").join(F.broadcast(kept), "doc_id", "left_anti")
+    return net, known.join(F.broadcast(trained), "doc_id", "left_anti")
 
-def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id``, ``score`` (0 to 1), ``threshold`` (of the row's language) and ``flagged`` of every row.
-
-    The score reads the text alone. Null counts as the empty text, which has a score like any other; an unknown
-    or null language takes ``TOXIC``; repeated rows stay.
-    """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size
 
+def _scores(docs: DataFrame, net: Network, doc_id: str, text: str, lang: str) -> DataFrame:
+    """``doc_id``, ``lang`` and ``score`` of every row; the score reads the text alone."""
+    kinds = [docs.schema[c].dataType.simpleString() for c in (doc_id, lang)]
+    shared = docs.sparkSession.sparkContext.broadcast(replace(net, thresholds=None))  # a fixed size
     memory = Memory()
 
     def work(block: pa.RecordBatch) -> dict:
         own = shared.value
         made = own.scores(memory.margins(own, [t or b"" for t in block.column("text").to_pylist()]))
-        cuts = np.array([own.thresholds.get(x or "", TOXIC) for x in block.column("lang").to_pylist()])
-        return {"doc_id": block.column("doc_id"), "score": made, "threshold": cuts, "flagged": made >= cuts}
+        return {"doc_id": block.column("doc_id"), "lang": block.column("lang"), "score": made}
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang"))
-    return map_blocks(rows, "text", f"doc_id {kind}, score double, threshold double, flagged boolean", work)
+    return map_blocks(rows, "text", f"doc_id {kinds[0]}, lang {kinds[1]}, score double", work)
+
+
+def thresholds(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """``lang`` and ``threshold`` of each language with labelled rows, as ``threshold`` has it, over score bins.
+
+    Rows are counted by language and bin before anything is ordered, so a language is at most ``BINS`` + 1 rows,
+    whatever its size. An id that stands in several rows counts once, by its lowest score. Languages with one class
+    alone, or whose cuts find nothing, have ``TOXIC``.
+    """
+    rows = scored.where("doc_id is not null").select("doc_id", "lang", "score").join(known, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("score", F.coalesce("lang", F.lit("")).alias("lang"))).alias("r"), F.max("y").alias("y"))
+    edge = lambda k: k / F.lit(float(BINS))
+    low = F.floor(F.col("r.score") * BINS)
+    fits = low + F.when(F.col("r.score") >= edge(low + 1), 1).when(F.col("r.score") < edge(low), -1).otherwise(0)
+    counts = rows.groupBy(F.col("r.lang").alias("lang"), fits.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("n1"))
+    own = Window.partitionBy("lang")
+    up = own.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    bins = counts.select("lang", "bin", F.sum("n").over(up).alias("called"), F.sum("n1").over(up).alias("hits"), F.sum("n").over(own).alias("all"), F.sum("n1").over(own).alias("all1"), F.lag("bin").over(own.orderBy("bin")).alias("below"))
+    usual = round(TOXIC * BINS)
+    inside = (F.col("bin") >= usual) & (F.col("below").isNull() | (F.col("below") < usual))
+    cut = F.when(inside, usual).otherwise(F.floor((F.col("below") + 1 + F.col("bin")) / 2))  # null: the lowest bin alone has no cut below it
+    f1 = F.when((F.col("all1") > 0) & (F.col("all1") < F.col("all")) & (F.col("hits") > 0) & cut.isNotNull(), 2 * F.col("hits") / (F.col("called") + F.col("all1")))
+    best = F.max(F.when(f1.isNotNull(), F.struct(f1.alias("f1"), (-F.abs(cut - usual)).alias("near"), (-cut).alias("cut"))))
+    return bins.groupBy("lang").agg(best.alias("b")).select("lang", F.coalesce(edge(-F.col("b.cut")), F.lit(TOXIC)).alias("threshold"))
+
+
+def _cut(scored: DataFrame, cuts: DataFrame | None) -> DataFrame:
+    """``doc_id``, ``score``, ``threshold``, ``flagged``; languages with many rows are broadcast, the others joined."""
+    rows = scored.withColumn("lang", F.coalesce("lang", F.lit("")))
+    if cuts is not None:
+        counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+        keyed = materialize(counts.join(cuts, "lang"), "toxic-cuts")
+        rows = heavy_light_join(rows, keyed, "lang", "n", scored.count(), ["threshold"])
+    else:
+        rows = rows.withColumn("threshold", F.lit(None).cast("double"))
+    cut = F.coalesce("threshold", F.lit(TOXIC))
+    return rows.select("doc_id", "score", cut.alias("threshold"), (F.col("score") >= cut).alias("flagged"))
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", parts: int = 3, held_out: int = 1) -> Network:
+    """Fit on rows whose crc32(id) mod ``parts`` isn't ``held_out``; the scale of the scores comes from every fifth
+    of the sample, the languages' thresholds from all of the rows that the network wasn't trained on.
+
+    An id with several labels counts as toxic if any is 1; null labels and ids don't count. A sample
+    without both classes gives the untrained network, whose scores are all 0.5. A bounded number of rows comes to the driver.
+    """
+    net, known = _fit(docs, labels, doc_id, text, label, parts, held_out)
+    net.thresholds = materialize(thresholds(_scores(docs, net, doc_id, text, lang), known), "toxic-thresholds")
+    return net
+
+
+def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc_id``, ``score`` (0 to 1), ``threshold`` (of the row's language) and ``flagged`` of every row.
+
+    The score reads the text alone. Null counts as the empty text, which has a score like any other; a language
+    without labelled rows takes ``TOXIC``; null and empty languages are one; repeated rows stay.
+    """
+    return _cut(materialize(_scores(docs, net, doc_id, text, lang), "toxic-scores"), net.thresholds)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", parts: int = 3, held_out: int = 1) -> DataFrame:
+    """``score`` of the rows of ``docs`` by the network that ``train`` fits on them; the texts are scored once for both."""
+    net, known = _fit(docs, labels, doc_id, text, label, parts, held_out)
+    made = materialize(_scores(docs, net, doc_id, text, lang), "toxic-scores")
+    return _cut(made, materialize(thresholds(made, known), "toxic-thresholds"))

@@ -82,3 +82,35 @@ def test_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in made)
     fresh = [r for r in made if r.held_out]
     assert np.mean([r.predicted == r.toxic for r in fresh]) > 0.9
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["en", "de", "xx", None]), rng.choice([0.05, 0.31, 0.33, 0.5, 0.52, 0.7, 0.9]), rng.random()) for i in range(3000)]
+    rows = [(i, lang, s, int(u < (s if lang != "de" else s * s))) for i, lang, s, u in rows]
+    rows += [(9000 + i, f"lang {i}", s, y) for i in range(0, 300, 2) for i, s, y in ((i, 0.2, 0), (i + 1, 0.4, 1))]
+    rows = [(i, f"lang {(i - 9000) // 2}" if i >= 9000 else lang, s, y) for i, lang, s, y in rows]  # 150 languages of two rows
+    rows += [(9900, "one", 0.3, 1), (9901, "one", 0.4, 1), (9902, "low", 0.3, 1), (9903, "low", 0.4, 0)]
+    scored = spark.createDataFrame([r[:3] for r in rows] + [rows[0][:3], (None, "en", 0.1)], "doc_id long, lang string, score double")
+    got = {r.lang: r.threshold for r in toxic_cnn.thresholds(scored, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, y int")).collect()}
+    for lang in {r[1] or "" for r in rows}:
+        own = [(s, y) for _, x, s, y in rows if (x or "") == lang]
+        s, y = np.array([a for a, _ in own]), np.array([b for _, b in own])
+        want = toxic_cnn.threshold(s, y)
+        assert ((s >= got[lang]) == (s >= want)).all() and abs(got[lang] - want) < 2 / toxic_cnn.BINS, lang
+    assert got["one"] == got["low"] == toxic_cnn.TOXIC and abs(got["lang 149"] - 0.3) < 2 / toxic_cnn.BINS
+
+
+def test_rare_languages_beyond_the_sample_have_thresholds(spark, monkeypatch):
+    monkeypatch.setattr(toxic_cnn, "MOST_TOXIC", 60)
+    monkeypatch.setattr(toxic_cnn, "MOST_CLEAN", 120)
+    rows = [(i, t, f"l{i % 150}", y) for i, t, _, y in corpus(3000, 6)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    net = toxic_cnn.train(docs, labels)
+    learnt = {x for i, _, x, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r.lang for r in net.thresholds.collect()} == learnt and len(learnt) == 150
+    made = sorted(toxic_cnn.score(docs, net).collect())
+    assert made == sorted(toxic_cnn.train_and_score(docs, labels).collect()) and len(made) == 3000
+    cuts, langs = {r.lang: r.threshold for r in net.thresholds.collect()}, {i: x for i, _, x, _ in rows}
+    assert all(r.threshold == cuts[langs[r.doc_id]] for r in made)
