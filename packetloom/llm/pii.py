@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,12 +50,36 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("er", "son", "man", "dal", "ton", "ard"), "cyrillic": ("ов", "ин", "ко"), "greek": ("ίδης", "άκης", "όπουλος")}
 
-_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-ΊΌΎΏ", "a-zß-öø-ÿа-яёά-ώ"
-_NAME = f"[{_UPPER}][{_LOWER}]+(?:['’-][{_UPPER}][{_LOWER}]+)?"
+def _letters(last: int, *categories: str) -> str:
+    """Ranges, for a class of ``re``, of the characters in Unicode categories, up to the character ``last``."""
+    out: list[list[int]] = []
+    for c in range(last + 1):
+        if unicodedata.category(chr(c)) in categories:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in out)
+
+
+#: The last character of texts without rare scripts, whose short classes are quick; letters with case lie in the first two planes.
+_LAST = {False: 0xFFFF, True: 0x1FFFF}
+_RARE = re.compile("[\U00010000-\U0010ffff]")
+_CASES = {rare: (_letters(last, "Lu", "Lt"), _letters(last, "Ll"), _letters(last, "Mn", "Mc")) for rare, last in _LAST.items()}
+
+
+def _name_pattern(rare: bool) -> str:
+    """Words of a capital, a small letter and all letters with case that follow, so that a name ends where its word does."""
+    upper, lower, mark = _CASES[rare]
+    word = f"[{upper}][{mark}]*[{lower}][{upper}{lower}{mark}]*"
+    return f"{word}(?:['’-]{word})?"
+
+
+_NAME = "<name>"
 _GENDER = {n: g for by in GIVEN.values() for g, names in by.items() for n in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 
-#: Kind and pattern, the first that matches at a place counts. A group called ``v`` is the entity, else all of it.
+#: Kind and pattern, the first that matches at a place counts. A group called ``v`` is the entity, else all of it; ``_NAME`` stands for a name.
 PATTERNS = (
     ("email", r"[A-Za-z0-9ß-öø-ÿ_+-]+(?:\.[A-Za-z0-9ß-öø-ÿ_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
     ("secret", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<v_secret>(?=[_/+.-]*[A-Za-z0-9])[A-Za-z0-9_/+.-]{8,})"),
@@ -68,16 +93,22 @@ PATTERNS = (
     ("name", rf"\b(?:{'|'.join(_GENDER)})[ \t]+{_NAME}"),
 )
 _FIND = {
-    names: re.compile("|".join(f"(?P<k{i}>{p})" for i, (k, p) in enumerate(PATTERNS) if names or k != "name")) for names in (False, True)
+    (names, rare): re.compile("|".join(f"(?P<k{i}>{p.replace(_NAME, _name_pattern(rare))})" for i, (k, p) in enumerate(PATTERNS) if names or k != "name"))
+    for names in (False, True)
+    for rare in (False, True)
 }
 _KEYWORDS = ("token", "secret", "passw", "key")
 _DIGIT = re.compile(r"\d")  # of any script, as in the patterns
 _KEY_STARTS = ("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 _HEX_LETTERS = re.compile("[a-f]{40}")
-_TWO_NAMES = re.compile(f"[{_UPPER}][{_LOWER}'’-]*[ \t]+[{_UPPER}][{_LOWER}]")
+_TWO_NAMES = {r: re.compile(f"[{u}][{l}{m}'’-]*[ \\t]+[{u}][{m}]*[{l}]") for r, (u, l, m) in _CASES.items()}
 _DOTTED = tuple(f"{t}. " for t in _TITLE) + tuple(f"{t}.\t" for t in _TITLE)
 
 
+def _rare(text: str) -> bool:
+    return not text.isascii() and _RARE.search(text) is not None
+
+
 def may_hold(text: str) -> tuple[bool, bool]:
     """Whether the text has what the patterns need: a digit, an @, a key word in any case or the start of a key without digits; and, for names, two capitalised words in a row or a title with a dot.
 
@@ -87,7 +118,7 @@ def may_hold(text: str) -> tuple[bool, bool]:
     if not other:
         folded = text.casefold()  # as (?i) does, this takes ſ for s and the Kelvin sign for k
         other = any(w in folded for w in _KEYWORDS) or _HEX_LETTERS.search(text) is not None or (not text.isascii() and _DIGIT.search(text) is not None)
-    return other, any(t in text for t in _DOTTED) or _TWO_NAMES.search(text) is not None
+    return other, any(t in text for t in _DOTTED) or _TWO_NAMES[_rare(text)].search(text) is not None
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -96,7 +127,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     other, names = may_hold(text)
     if not (other or names):
         return out
-    for m in _FIND[names].finditer(text):
+    for m in _FIND[names, _rare(text)].finditer(text):
         groups = m.groupdict()
         i = next(i for i in range(len(PATTERNS)) if groups.get(f"k{i}") is not None)
         kind, group = PATTERNS[i][0], next((g for g in ("v_secret", "v_name") if groups.get(g) is not None), 0)
@@ -110,7 +141,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def script(text: str) -> str:
-    return next((s for c in text for s, a, b in (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ")) if a <= c <= b), "latin")
+    return next((s for c in text for s, a, b in (("cyrillic", "Ѐ", "ԯ"), ("greek", "Ͱ", "Ͽ"), ("greek", "ἀ", "῿")) if a <= c <= b), "latin")
 
 
 #: Attempts from which on a form with a bounded number of values is widened, and those that take tokens.

@@ -158,3 +158,18 @@ def test_full_spaces_have_surrogates(spark):
         for a, b in zip(found[i::500], made[i].split("; "), strict=True):
             mapping[a] = b
     assert len(mapping) == len(found) == len(set(mapping.values())) and not set(mapping) & set(mapping.values())
+
+
+def test_names_end_where_their_words_do():
+    for text, found in (
+        ("said Mr Kowalczyński to", "Kowalczyński"),
+        ("sagte Herr Škoda dann", "Škoda"),
+        ("by Anna Dvořáková-Šťastná in", "Anna Dvořáková-Šťastná"),
+        ("said Mr McDonald to", "McDonald"),
+        ("said Mr Kowalczyn\u0301ski to", "Kowalczyn\u0301ski"),
+        ("said Mr S\u030ckoda to", "S\u030ckoda"),
+        ("said Mrs Nguyễn Đặng to", "Nguyễn Đặng"),
+        ("said Mr 𐐀𐐨𐐩 to", "𐐀𐐨𐐩"),
+    ):
+        assert [e for *_, e in entities(text)] == [found]
+        assert replaced(text, KEY, {})[0] == text.replace(found, surrogate(KEY, entities(text)[0][2], found))
