@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from packetloom.llm import pu_quality, toxic_cnn
 from packetloom.llm.bpe import bpe_encode
 from packetloom.llm.common import fold, read_table
+from packetloom.llm.hamming_index import nearest
 from packetloom.llm.host_rules import host_rules
 from packetloom.llm.jaccard_tree import jaccard_components
 from packetloom.llm.mixture import mix_sources
 from packetloom.llm.order_minhash import edited_likeness
 from packetloom.llm.pii import pseudonymise
+from packetloom.llm.prefix_trie import prefix_trie
 from packetloom.llm.seed_extend import remove_repeats
+from packetloom.llm.spelling import spelling_variants
 from packetloom.llm.trie_counts import token_counts
 
 #: Stands for the secret key that a user passes to the surrogates.
@@ -215,3 +218,101 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, spans="entities")
     return made.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
+#: DuckDB has no crc32: the table of its byte steps, and the checksum of a list of bytes.
+CRC_TABLE = """SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))"""
+
+
+def crc32_sql(text: str) -> str:
+    """The checksum of a text of code points below U+0800 in UTF-8; ``t`` is the table's list."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    octets = f"flatten(list_transform({codes}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])))"
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+hashed AS (
+  SELECT run, n, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL) CROSS JOIN crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+skips AS (SELECT word, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM places),
+pairs AS (
+  SELECT x.word AS u, y.word AS v FROM skips x JOIN skips y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT s.word, w.word FROM skips s JOIN words w ON w.word = s.a || s.b
+  UNION SELECT w.word, s.word FROM skips s JOIN words w ON w.word = s.a || s.b),
+ranked AS (
+  SELECT u, v, n, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r, count(*) OVER (PARTITION BY u) AS n_near
+  FROM pairs JOIN words ON word = v),
+forms AS (
+  SELECT w.word, CASE WHEN r.n >= 2 * w.n THEN v END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON u = w.word AND r = 1),
+chain AS (
+  SELECT word, word AS up, 0 AS d FROM forms
+  UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN forms f ON f.word = c.up WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT arg_max(up, d) FROM chain c WHERE c.word = f.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms f
+"""
+
+
+@query("op11_spelling_trie_pairs", SPELLING_SQL)
+def op11_spelling_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_multi_index_hashing")
+def op12_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+TRIE_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, digest, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place
+  FROM (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS digest, length(text) AS chars FROM rows)),
+convs AS (
+  SELECT conv_id, own, conv_id - conv_id % 100 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT conv_id, count(*) AS own FROM rows GROUP BY conv_id) CROSS JOIN crc),
+led AS (
+  SELECT c.*, least(h, coalesce(b.own, 0)) AS lead FROM convs c LEFT JOIN (SELECT conv_id AS base, own FROM convs) b USING (base)),
+seqs AS (
+  SELECT c.conv_id, place AS depth, digest, chars FROM led c JOIN turns t ON t.conv_id = c.base AND place <= lead
+  UNION ALL SELECT c.conv_id, lead + place - h, digest, chars FROM led c JOIN turns t ON t.conv_id = c.conv_id AND place > h),
+steps AS (
+  SELECT conv_id, depth, chars, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS is_end
+  FROM seqs),
+linked AS (SELECT *, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS above FROM steps),
+nodes AS (
+  SELECT key, min(above) AS above, count(*) AS n_convs, min(conv_id) AS conv_id, min(depth) AS depth, min(chars) AS chars FROM linked GROUP BY key
+  UNION ALL SELECT 'root', NULL, count(*), min(conv_id), 0, 0 FROM convs HAVING count(*) > 0),
+kids AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+tree AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (key)),
+paths AS (
+  SELECT s.key, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * t.chars AS saved FROM tree t JOIN steps s ON s.conv_id = t.conv_id AND s.depth <= t.depth
+  UNION ALL SELECT 'root', (n_children = 0)::BIGINT, (n_convs - 1) * chars FROM tree),
+totals AS (SELECT key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM paths GROUP BY key),
+ends AS (
+  SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT key, conv_id FROM steps WHERE is_end UNION ALL SELECT 'root', conv_id FROM convs WHERE conv_id NOT IN (SELECT conv_id FROM steps))
+  GROUP BY key)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM tree t LEFT JOIN tree p ON p.key = t.above LEFT JOIN totals o ON o.key = t.key LEFT JOIN ends e ON e.key = t.key
+"""
+
+
+@query("op13_prefix_trie_contraction", TRIE_SQL)
+def op13_prefix_trie_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
