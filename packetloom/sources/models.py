@@ -6,15 +6,20 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from packetloom.operators.conv import ConvReconstruction
+from packetloom.operators.frequency_index import IndexedModel
+from packetloom.operators.mlp import MaliciousScorer
+
+#: Models that store themselves in Parquet.
+OWN_FORMAT = (ConvReconstruction, MaliciousScorer, IndexedModel)
 
 
 def save_model(model, path: str, spark: SparkSession | None = None) -> None:
     """Save a fitted model, replacing what is there.
 
-    Spark ML models use their own format; the convolutional reconstruction is
-    one Parquet row of arrays.
+    Spark ML models use their own format; the convolutional reconstruction and
+    the perceptron are one Parquet row of arrays, an index its tables.
     """
-    if isinstance(model, ConvReconstruction):
+    if isinstance(model, OWN_FORMAT):
         model.save(spark or SparkSession.getActiveSession(), path)
     else:
         model.write().overwrite().save(path)
@@ -22,6 +27,6 @@ def save_model(model, path: str, spark: SparkSession | None = None) -> None:
 
 def load_model(path: str, kind: type = PipelineModel, spark: SparkSession | None = None):
     """Load what ``save_model`` saved; ``kind`` names the model class."""
-    if kind is ConvReconstruction:
-        return ConvReconstruction.load(spark or SparkSession.getActiveSession(), path)
+    if kind in OWN_FORMAT:
+        return kind.load(spark or SparkSession.getActiveSession(), path)
     return kind.load(path)

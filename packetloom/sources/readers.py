@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.columns import named, quoted
 from packetloom.operators.sampling import limit_rows
+from packetloom.sources.columns_json import read_column_documents
 
 INDEX_COLUMN = "row_id"
 
@@ -80,15 +81,20 @@ def read_json(
     """JSON logs in one of two layouts.
 
     ``records``: one object per row (one per line, or whole documents with
-    ``multiline``). ``columns``: objects of the form ``{column: {row: value}}``,
-    one per line or per file; the row key becomes ``index``.
+    ``multiline``). ``columns``: objects of the form ``{column: {row: value}}``;
+    the row key becomes ``index``. One object per line is parsed by the task that
+    reads the line; with ``multiline`` a file is one object, laid out freely,
+    and is read in blocks by many tasks.
     """
     if layout == "records":
         reader = spark.read.option("multiLine", multiline)
         return (reader.schema(schema) if schema is not None else reader).json(path)
     if layout != "columns":
         raise ValueError(f"unknown JSON layout {layout!r}")
-    objects = spark.read.text(path, wholetext=multiline).filter("trim(value) <> ''")
+    if multiline:
+        given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return read_column_documents(spark, path, None if given is None else list(given.fields), index)
+    objects = spark.read.text(path).filter("trim(value) <> ''")
     fields = _column_fields(objects, schema)
     nested = ", ".join(f"{quoted(f.name)}: map<string, {f.dataType.simpleString()}>" for f in fields)
     parsed = objects.select(F.from_json("value", f"struct<{nested}>").alias("o"))

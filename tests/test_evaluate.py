@@ -32,9 +32,10 @@ def naive(rows, x):
     return out
 
 
-def test_confusion_uses_label_classes_only(spark):
+def test_confusion_classes(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (0, 1)], "y int, p int")
-    assert [tuple(r) for r in evaluate.confusion(df, "y", "p").collect()] == [(0.0, 0.0, 2)]
+    assert [tuple(r) for r in evaluate.confusion(df, "y", "p", predicted_only=False).collect()] == [(0.0, 0.0, 2)]
+    assert [tuple(r) for r in evaluate.confusion(df, "y", "p").collect()] == [(0.0, 0.0, 2), (0.0, 1.0, 1)]
 
 
 def test_confusion_fills_absent_pairs(spark):

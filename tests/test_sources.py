@@ -79,6 +79,35 @@ def test_json_columns_layout(spark, tmp_path, schema):
     assert rows(df) == [("0", 1, "x", 0.5), ("1", 2, None, 1.0), ("2", None, "z", 2.0)]
 
 
+@pytest.mark.parametrize("block", ["40", "128m"])
+def test_json_columns_document_in_blocks(spark, tmp_path, block):
+    """Strings with commas, quotes, braces and escapes over block borders; empty columns; two documents."""
+    tricky = ['a,b', '"', '\\', '\\"', '},"x":{"0":1', '', 'é😀', '\n\t,', None, ',' * 40]
+    whole = [
+        {"n": {str(i): i * 1.5 for i in range(10)}, "none": {}, "t,\"": {str(i): t for i, t in enumerate(tricky)}, "last": {"3": True}},
+        {"t,\"": {"k,": "only"}, "n": {"k,": 2}},
+    ]
+    for i, doc in enumerate(whole):
+        (tmp_path / f"d{i}.json").write_text(json.dumps(doc, ensure_ascii=i == 0, indent=2 if i else None))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = readers.read_json(spark, str(tmp_path), 'n double, `t,"` string, last boolean, none int', layout="columns", multiline=True)
+        got = sorted(map(tuple, df.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(str(i), i * 1.5, t, True if i == 3 else None, None) for i, t in enumerate(tricky)] + [("k,", 2.0, "only", None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_json_columns_refuses_other_documents(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": {"0": [1, 2]}}')
+    with pytest.raises(Exception, match="not a document of columns"):
+        readers.read_json(spark, str(tmp_path / "x.json"), "a string", layout="columns", multiline=True).collect()
+
+
 def test_json_columns_objects_per_line(spark, tmp_path):
     path = tmp_path / "i.json"
     path.write_text('{"a":{"0":1},"b":{"0":"x"}}\n{"a":{"0":5},"b":{"0":"y"}}\n')
