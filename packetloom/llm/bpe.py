@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -26,8 +27,8 @@ LATIN_PATTERN = f" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[
 REMEMBERED = 100_000
 #: Bytes of text that are split and merged at once.
 BLOCK = 1_000_000
-#: Bytes of a word up to which whole blocks of words are merged as arrays.
-SHORT = 48
+#: Places of a pair from which on they are merged as an array.
+FEW = 64
 #: The rank of a pair that doesn't merge.
 NONE = np.int32(2**31 - 1)
 
@@ -39,6 +40,46 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PairIndex:
+    """From each active rank to the places where its pair stands, or stood when they were added."""
+
+    def __init__(self, rank: np.ndarray) -> None:
+        self.single: dict[int, list[int]] = {}
+        self.arrays: dict[int, list[np.ndarray]] = {}
+        self.active: list[int] = []
+        at = np.flatnonzero(rank != NONE)
+        self.add_many(at, rank[at])
+
+    def add(self, rank: int, place: int) -> None:
+        if rank in self.single:
+            self.single[rank].append(place)
+            return
+        if rank not in self.arrays:
+            heapq.heappush(self.active, rank)
+        self.single[rank] = [place]
+
+    def add_many(self, places: np.ndarray, ranks: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for r, s, e in zip(ranks[[0, *cuts.tolist()]].tolist() if len(ranks) else (), [0, *cuts.tolist()], [*cuts.tolist(), len(ranks)], strict=False):
+            if e - s < FEW:
+                for place in places[s:e].tolist():
+                    self.add(r, place)
+                continue
+            if r not in self.single and r not in self.arrays:
+                heapq.heappush(self.active, r)
+            self.arrays.setdefault(r, []).append(places[s:e])
+
+    def pop(self) -> tuple[int, np.ndarray | list[int]]:
+        """The lowest active rank and its places in ascending order, as an array if there are many."""
+        r = heapq.heappop(self.active)
+        single, arrays = self.single.pop(r, []), self.arrays.pop(r, [])
+        if arrays or len(single) >= FEW:
+            return r, np.unique(np.concatenate([*arrays, np.array(single, np.int64)]))
+        return r, sorted(single)
+
+
 class Codec:
     """A vocabulary file's tables. ``special`` strings are cut out of the text before it is split."""
 
@@ -70,89 +111,63 @@ class Codec:
         return [x for part in self.cut.split(text) for x in ([part] if part in self.special else self.split(part))]
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as the bytes of 32-bit numbers."""
-        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
-        long = [i for i, w in enumerate(words) if len(w) > SHORT]
-        made: list = [None] * len(words)
-        for at, merge in ((short, self._merge_short), (long, self._merge_long)):
-            for i, ids in zip(at, merge([words[i] for i in at]) if at else (), strict=True):
-                made[i] = ids
-        return made
-
-    def _merge_long(self, words: list[bytes]) -> list[bytes]:
-        """All words lie in one row of symbols, parted by -1. ``places`` maps each mergeable pair to the
-        positions of its left symbols. The active pair of lowest rank is merged at all its positions from
-        left to right; only the lists of the pairs beside a merge change. A merge makes a piece that only
-        higher ranks use, so ascending ranks give what each word alone would.
+        """Ids of each word, as the bytes of 32-bit numbers.
+
+        All words lie in one row of symbols, parted by -1. The index maps each mergeable pair, named by its
+        rank, to the positions of its left symbols. The active pair of lowest rank in the whole row is
+        merged at all its positions from left to right, and only the lists of the pairs beside a merge
+        change. A merge makes a piece that only higher ranks use, so ascending ranks give what each
+        word alone would. Long lists of positions are worked off as arrays, short ones one by one.
         """
         row = self.first[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
-        row[np.cumsum(np.fromiter(map(len, words), np.int64) + 1) - 1] = -1
-        ends = np.flatnonzero(row < 0).tolist()
-        ranks = np.full(len(row), NONE, np.int32)
-        self._look_up(row, ranks, np.arange(len(row) - 1))
-        places: dict[int, list[int]] = {}  # by rank, which names the pair
-        for i in np.flatnonzero(ranks != NONE).tolist():
-            places.setdefault(int(ranks[i]), []).append(i)
-        row = row.tolist()
-        after, before = list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
-        active = list(places)
-        heapq.heapify(active)
-        while active:
-            r = heapq.heappop(active)
+        row[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1] = -1
+        rank = np.full(len(row), NONE, np.int32)
+        self._look_up(row, rank, np.arange(len(row) - 1))
+        index = PairIndex(rank)
+        # the same memory as an array and, for single places, as a sequence of plain numbers
+        symbols, after, before = (array("i", x.astype(np.int32).tobytes()) for x in (row, np.arange(1, len(row) + 1), np.arange(-1, len(row) - 1)))
+        row, nexts, lasts = (np.frombuffer(x, np.int32) for x in (symbols, after, before))
+        while index.active:
+            r, places = index.pop()
             a, b, new = *self.pairs[r], int(self.merged[r])
-            for i in sorted(places.pop(r)):
+            if isinstance(places, np.ndarray):
+                i = places[(row[places] == a) & (row[nexts[places]] == b)]
+                if a == b:  # of a run like aaaa every second one
+                    k = np.arange(len(i))
+                    fresh = np.append(True, i[1:] != nexts[i[:-1]])[: len(i)]
+                    i = i[(k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0]
+                j = nexts[i]
+                k = nexts[j]
+                row[i], row[j], nexts[i], lasts[k] = new, -2, k, i
+                index.add_many(*self._ranked(row, nexts, np.concatenate([i, lasts[i]])))
+                continue
+            for i in places:
                 j = after[i]
-                if row[i] != a or row[j] != b:
+                if symbols[i] != a or symbols[j] != b:
                     continue
-                row[i], row[j] = new, -2
+                symbols[i], symbols[j] = new, -2
                 k = after[i] = after[j]
                 before[k] = i
-                for left, x, y in ((before[i], row[before[i]] if before[i] >= 0 else -1, new), (i, new, row[k])):
-                    if x >= 0 and y >= 0 and (near := self.rank.get((x, y))) is not None:
-                        if near in places:
-                            places[near].append(left)
-                        else:
-                            places[near] = [left]
-                            heapq.heappush(active, near)
-        return [np.array([x for x in row[s:e] if x >= 0], np.int32).tobytes() for s, e in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
-
-    def _merge_short(self, words: list[bytes]) -> list[bytes]:
-        """The same index as arrays, for the many short words: at each position the rank of the pair that
-        starts there, or ``NONE``. A sweep takes, in every word at once, all places of its lowest active
-        rank (of a run like aaaa every second one, from the left) and looks up only the pairs beside them.
-        """
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        row = self.first[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
-        row[np.cumsum(sizes) - 1] = -1
-        rank = np.full(len(row), NONE, np.int32)
-        self._look_up(row, rank, np.arange(len(row) - 1))
-        which, made = np.arange(len(words)), [b""] * len(words)
-        while len(which):
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            least = np.minimum.reduceat(rank, starts)
-            over = least == NONE
-            if over.any():
-                data = row.tobytes()
-                for w, s, e in zip(which[over].tolist(), starts[over].tolist(), (starts + sizes)[over].tolist(), strict=True):
-                    made[w] = data[4 * s : 4 * (e - 1)]
-                stay = np.repeat(~over, sizes)
-                row, rank, which, sizes, least = row[stay], rank[stay], which[~over], sizes[~over], least[~over]
-                if not len(which):
-                    break
-            found = np.flatnonzero(rank == np.repeat(least, sizes))
-            index = np.arange(len(found))
-            fresh = np.ones(len(found), bool)
-            fresh[1:] = found[1:] != found[:-1] + 1
-            chosen = found[(index - np.maximum.accumulate(np.where(fresh, index, 0))) % 2 == 0]
-            word = np.repeat(np.arange(len(sizes)), sizes)[chosen]
-            row[chosen] = self.merged[rank[chosen]]
-            keep = np.ones(len(row), bool)
-            keep[chosen + 1] = False
-            at = chosen - np.arange(len(chosen))
-            row, rank = row[keep], rank[keep]
-            sizes = sizes - np.bincount(word, minlength=len(sizes))
-            self._look_up(row, rank, np.concatenate([at, at[at > 0] - 1]))
-        return made
+                left = before[i]
+                x, y = symbols[left], symbols[k]  # -1 at a word's ends; before the first word comes the last place
+                if x >= 0 and (near := self.rank.get((x, new))) is not None:
+                    index.add(near, left)
+                if y >= 0 and (near := self.rank.get((new, y))) is not None:
+                    index.add(near, i)
+        data = row[row != -2]
+        ends = np.flatnonzero(data < 0)
+        data = data.tobytes()
+        return [data[4 * s : 4 * e] for s, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+
+    def _ranked(self, row: np.ndarray, nexts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places that start a mergeable pair, once each, and the pairs' ranks."""
+        at = np.unique(at[at >= 0])
+        at = at[row[at] >= 0]
+        a, b = row[at].astype(np.int64), row[nexts[at]].astype(np.int64)
+        keys = np.where(b < 0, -1, a << 20 | b)
+        found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[found] == keys
+        return at[hit], self.rank_of[found[hit]]
 
     def _look_up(self, row: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
         a, b = row[at].astype(np.int64), row[at + 1].astype(np.int64)
