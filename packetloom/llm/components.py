@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import materialize
+from packetloom.session import forget
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -25,7 +26,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = materialize(large.where("a <> b").distinct(), f"{name}-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-        edges = materialize(small.where("a <> b").distinct(), f"{name}-small")
+        last, edges = edges, materialize(small.where("a <> b").distinct(), f"{name}-small")
+        forget(last, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

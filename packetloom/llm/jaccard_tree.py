@@ -13,6 +13,7 @@ Then all prefix blocks that still hold two components are searched for the links
 
 from __future__ import annotations
 
+from base64 import b64encode
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import WordHashes, heavy_light_join, map_blocks, materialize, mixed, pack, run_starts, unpack, windows
 from packetloom.llm.components import connected_components
+from packetloom.session import forget
 
 #: Words in a shingle; similarity in hundredths.
 WIDTH, PERCENT = 5, 80
@@ -58,8 +60,8 @@ def needed(a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
 
 
 def bitmap(ordered: np.ndarray) -> bytes:
-    """The set's bits: a power of two of them, at least four a hash up to 2^16."""
-    width = 1 << min(16, max(6, int(4 * len(ordered) - 1).bit_length()))
+    """The set's bits: a power of two of them, at least two a hash up to 2^16."""
+    width = 1 << min(16, max(6, int(2 * len(ordered) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(ordered & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -85,7 +87,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 continue
             prefix = own[: short_prefix(n) + n // SPARE]
             least = [int(mixed(own ^ _SALT * np.uint64(k)).min().astype(np.int64)) for k in range(ORDERS)]
-            made.append((n, xxhash.xxh3_128_hexdigest(own.tobytes()), least, prefix.astype(np.int64).tolist(), bitmap(own)))
+            made.append((n, b64encode(xxhash.xxh3_128_digest(own.tobytes())).decode().rstrip("="), least, prefix.astype(np.int64).tolist(), bitmap(own)))
         return {"doc_id": block.column("doc_id")} | dict(zip(("n", "print", "least", "prefix", "bits"), map(list, zip(*made, strict=True)), strict=True))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -313,8 +315,8 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def set_classes(sketch: DataFrame) -> DataFrame:
-    """A row per set: ``print``, ``rep`` (its smallest document id), ``copies``."""
-    return sketch.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    """A row per set: ``print``, ``rep`` (its smallest document id), ``copies``, ``n``."""
+    return sketch.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
 
 
 def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -323,25 +325,27 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     is_rep = classes.select("print", F.col("rep").alias("doc_id"))
     # step one: blocks of one smallest hash
     meet = sketch.select("doc_id", "print", "n", "least").join(is_rep, ["print", "doc_id"]).select("doc_id", "n", F.posexplode("least").alias("k", "hash"))
-    meet = materialize(meet, "jaccard-least")
+    meet = least = materialize(meet, "jaccard-least")
     keys = meet.groupBy("k", "hash").agg(F.count("*").alias("members"), F.sum("n").alias("hashes")).where("members > 1").drop("members")
     meet = meet.join(keys, ["k", "hash"]).withColumn("part", F.expr(f"pmod(xxhash64(doc_id), ceil(hashes / {BLOCK_HASHES}))")).select("doc_id", "k", "hash", "part")
     meet = materialize(meet, "jaccard-meet")
     sets = materialize(sets_of(docs, meet.select("doc_id").distinct(), doc_id, text), "jaccard-sets")
     first = materialize(meet.join(sets, "doc_id").groupBy("k", "hash", "part").applyInArrow(_first_links, f"a {kind}, b {kind}"), "jaccard-first")
+    forget(least, meet, sets)
     roots = connected_components(first, "jaccard-first")
     # step two: all prefix blocks that hold two components
-    rooted = classes.select(F.col("rep").alias("doc_id"), "print").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = sketch.select("doc_id", "print", "n").join(is_rep, ["print", "doc_id"]).select("doc_id", "n")
-    reps = sketch.drop("least").join(rooted, ["print", "doc_id"]).drop("print")
+    rooted = classes.select(F.col("rep").alias("doc_id"), "print", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rooted = materialize(rooted, "jaccard-rooted")
+    reps = sketch.select("doc_id", "print", "n", "prefix").join(rooted.drop("n"), ["print", "doc_id"]).drop("print")
     n_buckets = BUCKETS * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     shared = _packed_prefixes(reps, n_buckets).groupBy("bucket").applyInArrow(_shared_prefixes(kind), f"hash long, doc_id {kind}, members long, short boolean")
     shared = materialize(shared, "jaccard-shared")
     # a set that links shares n // SPARE + 1 hashes of its prefix with the other, or as many as that one's smaller prefix has to spare
-    several = shared.groupBy("doc_id").agg(F.count("*").alias("hits")).join(rooted.select("doc_id", "component"), "doc_id")
-    several = several.join(sizes, "doc_id").where(F.col("hits") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / SPARE))
-    member = shared.where("short").drop("short").join(materialize(several.select("doc_id", "component").distinct(), "jaccard-several"), "doc_id")
-    member = member.join(reps.select("doc_id", "n", "bits"), "doc_id")
+    several = shared.groupBy("doc_id").agg(F.count("*").alias("hits")).join(rooted, "doc_id")
+    several = several.where(F.col("hits") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / SPARE)).drop("hits")
+    # bitmaps are read for these sets alone, and each once
+    several = materialize(sketch.select("doc_id", "print", "bits").join(several.dropDuplicates(["doc_id", "print"]), ["doc_id", "print"]), "jaccard-several")
+    member = shared.where("short").drop("short").join(several.drop("print"), "doc_id")
     # links need sizes within a factor of 1.25: in a block of many, a band of sizes meets itself and the next
     large = F.col("members") > LEAF
     band = F.when(large, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
@@ -355,6 +359,7 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     member = member.select("doc_id", "n", "component", "bits", "part", "at.own", F.xxhash64("hash", "at.band", "cell.i", "cell.j").alias("block"))
     blocks = member.groupBy(F.pmod("block", F.lit(2 * n_buckets)).alias("bucket"))
     pairs = materialize(blocks.applyInArrow(_candidates, f"a {kind}, b {kind}").distinct(), "jaccard-pairs")
+    forget(shared, several, rooted)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     more = materialize(sets_of(docs, ids, doc_id, text), "jaccard-more-sets")
     return first.union(_checked(pairs, more))
