@@ -31,6 +31,11 @@ def is_finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
 
 
+def finite_or_zero(value: Column) -> Column:
+    """The value as a double; null, NaN and infinite ones as 0."""
+    return F.when(is_finite(value), value.cast("double")).otherwise(F.lit(0.0))
+
+
 def exceeds(score: str, threshold: float | Column) -> Column:
     """Strictly above the threshold. A null or NaN score is never above it."""
     value = named(score).cast("double")

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.columns import named
+from packetloom.functions.columns import finite_or_zero, named, ratio
 from packetloom.operators.encode import assemble
 from packetloom.operators.evaluate import multiclass_accuracy
+from packetloom.operators.minibatch import train
+from packetloom.operators.mlp import BATCHES, EPOCHS, HIDDEN_UNITS, RATE, Perceptron
 from packetloom.operators.scale import fit_moments, standardize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Fit = Callable[[DataFrame], object]
 Score = Callable[[object, DataFrame], DataFrame]
 
@@ -67,3 +75,104 @@ def standardized_mlp(
         return fitted.transform(standardize(held_out, cols, moments))
 
     return fit, score
+
+
+@dataclass
+class Standardised:
+    """A network whose inputs are shifted and scaled first, by moments of its own training rows."""
+
+    network: Perceptron
+    mean: np.ndarray
+    sd: np.ndarray
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.sd
+
+    def flat(self) -> np.ndarray:
+        return self.network.flat()
+
+    def like(self, flat: np.ndarray) -> Standardised:
+        return Standardised(self.network.like(flat), self.mean, self.sd)
+
+    def single(self) -> Standardised:
+        return self
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        return self.network.gradient(self._scaled(x), y)
+
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        return self.network.loss(self._scaled(x), y)
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.network.logit(self._scaled(x))
+
+
+def fold_moments(df: DataFrame, fold: str, cols: Sequence[str], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and population deviation of each column over the rows outside each fold, from one grouped aggregate.
+
+    Sums are taken around the overall mean, so that differences of folds stay exact enough; a deviation of
+    zero becomes 1.
+    """
+    centre = np.array([m or 0.0 for m in df.agg(*[F.avg(finite_or_zero(named(c))) for c in cols]).first()], float)
+    moved = [finite_or_zero(named(c)) - F.lit(float(m)) for c, m in zip(cols, centre, strict=True)]
+    sums = [f for v in moved for f in (F.sum(v), F.sum(v * v))]
+    rows = df.groupBy(named(fold).cast("int")).agg(F.count("*"), *sums).collect()
+    own = {r[0]: np.array(r[1:], float) for r in rows}
+    out = []
+    for i in range(k):
+        total = np.sum([v for f, v in own.items() if f != i], axis=0) if any(f != i for f in own) else np.zeros(1 + 2 * len(cols))
+        n = max(total[0], 1.0)
+        mean, square = total[1::2] / n, total[2::2] / n
+        sd = np.sqrt(np.maximum(square - mean**2, 0.0))
+        out.append((centre + mean, np.where(sd > 0, sd, 1.0)))
+    return out
+
+
+def cross_validate_perceptron(
+    df: DataFrame,
+    cols: Sequence[str],
+    label: str,
+    fold: str,
+    k: int,
+    hidden: int = HIDDEN_UNITS,
+    epochs: int = EPOCHS,
+    batches: int = BATCHES,
+    rate: float = RATE,
+    key: str | Sequence[str] | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """Accuracy on each of ``k`` folds of perceptrons fitted on the others: one row per fold.
+
+    All ``k`` networks are trained in the same steps: a step reads a batch once and gives each network the
+    gradient over the rows outside its fold, on inputs standardised by those rows. A last scan scores
+    every row by its fold's network. Null and non-finite inputs count as 0; rows without label or
+    fold take no part.
+    """
+    cols = list(cols)
+    df = df.select(*[finite_or_zero(named(c)).alias(c) for c in cols], *[named(c) for c in df.columns if c not in cols])
+    df = df.where(named(label).isNotNull() & named(fold).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        start = Perceptron.start(len(cols), hidden, seed)
+        networks = [Standardised(start, *moments) for moments in fold_moments(df, fold, cols, k)]
+        networks, _ = train(
+            df, [named(c) for c in cols], named(label), networks, key,
+            batches=batches, epochs=epochs, rate=rate, fold=fold, seed=seed,
+        )
+
+        def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros((k, 2), np.int64)
+            for frame in frames:
+                x, y, own = frame[cols].to_numpy(np.float32), frame["__label"].to_numpy(), frame["__fold"].to_numpy()
+                for i in np.unique(own):
+                    at = own == i
+                    right = (networks[i].logit(x[at]) > 0) == (y[at] > 0.5)
+                    found[i] += (int(right.sum()), int(at.sum()))
+            yield pd.DataFrame({"fold": np.arange(k, dtype=np.int32), "hits": found[:, 0], "n": found[:, 1]})
+
+        rows = df.select(*[named(c) for c in cols], named(label).cast("double").alias("__label"), named(fold).cast("int").alias("__fold"))
+        counts = rows.where(F.col("__fold").between(0, k - 1)).mapInPandas(hits, "fold int, hits long, n long")
+        counts = counts.groupBy("fold").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+        results = counts.select("fold", ratio(F.col("hits"), F.col("n")).alias("accuracy")).orderBy("fold").collect()
+    finally:
+        df.unpersist()
+    return df.sparkSession.createDataFrame(results, "fold int, accuracy double")

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import HASH_SPACE, as_keys, key_digest, key_hash, leading_number, named
-from packetloom.operators.select import first_rows, smallest
+from packetloom.operators.select import LISTABLE, first_rows, smallest
 from packetloom.operators.shape import fill_zero
 
 ROWS_PER_SLICE = 100_000
 MAX_SLICES = 2**20
+#: Bits of the hash that orders a sample, and of the ranges that it is counted by.
+HASH_BITS, CELL_BITS = 60, 14
 
 
 def split(
@@ -50,14 +52,41 @@ def sample_exact(
 ) -> DataFrame:
     """Exactly ``round(n * fraction)`` rows without replacement, nulls filled by 0.
 
-    The rows with the smallest key hash are taken.
+    The rows with the smallest key hash are taken. One scan counts rows by ranges of the hash, which are
+    even by nature, and so tells the range that holds the last row to take and how many of its rows
+    belong. A second one lists these hashes; the sample is then a filter on rows where they lie. A range
+    with more rows than can be listed, which takes a key that repeats very often, is resolved by
+    further passes and quotas.
     """
-    n = sample_size(df.count(), fraction)
-    hashed = df.withColumn("__d", key_digest(key, seed)).withColumn(
-        "__h", leading_number(F.col("__d"), hex_digits=15)
-    )
-    taken = smallest(hashed, "__h", n, ties=["__d", *as_keys(key)])
-    return fill_zero(taken.drop("__h", "__d"))
+    keys = as_keys(key)
+    hashed = df.withColumn("__d", key_digest(keys, seed)).withColumn("__h", leading_number(F.col("__d"), hex_digits=15))
+    cell = F.shiftright("__h", HASH_BITS - CELL_BITS)
+    counts = dict(hashed.select(cell.alias("c")).groupBy("c").count().collect())  # at most 2^CELL_BITS rows
+    n = left = sample_size(sum(counts.values()), fraction)
+    last = -1
+    for c in sorted(counts):
+        if left < counts[c]:
+            last = c
+            break
+        left -= counts[c]
+    if last < 0:
+        return fill_zero(df if n else df.limit(0))
+    below, inside = hashed.where(F.col("__h") < F.lit(last << (HASH_BITS - CELL_BITS))), hashed.where(cell == last)
+    order = ["__h", "__d", *keys]
+    if left and counts[last] <= LISTABLE:
+        listed = inside.groupBy(*[named(c) for c in order]).agg(F.count("*").alias("__n")).orderBy(*[named(c) for c in order])
+        taken, cut = 0, None
+        for row in listed.select("__n", F.struct(*[named(c) for c in order]).alias("__at")).collect():
+            if taken + row["__n"] > left:
+                break
+            taken, cut = taken + row["__n"], row["__at"]
+        if taken == left:  # otherwise the last key repeats, and only some of its rows belong
+            at = [F.lit(v).cast(hashed.schema[c].dataType) for c, v in zip(order, cut, strict=True)]
+            upto = F.struct(*[named(c) for c in order]) <= F.struct(*[v.alias(c) for c, v in zip(order, at, strict=True)])
+            return fill_zero(hashed.where((F.col("__h") < F.lit(last << (HASH_BITS - CELL_BITS))) | ((cell == last) & upto)).drop("__h", "__d"))
+    if left:
+        below = below.union(smallest(inside, "__h", left, ties=order[1:]))
+    return fill_zero(below.drop("__h", "__d"))
 
 
 def limit_rows(df: DataFrame, n: int, order_by: str, ties: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 
 from packetloom.functions.columns import named
+from packetloom.operators.ids import probability_of_one
 from packetloom.operators.mlp import EPOCHS, classifier_pipeline, score_mlp
 from packetloom.operators.scale import Bounds, fit_bounds, minmax
 
@@ -26,6 +27,9 @@ class Stacker:
     cols: list[str]
     bounds: Bounds
 
+    def apply(self, scaled: DataFrame, out: str) -> DataFrame:
+        return probability_of_one(self.model.transform(scaled), out)
+
 
 def fit_stack(
     df: DataFrame,

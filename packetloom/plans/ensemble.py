@@ -19,7 +19,8 @@ from packetloom.operators.shape import binary_label, drop_unlabelled, fill_zero
 from packetloom.operators.stack import Stacker, fit_stack
 from packetloom.operators.threshold import evaluate
 from packetloom.plans import formats
-from packetloom.session import materialize
+from packetloom.plans.detection import finite_rates
+from packetloom.session import forget, materialize
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class EnsembleModel:
     score_bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.malicious.model.write().overwrite().save(f"{path}/malicious")
+        self.malicious.save(spark, f"{path}/malicious")
         self.stack.model.write().overwrite().save(f"{path}/stack")
         linear = isinstance(self.anomaly, LinearReconstruction)
         if not linear:
@@ -55,7 +56,6 @@ class EnsembleModel:
             (stage, column, *map(_number, pair))
             for stage, bounds in (
                 ("anomaly", self.anomaly.bounds),
-                ("malicious", self.malicious.bounds),
                 ("stack", self.stack.bounds),
                 ("score", self.score_bounds),
             )
@@ -79,7 +79,7 @@ class EnsembleModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> EnsembleModel:
         header = spark.read.parquet(f"{path}/format").first()
-        bounds: dict[str, dict] = {"anomaly": {}, "malicious": {}, "stack": {}, "score": {}}
+        bounds: dict[str, dict] = {"anomaly": {}, "stack": {}, "score": {}}
         for row in spark.read.parquet(f"{path}/bounds").collect():
             bounds[row["stage"]][row["name"]] = (row["low"], row["high"])
         layout = EnsembleFormat(
@@ -96,9 +96,7 @@ class EnsembleModel:
         return EnsembleModel(
             layout,
             anomaly,
-            MaliciousScorer(
-                PipelineModel.load(f"{path}/malicious"), [*features, layout.anomaly], bounds["malicious"]
-            ),
+            MaliciousScorer.load(spark, f"{path}/malicious"),
             Stacker(
                 PipelineModel.load(f"{path}/stack"), [layout.anomaly, layout.malicious], bounds["stack"]
             ),
@@ -117,7 +115,15 @@ def _rescaled(
     if keep:
         raw = materialize(raw, column)
     bounds = fit_bounds(raw, [column]) if given is None else given
-    return minmax(raw, [column], bounds), bounds
+    scaled = minmax(raw, [column], bounds)
+    if keep:
+        scaled._scratch = raw._scratch
+    return scaled, bounds
+
+
+def filled_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Nulls as 0 in all columns, NaN and infinite feature values too."""
+    return fill_zero(finite_rates(df, features))
 
 
 def labelled_rows(df: DataFrame, layout: EnsembleFormat, out: str = "is_malicious") -> DataFrame:
@@ -134,24 +140,29 @@ def ensemble_fit(
     method: str = "pca",
     k: int = 2,
     max_iter: int = 100,
-    keep_stages: bool = False,
+    keep_stages: bool = True,
+    key: str | Sequence[str] | None = None,
     **anomaly_settings,
 ) -> EnsembleModel:
     """Fit the three stages one after the other on labelled flows.
 
     The anomaly stage learns from every row; the later stages from rows that
     carry a label. ``keep_stages`` writes each scored stage to the shared
-    scratch folder instead of computing it again.
+    scratch folder instead of computing it again; they are deleted at the end.
+    ``key`` deals the rows to the same training batches on every layout of the
+    table. Null, NaN and infinite features count as 0.
     """
     layout = layout or EnsembleFormat()
     features = list(layout.features)
-    filled = fill_zero(df)
+    filled = filled_features(df, features)
+    if method == "conv1d":
+        anomaly_settings = {"key": key, **anomaly_settings}
     anomaly = fit_anomaly(filled, features, k=k, method=method, **anomaly_settings)
     raw = anomaly.distance(filled, layout.anomaly, anomaly.bounds)
     first, seen_anomaly = _rescaled(raw, layout.anomaly, None, keep_stages)
 
     rows = labelled_rows(first, layout, "__label")
-    malicious = fit_mlp(rows, [*features, layout.anomaly], "__label", max_iter=max_iter)
+    malicious = fit_mlp(rows, [*features, layout.anomaly], "__label", epochs=max_iter, key=key)
     raw = raw_probability(malicious, rows, layout.malicious, malicious.bounds)
     second, seen_malicious = _rescaled(raw, layout.malicious, None, keep_stages)
 
@@ -159,6 +170,8 @@ def ensemble_fit(
     raw = raw_probability(stack, second, layout.combined, stack.bounds)
     seen_combined = fit_bounds(raw, [layout.combined])
     seen = {**seen_anomaly, **seen_malicious, **seen_combined}
+    if keep_stages:
+        forget(first, second)
     return EnsembleModel(layout, anomaly, malicious, stack, seen)
 
 
@@ -191,7 +204,7 @@ def ensemble_score(
     def given(column: str) -> Bounds | None:
         return {column: model.score_bounds[column]} if saved else None
 
-    filled = fill_zero(df)
+    filled = filled_features(df, layout.features)
     ranges = dict(model.anomaly.bounds if saved else fit_bounds(filled, model.anomaly.cols))
     raw = model.anomaly.distance(filled, layout.anomaly, ranges)
     first, seen = _rescaled(raw, layout.anomaly, given(layout.anomaly), keep_stages)

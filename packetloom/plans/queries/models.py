@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import logistic_score as logistic_column
-from packetloom.operators import anomaly, crossval, evaluate, health, ids, mlp, sampling, shape, stack
+from packetloom.operators import anomaly, conv, crossval, evaluate, health, ids, mlp, sampling, shape, stack
 from packetloom.operators.scale import minmax
-from packetloom.plans import ensemble
-from packetloom.plans.detection import train_detection
+from packetloom.plans import ensemble, formats
+from packetloom.plans.detection import train_detection, train_flows
 from packetloom.plans.host_health import train_host_health
 from packetloom.plans.queries.inputs import (
     FLOW_KEY,
@@ -69,21 +70,38 @@ def ids_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPLIT_SQL = f"('0x' || substr(md5('42:' || l_orderkey), 1, 8))::ubigint < {round(0.7 * 2**32)}"
 
 
-@query(
-    "ids_heldout_confusion",
-    f"""with f as (select *, {SPLIT_SQL} as train from ({FLOW_SQL})),
+HELDOUT_SQL = f"""with f as (select *, {SPLIT_SQL} as train from ({FLOW_SQL})),
             g as (select size_class, avg(label) as p from f where train group by size_class),
             t as (select label, case when p > 0.5 then 1 else 0 end as guess
                   from f join g using (size_class) where not train),
             c as (select distinct label as k from t)
         select x.k::double as actual, y.k::double as predicted, count(t.label) as n
-        from c x cross join c y left join t on t.label = x.k and t.guess = y.k group by x.k, y.k""",
-)
+        from c x cross join c y left join t on t.label = x.k and t.guess = y.k group by x.k, y.k"""
+
+
+@query("ids_heldout_confusion", HELDOUT_SQL)
 def ids_heldout_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = train_detection(flows(spark, sf_dir), "l_orderkey", "verdict", "BENIGN", ["size_class"], [])
     return run.confusion()
 
 
+@query("flows_heldout_confusion", HELDOUT_SQL)
+def flows_heldout_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow records through ``train_flows`` with its hashed addresses; only the source address tells them apart.
+
+    All numerics are 0, a third of the rates after NaN and infinity are taken out, so each
+    address must get its mean label.
+    """
+    rate = F.when(F.col("l_linenumber") % 3 == 0, float("inf")).when(F.col("l_linenumber") % 3 == 1, float("nan")).otherwise(0.0)
+    other = {c: rate if c.endswith("/s") else F.lit(0.0) for c in formats.FLOW_ORDER if c not in formats.FLOW_CATEGORICAL}
+    source, dest = formats.FLOW_CATEGORICAL
+    rows = flows(spark, sf_dir).select(
+        "l_orderkey", F.col("size_class").alias(source), F.lit("10.0.0.1").alias(dest),
+        F.col("verdict").alias(formats.FLOW_LABEL), *[v.alias(c) for c, v in other.items()],
+    )
+    return train_flows(rows, "l_orderkey").confusion()
+
+
 @query("connection_ids_scores")
 def connection_ids_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three categoricals and five numerics, scored on held-out orders."""
@@ -165,7 +183,7 @@ def _flow_run(spark: SparkSession, sf_dir: str, **settings):
 @query("flow_ids_confusion")
 def flow_ids_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses as categoricals; an address not seen in training is kept."""
-    return _flow_run(spark, sf_dir).confusion()
+    return _flow_run(spark, sf_dir, encoding="table").confusion()
 
 
 @query("flow_ids_hashed_accuracy")
@@ -219,8 +237,7 @@ def crossval_mlp_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sampling.stratified_folds(
         _labelled(spark, sf_dir).select(*FLOW_KEY, *FLOW_NUMERICS[1:], "label"), FLOW_KEY, "label", k=10
     )
-    fit, score = crossval.standardized_mlp(FLOW_NUMERICS, "label")
-    return crossval.cross_validate(rows, "fold", 10, fit, score, "label")
+    return crossval.cross_validate_perceptron(rows, FLOW_NUMERICS, "label", "fold", 10, key=FLOW_KEY)
 
 
 # Host health ---------------------------------------------------------------
@@ -395,6 +412,42 @@ def anomaly_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", rounded("anomaly_score", 5).alias("anomaly_score"))
 
 
+#: A convolution with given weights: two filters of width three over four scaled columns, and a dense layer.
+CONV_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+GIVEN_CONV = conv.Weights(
+    np.array([[0.5, -1.0], [1.25, 0.75], [-0.5, 1.5]]), np.array([0.1, -0.2]), np.array([[0.6, -0.4, 0.3, 0.2], [0.1, 0.5, -0.3, 0.8]]), np.array([0.05, 0.1, 0.0, -0.1])
+)
+
+
+def _conv_sql() -> str:
+    """Windows, ReLU, maximum, dense layer and distance, written out."""
+    n, (width, filters) = len(CONV_COLS), GIVEN_CONV.conv.shape
+    left = (width - 1) // 2
+    pooled = []
+    for f in range(filters):
+        windows = []
+        for t in range(n):
+            terms = [f"{float(GIVEN_CONV.conv[d, f])!r} * x{t + d - left}" for d in range(width) if 0 <= t + d - left < n]
+            windows.append(f"{' + '.join(terms)} + {float(GIVEN_CONV.conv_bias[f])!r}")
+        pooled.append(f"greatest(0, {', '.join(windows)}) as h{f}")
+    errors = [f"power({' + '.join(f'h{f} * {float(GIVEN_CONV.dense[f, i])!r}' for f in range(filters))} + {float(GIVEN_CONV.dense_bias[i])!r} - x{i}, 2)" for i in range(n)]
+    return f"""
+      with s as (
+        select {", ".join(FLOW_KEY)}, {", ".join(f"({c} - lo{i}) / (hi{i} - lo{i})::double as x{i}" for i, c in enumerate(CONV_COLS))}
+        from lineitem, (select {", ".join(f"min({c}) as lo{i}, max({c}) as hi{i}" for i, c in enumerate(CONV_COLS))} from lineitem)),
+      h as (select *, {", ".join(pooled)} from s),
+      d as (select *, sqrt({" + ".join(errors)}) as dist from h)
+      select {", ".join(FLOW_KEY)}, round((dist - lo) / (hi - lo), 6) as anomaly_score
+      from d, (select min(dist) as lo, max(dist) as hi from d)"""
+
+
+@query("conv_score_given_weights", _conv_sql())
+def conv_score_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(*FLOW_KEY, *CONV_COLS)
+    scored = anomaly.anomaly_score(conv.ConvReconstruction(CONV_COLS, {}, GIVEN_CONV, kind=np.float64), rows)
+    return scored.select(*FLOW_KEY, rounded("anomaly_score", 6).alias("anomaly_score"))
+
+
 @query("anomaly_conv1d")
 def anomaly_conv1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flows(spark, sf_dir)
@@ -405,7 +458,7 @@ def anomaly_conv1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _malicious(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
-    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label")
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", key=FLOW_KEY)
     return mlp.score_mlp(scorer, rows)
 
 
@@ -414,11 +467,56 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _malicious(spark, sf_dir).select(*FLOW_KEY, "label", rounded("malicious_score", 4).alias("malicious_score"))
 
 
+#: A perceptron with given weights: three hidden units over three scaled columns.
+GIVEN_COLS = ["l_quantity", "l_discount", "l_tax"]
+GIVEN = mlp.Perceptron(
+    np.array([[1.5, -2.0, 0.5], [0.25, 3.0, -1.0], [-0.75, 0.5, 2.0]]), np.array([-0.5, 0.1, -0.2]), np.array([2.0, -1.5, 1.0]), np.array([-0.3])
+)
+
+
+def _unit_sql(x: list[str], weights, bias: float) -> str:
+    return " + ".join([repr(float(bias)), *(f"{float(w)!r} * {c}" for c, w in zip(x, weights, strict=True))])
+
+
+_GIVEN_UNITS = ", ".join(f"greatest(0, {_unit_sql(['x0', 'x1', 'x2'], column, b)}) as h{j}" for j, (column, b) in enumerate(zip(GIVEN.hidden.T, GIVEN.hidden_bias, strict=True)))
+
+GIVEN_MLP_SQL = f"""
+  with s as (
+    select {", ".join(FLOW_KEY)}, {", ".join(f"({c} - lo{i}) / (hi{i} - lo{i})::double as x{i}" for i, c in enumerate(GIVEN_COLS))}
+    from lineitem, (select {", ".join(f"min({c}) as lo{i}, max({c}) as hi{i}" for i, c in enumerate(GIVEN_COLS))} from lineitem)),
+  h as (select *, {_GIVEN_UNITS} from s),
+  p as (select *, 1 / (1 + exp(-({_unit_sql(["h0", "h1", "h2"], GIVEN.out, GIVEN.out_bias[0])}))) as raw from h)
+  select {", ".join(FLOW_KEY)}, round((raw - lo) / (hi - lo), 6) as malicious_score
+  from p, (select min(raw) as lo, max(raw) as hi from p)"""
+
+
+@query("mlp_score_given_weights", GIVEN_MLP_SQL)
+def mlp_score_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ReLU units and a sigmoid over scaled columns, rescaled by the batch's range."""
+    rows = table(spark, sf_dir, "lineitem").select(*FLOW_KEY, *GIVEN_COLS)
+    scorer = mlp.MaliciousScorer(GIVEN, GIVEN_COLS, {})
+    return mlp.score_mlp(scorer, rows).select(*FLOW_KEY, rounded("malicious_score", 6).alias("malicious_score"))
+
+
+@query(
+    "mlp_beats_logistic",
+    "select count(*) as n, true as lower_loss from lineitem",
+)
+def mlp_beats_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On the rows both were trained on, the perceptron's loss lies below the logistic regression's."""
+    rows = _labelled(spark, sf_dir).select(*FLOW_KEY, *[c for c in FLOW_NUMERICS if c not in FLOW_KEY], "label")
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", key=FLOW_KEY)
+    scored = mlp.raw_probability(scorer, rows, "p", scorer.bounds)
+    plain = ids.probability_of_one(ids.score(ids.fit_ids(rows, "label", [], FLOW_NUMERICS), scored), "q")
+    loss = lambda p: F.avg(-F.log(F.greatest(F.when(F.col("label") == 1, F.col(p)).otherwise(1 - F.col(p)), F.lit(1e-7))))
+    return plain.agg(F.count("*").alias("n"), (loss("p") < loss("q")).alias("lower_loss"))
+
+
 @query("mlp_train_report")
 def mlp_train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and accuracy on the training rows."""
     rows = _labelled(spark, sf_dir)
-    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label")
+    scorer = mlp.fit_mlp(rows, FLOW_NUMERICS, "label", key=FLOW_KEY)
     report = evaluate.train_report(mlp.raw_probability(scorer, rows, "p", scorer.bounds), "label", "p")
     return report.withColumns({"loss": rounded("loss", 3), "accuracy": rounded("accuracy", 3)})
 
@@ -470,7 +568,7 @@ def stack_uninformative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ensemble(spark: SparkSession, sf_dir: str):
     rows = flows(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", *FLOW_NUMERICS, "verdict")
-    return rows, ensemble.ensemble_fit(rows, FLOW_LAYOUT)
+    return rows, ensemble.ensemble_fit(rows, FLOW_LAYOUT, key=FLOW_KEY[:3])
 
 
 SCORES = [FLOW_LAYOUT.anomaly, FLOW_LAYOUT.malicious, FLOW_LAYOUT.combined]

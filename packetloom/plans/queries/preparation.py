@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators import encode, sampling, scale, shape
+from packetloom.operators.frequency_index import fit_frequency_index
 from packetloom.plans.queries.inputs import (
     FLOW_LAYOUT,
     HOST_SQL,
@@ -94,6 +95,35 @@ def json_columns_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_json(spark, path, schema, layout="columns")
 
 
+@query(
+    "json_columns_document",
+    "select cast(event_id as varchar) as row_id, user_id, event_type, value, props from events",
+)
+def json_columns_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one document of columns, read in blocks."""
+    path = scratch_path(spark, "columns-document")
+    columns = EVENT_COLUMNS[1:]
+    events = _events(spark, sf_dir).withColumn("last", F.col("event_id") == F.max("event_id").over(Window.partitionBy(F.lit(1))))
+    cells = [
+        F.concat(
+            F.when(F.col("first"), F.lit(("{" if i == 0 else "") + f'"{c}": {{\n')).otherwise(F.lit("")),
+            F.lit('"'), F.col("event_id").cast("string"), F.lit('": '),
+            F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null")),
+            F.when(F.col("last"), F.lit("}}" if i + 1 == len(columns) else "},")).otherwise(F.lit(",")),
+        )
+        for i, c in enumerate(columns)
+    ]
+    events = events.withColumn("first", F.col("event_id") == F.min("event_id").over(Window.partitionBy(F.lit(1))))
+    lines = events.select("event_id", F.posexplode(F.array(*cells)).alias("at", "line"))
+    lines.repartition(1).sortWithinPartitions("at", "event_id").select("line").write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # several blocks at any size of the table
+    try:
+        return readers.read_json(spark, path, EVENT_SCHEMA.split(", ", 1)[1], layout="columns", multiline=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @query("load_by_extension", EVENT_SQL)
 def load_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "events") + ".JSON"
@@ -409,7 +439,7 @@ def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def string_index_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flows(spark, sf_dir).select("l_orderkey", "source_ip", "dest_ip")
-    return encode.string_index(["source_ip", "dest_ip"]).fit(rows).transform(rows)
+    return fit_frequency_index(rows, ["source_ip", "dest_ip"]).transform(rows)
 
 
 @query(

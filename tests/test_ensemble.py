@@ -99,7 +99,7 @@ def test_save_and_load(spark, flows, model, tmp_path):
 
 
 def test_conv_ensemble(spark, flows, tmp_path):
-    fitted = ensemble.ensemble_fit(flows, method="conv1d", max_iter=10, steps=3, filters=8, keep_stages=True)
+    fitted = ensemble.ensemble_fit(flows, method="conv1d", max_iter=10, epochs=3, filters=8)
     fitted.save(spark, str(tmp_path / "m"))
     again = EnsembleModel.load(spark, str(tmp_path / "m"))
     assert ensemble.ensemble_score(again, flows).filter(f"{LAYOUT.combined} between 0 and 1").count() == 300

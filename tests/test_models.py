@@ -180,7 +180,7 @@ def test_uninformative_stack_is_constant(spark):
 
 def test_perceptron_beats_the_constant_model(spark):
     df = toy(spark).withColumn("label", F.expr("int((x + z / 4 > 0.5) <> (id % 10 = 0))"))
-    scorer = mlp.fit_mlp(df, ["x", "z"], "label", max_iter=40)
+    scorer = mlp.fit_mlp(df, ["x", "z"], "label", epochs=20, key="id")
     report = evaluate.train_report(mlp.raw_probability(scorer, df, "p"), "label", "p").first()
     share = df.agg(F.avg("label")).first()[0]
     assert report["loss"] < -(share * math.log(share) + (1 - share) * math.log(1 - share))
@@ -245,12 +245,12 @@ def test_network_has_the_expected_size():
 def test_conv_training_lowers_the_loss_and_saves(spark, tmp_path):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, *map(float, rng.random(5))) for i in range(300)], ["id", *"abcde"]).repartition(3)
-    model = anomaly.fit_anomaly(df, list("abcde"), method="conv1d", key="id", steps=6, filters=16)
+    model = anomaly.fit_anomaly(df, list("abcde"), method="conv1d", key="id", epochs=4, filters=16, batch_rows=100)
     losses = [loss for loss, _ in model.history]
-    assert losses == sorted(losses, reverse=True) and losses[-1] < losses[0]
+    assert len(losses) == 4 and losses == sorted(losses, reverse=True) and losses[-1] < losses[0]
     assert all(held is not None for _, held in model.history)
     # the partitioning does not matter beyond rounding
-    other = anomaly.fit_anomaly(df.coalesce(1), list("abcde"), method="conv1d", key="id", steps=6, filters=16)
+    other = anomaly.fit_anomaly(df.coalesce(1), list("abcde"), method="conv1d", key="id", epochs=4, filters=16, batch_rows=100)
     assert other.history[-1][0] == pytest.approx(losses[-1], rel=1e-4)
     save_model(model, str(tmp_path / "conv"), spark)
     again = load_model(str(tmp_path / "conv"), conv.ConvReconstruction, spark)
