@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_SPACE = 2**32
@@ -79,3 +79,13 @@ def leading_number(digest: Column, hex_digits: int = 8) -> Column:
 def key_hash(key: str | Sequence[str], seed: int | None = None, hex_digits: int = 8) -> Column:
     """Leading digits of the key digest; below ``HASH_SPACE`` for eight digits."""
     return leading_number(key_digest(key, seed), hex_digits)
+
+
+def fenced(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with new ``columns``, computed once a row.
+
+    A filter on something built from plain columns is moved below their projection with every formula
+    written out, which multiplies from stage to stage. Values that come out of an array of one
+    struct stay where they are, still in generated code.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

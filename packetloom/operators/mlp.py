@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.functions.columns import finite_or_zero, named, quoted, sigmoid
+from packetloom.functions.columns import fenced, finite_or_zero, named, quoted, sigmoid
 from packetloom.operators.encode import assemble
 from packetloom.operators.minibatch import train
 from packetloom.operators.scale import Bounds, fit_bounds, minmax, minmax_column
@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HIDDEN_UNITS = 10
 EPOCHS = 100
 #: Batches an epoch and Adam's rate: as many steps at every size of the table.
-BATCHES, RATE = 8, 0.01
+BATCHES, RATE = 4, 0.02
 
 
 @dataclass
@@ -86,7 +86,7 @@ class Perceptron:
             for j, (column, b) in enumerate(zip(self.hidden.T, self.hidden_bias, strict=True))
         }
         total = " + ".join([f"{float(self.out_bias[0])!r}D", *(f"{u} * {float(w)!r}D" for u, w in zip(units, self.out, strict=True))])
-        return df.withColumns(units).withColumn(out, sigmoid(F.expr(total))).drop(*units)
+        return fenced(df, units).withColumn(out, sigmoid(F.expr(total))).drop(*units)
 
 
 @dataclass

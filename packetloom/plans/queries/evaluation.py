@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.operators import evaluate, shape, stats, threshold
+from packetloom.operators import evaluate, shape, sketches, stats, threshold
 from packetloom.plans.queries.inputs import FLOW_SQL, SCORED_SQL, flows, scored_events, table
 from packetloom.plans.queries.registry import query, rounded
 
@@ -282,3 +282,24 @@ def flow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             "threshold": rounded("threshold"),
         }
     )
+
+
+@query(
+    "score_sketch_ranks",
+    f"""select count(*) as n, min(score) as low, max(score) as high, true as p25, true as p50, true as p75
+        from ({SCORED_SQL})""",
+)
+def score_sketch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by group, merged: each quartile's rank lies within the stated bound of the exact one."""
+    rows = scored_events(spark, sf_dir).select("score", (F.col("event_id") % 30).alias("day"))
+    made = sketches.describe_sketches(sketches.sketch_columns(rows, ["score"], ["day"])).drop("min", "max")
+    bound = sketches.rank_error()
+
+    def within(q: str, share: float):
+        below, upto = (F.avg(c.cast("double")) for c in (F.col("score") < F.col(q), F.col("score") <= F.col(q)))
+        return ((below - bound <= share) & (upto + bound >= share)).alias(q)
+
+    return rows.join(F.broadcast(made.select("p25", "p50", "p75"))).agg(
+        F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"),
+        within("p25", 0.25), within("p50", 0.5), within("p75", 0.75),
+    )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from packetloom.plans import ensemble, formats
 from packetloom.plans.ensemble import EnsembleFormat, EnsembleModel
-from packetloom.streaming.scoring import read_parquet_stream, score_stream, write_parquet_stream
+from packetloom.streaming.scoring import read_parquet_stream, score_batches, score_stream, write_parquet_stream
 
 LAYOUT = EnsembleFormat()
 SCORES = [LAYOUT.anomaly, LAYOUT.malicious, LAYOUT.combined]
@@ -112,3 +112,20 @@ def test_stream_scores_like_a_batch_with_saved_bounds(spark, flows, model, tmp_p
     assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("id").select("id", *SCORES).collect()
     assert got == ensemble.ensemble_score(model, flows, bounds="saved").orderBy("id").select("id", *SCORES).collect()
+
+
+def test_stream_batches_scale_by_their_own_ranges(spark, flows, model, tmp_path):
+    path = flows.inputFiles()[0].rsplit("/", 1)[0]
+    stream = read_parquet_stream(spark, path, flows.schema)
+    assert score_batches(model, stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("id").select("id", *SCORES).collect()
+    assert got == ensemble.ensemble_score(model, flows, bounds="batch").orderBy("id").select("id", *SCORES).collect()
+
+
+def test_non_finite_features_count_as_zero(spark, flows):
+    feature = LAYOUT.features[0]
+    rows = flows.withColumn(feature, F.expr(f"case id % 3 when 0 then double('infinity') when 1 then double('nan') else cast(`{feature}` as double) end"))
+    filled = flows.withColumn(feature, F.expr(f"if(id % 3 < 2, 0D, cast(`{feature}` as double))"))
+    fitted = ensemble.ensemble_fit(rows, LAYOUT, max_iter=2, key="id")
+    one, two = (ensemble.ensemble_score(fitted, d).orderBy("id").select("id", *SCORES).collect() for d in (rows, filled))
+    assert one == two and len(one) == 300 and all(r[c] is not None for r in one for c in SCORES)
