@@ -7,14 +7,17 @@ complete epochs first; the rest of its target is filled in key order up to the w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import heavy_light_join, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one source that a task sorts, on average.
-SLOT_ROWS = 20_000
 
 
 def quality_weight(words: Column, symbols: Column) -> Column:
@@ -57,9 +60,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> D
 def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: float, seed: str) -> tuple[DataFrame, DataFrame]:
     """Documents in key order with the words up to each, its source's target, epochs and rest; and each source's filling document."""
     keyed = _keyed(docs, doc_id, text, source, seed).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"))
-    sizes = materialize(keyed, "mixture-sizes")
-    slots = max(1, -(-sizes.count() // SLOT_ROWS))
-    sizes = sizes.withColumn("slot", F.least(F.floor((1 - F.exp(-F.col("key"))) * slots), F.lit(slots - 1)).cast("long"))
+    sizes = materialize(_summed_by_range(keyed), "mixture-sizes")
     targets = source_targets(sizes, weights, most)
     targets = targets.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -67,8 +68,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple
     before = F.coalesce(F.sum("in_slot").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.withColumn("before", before).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "in_slot")
     placed = _by_slot(sizes, offsets)
-    within = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = materialize(placed.withColumn("through", F.col("before") + F.sum("size").over(within)).drop("before"), "mixture-order")
+    placed = materialize(placed.withColumn("through", F.col("before") + F.col("within")).drop("before", "within"), "mixture-order")
     # the gap that each source's first documents leave, and the one document that fills it best
     gaps = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.max(F.when(F.col("through") <= F.col("rest"), F.col("through"))).alias("full"))
     gaps = gaps.select("source", (F.col("rest") - F.coalesce("full", F.lit(0))).alias("gap"))
@@ -77,6 +77,35 @@ def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple
     return placed, left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "key", "doc_id", "through", "size")).alias("fill"))
 
 
+def _summed_by_range(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``slot``, the range of (source, key) that a row lies in, and ``within``, the words of its
+    source in that range up to it.
+
+    Ranges hold about as many rows each, whatever the distribution of the keys and the sizes of sources,
+    and a task sums up one while it streams by in order.
+    """
+    order = ["source", "key", "doc_id", "size"]
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, last, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            source, size = batch.column("source").to_pylist(), batch.column("size").to_numpy()
+            sums = np.cumsum(size)
+            new = np.fromiter((i > 0 and x != source[i - 1] for i, x in enumerate(source)), bool, len(source))
+            base = np.where(new, sums - size, 0)
+            base[0] = -carried if last == (source[0],) else 0
+            start = np.maximum.accumulate(np.where(new, np.arange(len(source)), 0))
+            within = sums - base[start]
+            last, carried = (source[-1],), int(within[-1])
+            yield batch.append_column("slot", pa.array(np.full(len(source), slot, np.int64))).append_column("within", pa.array(within.astype(np.int64)))
+
+    ranges = keyed.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranges.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in order) + ", slot long, within long")
+
+
 def mix_sources(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3, seed: str = "mix"
 ) -> DataFrame:
@@ -87,8 +116,8 @@ def mix_sources(
     is skipped for the one left whose size is nearest to the gap, if taking that brings the sum nearer.
     Documents are taken whole. Null and empty texts have size 0 and key order as any other; a source
     without words has target 0. Keys depend on the id alone, so reruns agree; rows with equal ids share a key
-    and order by size. A source's rows are cut into slots of the key's range, summed apart and offset, so
-    that no task holds a source.
+    and order by size. A source's rows lie in ranges of the key with about as many rows each, summed apart
+    and offset, so that no task holds a source.
     """
     placed, fills = _placed(docs, doc_id, text, source, weights, most, seed)
     fills = placed.select("source", "slot").distinct().join(fills.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("source", "slot", F.col("fill.through").alias("fill"))

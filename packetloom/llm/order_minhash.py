@@ -135,7 +135,8 @@ def dealt_by_id(docs: DataFrame) -> DataFrame:
     copy = F.struct(F.col("__to").alias("b"), F.lit(True).alias("head"))
     rows = rows.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
     rows = rows.select("doc_id", "text", F.col("__at.b").alias("stretch"), F.col("__at.head").alias("head"))
-    return rows.repartition(n, "stretch").sortWithinPartitions("stretch", "head", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    # a stretch to a partition: hashed, several would meet in one task
+    return rows.repartitionById(len(splits) + 1, F.col("stretch").cast("int")).sortWithinPartitions("stretch", "head", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
 def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
