@@ -60,8 +60,8 @@ def needed(a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
 
 
 def bitmap(ordered: np.ndarray) -> bytes:
-    """The set's bits: a power of two of them, at least two a hash up to 2^16."""
-    width = 1 << min(16, max(6, int(2 * len(ordered) - 1).bit_length()))
+    """The set's bits: a power of two of them, at least four a hash up to 2^16."""
+    width = 1 << min(16, max(6, int(4 * len(ordered) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(ordered & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -334,9 +334,11 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     forget(least, meet, sets)
     roots = connected_components(first, "jaccard-first")
     # step two: all prefix blocks that hold two components
-    rooted = classes.select(F.col("rep").alias("doc_id"), "print", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # an id and a 64-bit mark name a row's set; the table that goes to the sketches holds numbers alone
+    mark = F.xxhash64("print").alias("mark")
+    rooted = classes.select(F.col("rep").alias("doc_id"), mark, "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rooted = materialize(rooted, "jaccard-rooted")
-    reps = sketch.select("doc_id", "print", "n", "prefix").join(rooted.drop("n"), ["print", "doc_id"]).drop("print")
+    reps = sketch.select("doc_id", mark, "n", "prefix").join(rooted.drop("n"), ["mark", "doc_id"]).drop("mark")
     n_buckets = BUCKETS * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     shared = _packed_prefixes(reps, n_buckets).groupBy("bucket").applyInArrow(_shared_prefixes(kind), f"hash long, doc_id {kind}, members long, short boolean")
     shared = materialize(shared, "jaccard-shared")
@@ -344,8 +346,8 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     several = shared.groupBy("doc_id").agg(F.count("*").alias("hits")).join(rooted, "doc_id")
     several = several.where(F.col("hits") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / SPARE)).drop("hits")
     # bitmaps are read for these sets alone, and each once
-    several = materialize(sketch.select("doc_id", "print", "bits").join(several.dropDuplicates(["doc_id", "print"]), ["doc_id", "print"]), "jaccard-several")
-    member = shared.where("short").drop("short").join(several.drop("print"), "doc_id")
+    several = materialize(sketch.select("doc_id", mark, "bits").join(several.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]), "jaccard-several")
+    member = shared.where("short").drop("short").join(several.drop("mark"), "doc_id")
     # links need sizes within a factor of 1.25: in a block of many, a band of sizes meets itself and the next
     large = F.col("members") > LEAF
     band = F.when(large, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
