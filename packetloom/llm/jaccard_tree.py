@@ -14,10 +14,11 @@ Then all prefix blocks that still hold two components are searched for the links
 from __future__ import annotations
 
 from base64 import b64encode
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ BLOCK_HASHES, BLOCK_MEMBERS = 400_000, 4_000
 BUCKETS = 4
 #: A set's prefix holds one in so many of its hashes beyond the short one, to tell sets that share only a passage.
 SPARE = 10
+#: Prefix hashes that a task packs at once.
+PACKED_HASHES = 300_000
 #: Members of a leaf, children of a node.
 LEAF, FANOUT = 16, 8
 #: Ids up to which a semi join with the documents is a broadcast.
@@ -261,13 +264,24 @@ def _candidates(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[0], kind), "b": pa.array(pairs[1], kind)})
 
 
+def _slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` list items each, so that memory is bounded by a slice."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield batch.slice(i, j - i)
+
+
 def _packed_prefixes(reps: DataFrame, n_buckets: int) -> DataFrame:
     """Prefix hashes with id and component, packed by bucket of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, "prefix", PACKED_HASHES):
             lists = batch.column("prefix")
-            sizes = np.diff(lists.offsets.to_numpy())
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             hashes = lists.flatten().to_numpy().astype(np.int64)
             if not len(hashes):
                 continue
