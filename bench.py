@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from packetloom.operators import anomaly, evaluate, ids, sampling, scale, shape, stats, threshold
+from packetloom.operators.frequency_index import fit_frequency_index
 from packetloom.plans import ensemble
 from packetloom.plans.host_health import train_host_health
 from packetloom.plans.queries.inputs import (
@@ -30,7 +31,6 @@ from packetloom.session import build_session
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 CATEGORICAL = ["l_returnflag", "l_linestatus", "size_class"]
-CONV_STEPS = 5
 
 
 def drain(df) -> None:
@@ -79,6 +79,7 @@ def main() -> None:
     timed("hash_split", lambda: [drain(part) for part in sampling.split(plain, "l_orderkey")])
     timed("stratified_folds", lambda: drain(sampling.stratified_folds(events, "event_id", "event_type")))
     timed("sample_exact", lambda: drain(sampling.sample_exact(events, "event_id", 0.35)))
+    timed("string_index", lambda: drain(fit_frequency_index(rows, ["dest_ip"]).transform(rows.select("l_orderkey", "dest_ip"))))
     timed("describe", lambda: stats.describe(plain, FLOW_NUMERICS).collect())
     timed("covariance", lambda: stats.covariance(plain, FLOW_NUMERICS).collect())
 
@@ -94,12 +95,13 @@ def main() -> None:
     timed("host_health", lambda: train_host_health(host_metrics(spark, SF_DIR))[2].collect())
     linear = timed("anomaly_fit", lambda: anomaly.fit_anomaly(plain, FLOW_NUMERICS, k=2))
     timed("anomaly_score", lambda: drain(anomaly.anomaly_score(linear, plain)))
+    # a fit takes a hundred such epochs, each over all rows in batches of ten thousand
     conv = timed(
-        "conv_fit",
-        lambda: anomaly.fit_anomaly(plain, FLOW_NUMERICS, method="conv1d", key="l_orderkey", steps=CONV_STEPS),
+        "conv_epoch",
+        lambda: anomaly.fit_anomaly(plain, FLOW_NUMERICS, method="conv1d", key="l_orderkey", epochs=1),
     )
     timed("conv_score", lambda: drain(anomaly.anomaly_score(conv, plain)))
-    stacked = timed("ensemble_fit", lambda: ensemble.ensemble_fit(plain, FLOW_LAYOUT))
+    stacked = timed("ensemble_fit", lambda: ensemble.ensemble_fit(plain, FLOW_LAYOUT, key=FLOW_KEY[:3]))
     timed("ensemble_score", lambda: drain(ensemble.ensemble_score(stacked, plain)))
     timed("ensemble_score_saved_bounds", lambda: drain(ensemble.ensemble_score(stacked, plain, bounds="saved")))
 
