@@ -31,9 +31,14 @@ def build_session(app: str = "packetloom", master: str | None = None, **conf: st
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names, or else in the warehouse.
 
-    Either is a folder that every executor reaches; the session's settings stay as they are.
+    Either is a folder that every executor reaches; the session's settings stay as they are. On a cluster
+    whose warehouse is a folder of the driver's machine, the setting has to be there.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder: {root} is on the driver's machine")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
