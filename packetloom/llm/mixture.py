@@ -60,7 +60,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> D
 def _placed(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: float, seed: str) -> tuple[DataFrame, DataFrame]:
     """Documents in key order with the words up to each, its source's target, epochs and rest; and each source's filling document."""
     keyed = _keyed(docs, doc_id, text, source, seed).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"))
-    sizes = materialize(_summed_by_range(keyed), "mixture-sizes")
+    # stored first: cutting ranges reads its input twice, and texts should be read once
+    sizes = materialize(_summed_by_range(materialize(keyed, "mixture-keys")), "mixture-sizes")
     targets = source_targets(sizes, weights, most)
     targets = targets.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
