@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import conv, crossval, evaluate, ids, mlp
+from packetloom.operators import conv, crossval, evaluate, ids, minibatch, mlp
 from packetloom.operators.minibatch import Adam, train
 from packetloom.sources.models import load_model, save_model
 
@@ -124,3 +124,25 @@ def test_fold_moments(rows):
     for i, (mean, sd) in enumerate(crossval.fold_moments(rows, "fold", ["x", "z"], 4)):
         other = data[data[:, 0] != i, 1:]
         assert mean == pytest.approx(other.mean(0)) and sd == pytest.approx(other.std(0))
+
+
+@pytest.mark.parametrize("settings", [{"batches": 5}, {"batch_rows": 60, "held_out": 0.2}])
+def test_a_step_reads_its_own_batch_alone(spark, rows, monkeypatch, settings):
+    """A step's tasks are handed the blocks of the batch's lots and no others."""
+    seen, others = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    plain = minibatch._sums
+
+    def counted(networks, width, lots, *rest):
+        run = plain(networks, width, lots, *rest)
+
+        def through(blocks):
+            for block in blocks:
+                mine = block[0] < 0 if lots is None else block[0] in lots
+                (seen if mine else others).add(1)
+                yield block
+
+        return lambda blocks: run(through(blocks))
+
+    monkeypatch.setattr(minibatch, "_sums", counted)
+    train(rows, [F.col("x"), F.col("z")], F.col("label"), [mlp.Perceptron.start(2)], "id", epochs=2, **settings)
+    assert seen.value > 0 and others.value == 0
