@@ -24,6 +24,9 @@ from packetloom.operators.scale import fit_moments, standardize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows that all networks work off at once: their units stay in a core's cache.
+CHUNK = 256
+
 Fit = Callable[[DataFrame], object]
 Score = Callable[[object, DataFrame], DataFrame]
 
@@ -107,6 +110,53 @@ class Standardised:
         return self.network.logit(self._scaled(x))
 
 
+class JointFolds:
+    """Perceptrons of all folds side by side as one wide layer; network ``j`` takes the rows outside fold ``j``.
+
+    Rows are standardised once, by the first network's moments; what the others' moments differ by goes into
+    their weights, and out of their gradients.
+    """
+
+    def __init__(self, networks: Sequence[Standardised]) -> None:
+        first = networks[0]
+        n, h = first.network.hidden.shape
+        self.k, self.n, self.h, self.mean, self.sd = len(networks), n, h, first.mean, first.sd
+        self.scale = np.array([first.sd / w.sd for w in networks])
+        self.shift = np.array([(first.mean - w.mean) / w.sd for w in networks])
+        self.hidden = np.hstack([w.network.hidden * s[:, None] for w, s in zip(networks, self.scale, strict=True)])
+        self.hidden_bias = np.concatenate([w.network.hidden_bias + t @ w.network.hidden for w, t in zip(networks, self.shift, strict=True)])
+        self.out, self.out_bias = np.zeros((self.k * h, self.k)), np.array([w.network.out_bias[0] for w in networks])
+        for j, w in enumerate(networks):
+            self.out[j * h : (j + 1) * h, j] = w.network.out
+        self.back = np.ascontiguousarray(self.out.T)
+
+    def sums(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        k, n, h = self.k, self.n, self.h
+        hidden, units, out, rest = np.zeros((n, k * h)), np.zeros(k * h), np.zeros((k * h, k)), np.zeros((3, k))
+        x = (x - self.mean) / self.sd
+        for i in range(0, len(x), CHUNK):
+            a, b = x[i : i + CHUNK], y[i : i + CHUNK, None]
+            own = fold[i : i + CHUNK, None] != np.arange(k)
+            active = a @ self.hidden
+            active += self.hidden_bias
+            np.maximum(active, 0.0, out=active)
+            z = active @ self.out + self.out_bias
+            small = np.exp(-np.abs(z))
+            error = (np.where(z >= 0, 1.0, small) / (1.0 + small) - b) * own
+            back = error @ self.back
+            back *= active > 0
+            hidden += a.T @ back
+            units += back.sum(axis=0)
+            out += active.T @ error
+            rest += (error.sum(axis=0), ((np.maximum(z, 0.0) + np.log1p(small) - b * z) * own).sum(axis=0), own.sum(axis=0))
+        total = []
+        for j in range(k):
+            at = slice(j * h, (j + 1) * h)
+            of_hidden = hidden[:, at] * self.scale[j][:, None] + np.outer(self.shift[j], units[at])
+            total.append(np.concatenate([of_hidden.ravel(), units[at], out[at, j], rest[:, j]]))
+        return np.array(total)
+
+
 def fold_moments(df: DataFrame, fold: str, cols: Sequence[str], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Mean and population deviation of each column over the rows outside each fold, from one grouped aggregate.
 
@@ -156,7 +206,7 @@ def cross_validate_perceptron(
         networks = [Standardised(start, *moments) for moments in fold_moments(df, fold, cols, k)]
         networks, _ = train(
             df, [named(c) for c in cols], named(label), networks, key,
-            batches=batches, epochs=epochs, rate=rate, fold=fold, seed=seed,
+            batches=batches, epochs=epochs, rate=rate, fold=fold, seed=seed, joint=JointFolds,
         )
 
         def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -126,6 +126,17 @@ def test_fold_moments(rows):
         assert mean == pytest.approx(other.mean(0)) and sd == pytest.approx(other.std(0))
 
 
+def test_folds_at_once_equal_each_alone():
+    """One wide layer for all folds gives each network's gradient, loss and rows, also with unlike moments."""
+    rng = np.random.default_rng(5)
+    x, y, fold = rng.normal(3, 2, (700, 4)).astype(np.float32), (rng.random(700) > 0.5).astype(np.float32), rng.integers(0, 5, 700).astype(np.int32)
+    networks = [crossval.Standardised(mlp.Perceptron.start(4, 6, seed=j), rng.normal(3, 1, 4), rng.uniform(0.5, 3, 4)) for j in range(5)]
+    got = crossval.JointFolds(networks).sums(x, y, fold)
+    for j, network in enumerate(networks):
+        grad, loss = network.gradient(x[fold != j], y[fold != j])
+        assert got[j] == pytest.approx(np.concatenate([grad, [loss, (fold != j).sum()]]), rel=1e-6, abs=1e-6)
+
+
 @pytest.mark.parametrize("settings", [{"batches": 5}, {"batch_rows": 60, "held_out": 0.2}])
 def test_a_step_reads_its_own_batch_alone(spark, rows, monkeypatch, settings):
     """A step's tasks are handed the blocks of the batch's lots and no others."""
