@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators import encode, sampling, scale, shape
@@ -103,19 +103,20 @@ def json_columns_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as one document of columns, read in blocks."""
     path = scratch_path(spark, "columns-document")
     columns = EVENT_COLUMNS[1:]
-    events = _events(spark, sf_dir).withColumn("last", F.col("event_id") == F.max("event_id").over(Window.partitionBy(F.lit(1))))
+    events = _events(spark, sf_dir)
+    ends = events.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    first, last = (F.col("event_id") == F.lit(ends[c]).cast("bigint") for c in ("low", "high"))
     cells = [
         F.concat(
-            F.when(F.col("first"), F.lit(("{" if i == 0 else "") + f'"{c}": {{\n')).otherwise(F.lit("")),
+            F.when(first, F.lit(("{" if i == 0 else "") + f'"{c}": {{\n')).otherwise(F.lit("")),
             F.lit('"'), F.col("event_id").cast("string"), F.lit('": '),
             F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null")),
-            F.when(F.col("last"), F.lit("}}" if i + 1 == len(columns) else "},")).otherwise(F.lit(",")),
+            F.when(last, F.lit("}}" if i + 1 == len(columns) else "},")).otherwise(F.lit(",")),
         )
         for i, c in enumerate(columns)
     ]
-    events = events.withColumn("first", F.col("event_id") == F.min("event_id").over(Window.partitionBy(F.lit(1))))
     lines = events.select("event_id", F.posexplode(F.array(*cells)).alias("at", "line"))
-    lines.repartition(1).sortWithinPartitions("at", "event_id").select("line").write.text(path)
+    writers.write_one_file(lines, ["at", "event_id"], "line", path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # several blocks at any size of the table
     try:

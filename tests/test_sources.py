@@ -102,6 +102,25 @@ def test_json_columns_document_in_blocks(spark, tmp_path, block):
     assert got == sorted(want, key=str)
 
 
+def test_one_file_from_ranges_sorted_apart(spark, tmp_path, monkeypatch):
+    """One file in order, although no task sorts or keeps more than its range."""
+    passed = []
+    monkeypatch.setattr(writers, "forget", lambda df: passed.append(df))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(5000).selectExpr("id % 2 at", "id * 7919 % 5000 n").selectExpr("*", "concat(at, ':', n) line")
+        writers.write_one_file(df, ["at", "n"], "line", str(tmp_path / "one"))
+        writers.write_one_file(df.limit(0), ["at", "n"], "line", str(tmp_path / "none"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    (file,) = (tmp_path / "one").glob("part-*")
+    assert file.read_text().splitlines() == [r["line"] for r in df.orderBy("at", "n").collect()]
+    assert "".join(f.read_text() for f in (tmp_path / "none").glob("part-*")) == ""
+    sizes = [r["count"] for r in passed[0].groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2500
+
+
 def test_json_columns_refuses_other_documents(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": {"0": [1, 2]}}')
     with pytest.raises(Exception, match="not a document of columns"):
