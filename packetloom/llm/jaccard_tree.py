@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import WordHashes, heavy_light_join, map_blocks, materialize, mixed, pack, run_starts, unpack, windows
+from packetloom.llm.common import WordHashes, blocks, heavy_light_join, map_blocks, materialize, mixed, pack, run_starts, unpack, windows
 from packetloom.llm.components import connected_components
 from packetloom.session import forget
 
@@ -37,8 +37,8 @@ BLOCK_HASHES, BLOCK_MEMBERS = 400_000, 4_000
 BUCKETS = 4
 #: A set's prefix holds one in so many of its hashes beyond the short one, to tell sets that share only a passage.
 SPARE = 10
-#: Prefix hashes that a task packs at once.
-PACKED_HASHES = 300_000
+#: Prefix hashes that a task packs at once, low bytes of a hash that blocks go by: equal ones of different hashes only make more candidates.
+PACKED_HASHES, HASH_BYTES = 300_000, 5
 #: Members of a leaf, children of a node.
 LEAF, FANOUT = 16, 8
 #: Ids up to which a semi join with the documents is a broadcast.
@@ -77,7 +77,7 @@ def short_prefix(n: int | np.ndarray) -> int | np.ndarray:
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``n`` (set size), ``print`` (the set's 128-bit hash; null if empty), ``least`` (smallest hash
-    under each order), ``prefix`` and ``bits`` of each document."""
+    under each order), ``prefix`` (``HASH_BYTES`` a hash, smallest hash first) and ``bits`` of each document."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(block: pa.RecordBatch) -> dict:
@@ -86,29 +86,34 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             own = shingles(x or b"", hashes)
             n = len(own)
             if not n:
-                made.append((0, None, [], [], b""))
+                made.append((0, None, [], b"", b""))
                 continue
-            prefix = own[: short_prefix(n) + n // SPARE]
+            prefix = own[: short_prefix(n) + n // SPARE].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
             least = [int(mixed(own ^ _SALT * np.uint64(k)).min().astype(np.int64)) for k in range(ORDERS)]
-            made.append((n, b64encode(xxhash.xxh3_128_digest(own.tobytes())).decode().rstrip("="), least, prefix.astype(np.int64).tolist(), bitmap(own)))
+            made.append((n, b64encode(xxhash.xxh3_128_digest(own.tobytes())).decode().rstrip("="), least, prefix.tobytes(), bitmap(own)))
         return {"doc_id": block.column("doc_id")} | dict(zip(("n", "print", "least", "prefix", "bits"), map(list, zip(*made, strict=True)), strict=True))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return map_blocks(rows, "text", f"doc_id {kind}, n long, print string, least array<long>, prefix array<long>, bits binary", work)
+    return map_blocks(rows, "text", f"doc_id {kind}, n long, print string, least array<long>, prefix binary, bits binary", work)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``set`` (the hashes as bytes) of the documents in ``ids``; a few ids are broadcast, many joined by shuffle."""
+    """``doc_id``, ``set`` (the hashes as bytes) of the documents in ``ids`` (one row an id), and its other columns.
+
+    A few ids are broadcast, many joined by shuffle.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     few = ids.count() <= FEW_IDS
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    rows = rows.join(F.broadcast(ids) if few else ids, "doc_id")
+    others = [(c, t) for c, t in ids.dtypes if c != "doc_id"]
 
     def work(block: pa.RecordBatch) -> dict:
         hashes = WordHashes()
-        return {"doc_id": block.column("doc_id"), "set": [shingles(x or b"", hashes).tobytes() for x in block.column("text").to_pylist()]}
+        made = {"doc_id": block.column("doc_id"), "set": [shingles(x or b"", hashes).tobytes() for x in block.column("text").to_pylist()]}
+        return made | {c: block.column(c) for c, _ in others}
 
-    return map_blocks(rows, "text", f"doc_id {kind}, set binary", work)
+    return map_blocks(rows, "text", ", ".join([f"doc_id {kind}, set binary", *(f"{c} {t}" for c, t in others)]), work)
 
 
 class Tree:
@@ -227,11 +232,42 @@ def _may_link(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
+def _near_pairs(table: pa.Table) -> pa.Table:
+    """Of a bucket of small blocks: the pairs of different components that meet in one, with sizes within reach."""
+    block, ids, n, group = (table.column(c).to_numpy() for c in ("hash", "doc_id", "n", "component"))
+    order = np.argsort(block, kind="stable")
+    most = np.diff(np.append(np.flatnonzero(run_starts(block[order])), len(order))).max()  # an id has a row for each of its texts
+    found = [np.empty((2, 0), ids.dtype)]
+    for step in range(1, most):
+        a, b = order[:-step], order[step:]
+        fits = (block[a] == block[b]) & (group[a] != group[b]) & (100 * n[a] >= PERCENT * n[b]) & (100 * n[b] >= PERCENT * n[a])
+        a, b = ids[a[fits]], ids[b[fits]]
+        found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    kind = table.schema.field("doc_id").type
+    return pa.table({"a": pa.array(pairs[0], kind), "b": pa.array(pairs[1], kind)})
+
+
+def _not_ruled_out(pairs: DataFrame, several: DataFrame) -> DataFrame:
+    """The pairs that a text of each may link by the tree's bound; bitmaps come once a pair, however many hashes it shares."""
+    side = lambda i, n, bits: several.select(F.col("doc_id").alias(i), F.col("n").alias(n), F.col("bits").alias(bits))
+    rows = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "x"):
+            bits = batch.column("x").to_pylist() + batch.column("y").to_pylist()
+            at = np.arange(len(batch))
+            ok = _may_link(bits, np.concatenate([batch.column("n").to_numpy(), batch.column("m").to_numpy()]), at, at + len(batch))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(run, pairs.schema)
+
+
 def _candidates(table: pa.Table) -> pa.Table:
     """Of a bucket of blocks: pairs of different components that can't be ruled out.
 
-    Blocks of a leaf's size are compared inside at once; larger ones get a tree. Visitors aren't paired
-    among themselves, nor members of one part in a block of two parts.
+    Bands and cells of a leaf's size are compared inside at once; larger ones get a tree. Visitors aren't
+    paired among themselves, nor members of one part in a block of two parts.
     """
     block, ids, n, group, own, part = (table.column(c).to_numpy() for c in ("block", "doc_id", "n", "component", "own", "part"))
     bits = table.column("bits").to_pylist()
@@ -265,9 +301,9 @@ def _candidates(table: pa.Table) -> pa.Table:
 
 
 def _slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most`` list items each, so that memory is bounded by a slice."""
+    """Slices of the batches with about ``most`` hashes each, so that memory is bounded by a slice."""
     for batch in batches:
-        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) // HASH_BYTES
         part = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
         for i, j in zip(cuts, cuts[1:], strict=False):
@@ -276,32 +312,34 @@ def _slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterat
 
 
 def _packed_prefixes(reps: DataFrame, n_buckets: int) -> DataFrame:
-    """Prefix hashes with id and component, packed by bucket of hashes."""
+    """Prefix hashes with id and component, packed by bucket of hashes, which is the hash's remainder; ``hashes`` are the quotients."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "prefix", PACKED_HASHES):
             lists = batch.column("prefix")
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hashes = lists.flatten().to_numpy().astype(np.int64)
-            if not len(hashes):
+            sizes = pc.fill_null(pc.binary_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) // HASH_BYTES
+            if not sizes.sum():
                 continue
+            hashes = np.zeros((sizes.sum(), 8), np.uint8)
+            hashes[:, :HASH_BYTES] = np.frombuffer(b"".join(x or b"" for x in lists.to_pylist()), np.uint8).reshape(-1, HASH_BYTES)
+            hashes, bucket = np.divmod(hashes.view(np.int64).ravel(), n_buckets)
             ids, components, n = (np.repeat(batch.column(c).to_numpy().astype(np.int64), sizes) for c in ("doc_id", "component", "n"))
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             n = 2 * n + (place < short_prefix(n))
-            bucket = (hashes.view(np.uint64) >> np.uint64(8)) % np.uint64(n_buckets)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             rows = [(k, *(pack(np.ascontiguousarray(x[order[i:j]])) for x in (hashes, ids, ids - components, n))) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], ["bucket", "hashes", "ids", "above", "n"])
 
     return reps.select("doc_id", "component", "n", "prefix").mapInArrow(run, "bucket int, hashes binary, ids binary, above binary, n binary")
 
 
-def _shared_prefixes(kind: str):
+def _shared_prefixes(kind: str, n_buckets: int):
     """Of a bucket: the members of each hash that have one of another component and a size within reach, with their number."""
 
     def run(table: pa.Table) -> pa.Table:
         hashes, ids, above, n = (np.concatenate([unpack(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("hashes", "ids", "above", "n"))
+        hashes = hashes * n_buckets + table.column("bucket")[0].as_py()
         order = np.lexsort((n, hashes))
         ids, short, n, component = ids[order], n[order] % 2 == 1, n[order] // 2, (ids - above)[order]
         block = np.cumsum(run_starts(hashes[order])) - 1
@@ -341,11 +379,13 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     meet = sketch.select("doc_id", "print", "n", "least").join(is_rep, ["print", "doc_id"]).select("doc_id", "n", F.posexplode("least").alias("k", "hash"))
     meet = least = materialize(meet, "jaccard-least")
     keys = meet.groupBy("k", "hash").agg(F.count("*").alias("members"), F.sum("n").alias("hashes")).where("members > 1").drop("members")
-    meet = meet.join(keys, ["k", "hash"]).withColumn("part", F.expr(f"pmod(xxhash64(doc_id), ceil(hashes / {BLOCK_HASHES}))")).select("doc_id", "k", "hash", "part")
-    meet = materialize(meet, "jaccard-meet")
-    sets = materialize(sets_of(docs, meet.select("doc_id").distinct(), doc_id, text), "jaccard-sets")
-    first = materialize(meet.join(sets, "doc_id").groupBy("k", "hash", "part").applyInArrow(_first_links, f"a {kind}, b {kind}"), "jaccard-first")
-    forget(least, meet, sets)
+    part = F.expr(f"pmod(xxhash64(doc_id), ceil(hashes / {BLOCK_HASHES}))")
+    meet = meet.join(keys, ["k", "hash"]).select("doc_id", F.xxhash64("k", "hash", part).alias("block"))
+    meet = materialize(meet.groupBy("doc_id").agg(F.collect_set("block").alias("blocks")), "jaccard-meet")
+    # a set is made where its text is read and goes to its blocks at once
+    sets = sets_of(docs, meet, doc_id, text).withColumn("block", F.explode("blocks")).select("block", "doc_id", "set")
+    first = materialize(sets.groupBy("block").applyInArrow(_first_links, f"a {kind}, b {kind}"), "jaccard-first")
+    forget(least, meet)
     roots = connected_components(first, "jaccard-first")
     # step two: all prefix blocks that hold two components
     # an id and a 64-bit mark name a row's set; the table that goes to the sketches holds numbers alone
@@ -354,27 +394,29 @@ def similarity_links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, doc
     rooted = materialize(rooted, "jaccard-rooted")
     reps = sketch.select("doc_id", mark, "n", "prefix").join(rooted.drop("n"), ["mark", "doc_id"]).drop("mark")
     n_buckets = BUCKETS * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    shared = _packed_prefixes(reps, n_buckets).groupBy("bucket").applyInArrow(_shared_prefixes(kind), f"hash long, doc_id {kind}, members long, short boolean")
+    shared = _packed_prefixes(reps, n_buckets).groupBy("bucket").applyInArrow(_shared_prefixes(kind, n_buckets), f"hash long, doc_id {kind}, members long, short boolean")
     shared = materialize(shared, "jaccard-shared")
     # a set that links shares n // SPARE + 1 hashes of its prefix with the other, or as many as that one's smaller prefix has to spare
     several = shared.groupBy("doc_id").agg(F.count("*").alias("hits")).join(rooted, "doc_id")
     several = several.where(F.col("hits") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / SPARE)).drop("hits")
     # bitmaps are read for these sets alone, and each once
     several = materialize(sketch.select("doc_id", mark, "bits").join(several.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]), "jaccard-several")
-    member = shared.where("short").drop("short").join(several.drop("mark"), "doc_id")
+    # in a block of a leaf's size ids alone pair up; a larger one gets the bitmaps
+    few = shared.where(F.col("short") & (F.col("members") <= LEAF)).select("hash", "doc_id").join(several.select("doc_id", "n", "component"), "doc_id")
+    few = few.groupBy(F.pmod("hash", F.lit(2 * n_buckets)).alias("bucket")).applyInArrow(_near_pairs, f"a {kind}, b {kind}")
+    few = _not_ruled_out(materialize(few.distinct(), "jaccard-near"), several)
+    member = shared.where(F.col("short") & (F.col("members") > LEAF)).drop("short").join(several.drop("mark"), "doc_id")
     # links need sizes within a factor of 1.25: in a block of many, a band of sizes meets itself and the next
-    large = F.col("members") > LEAF
-    band = F.when(large, F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
     at = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
-    at = F.when(large, at).otherwise(F.slice(at, 1, 1))
     # a block with too many members is cut into parts, and each pair of parts is a block
     parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(i, part).alias("i"), F.greatest(i, part).alias("j")))
     member = member.withColumn("part", part).withColumn("at", F.explode(at)).withColumn("cell", F.explode(cells))
     member = member.select("doc_id", "n", "component", "bits", "part", "at.own", F.xxhash64("hash", "at.band", "cell.i", "cell.j").alias("block"))
-    blocks = member.groupBy(F.pmod("block", F.lit(2 * n_buckets)).alias("bucket"))
-    pairs = materialize(blocks.applyInArrow(_candidates, f"a {kind}, b {kind}").distinct(), "jaccard-pairs")
+    large = member.groupBy(F.pmod("block", F.lit(2 * n_buckets)).alias("bucket"))
+    pairs = materialize(large.applyInArrow(_candidates, f"a {kind}, b {kind}").union(few).distinct(), "jaccard-pairs")
     forget(shared, several, rooted)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     more = materialize(sets_of(docs, ids, doc_id, text), "jaccard-more-sets")

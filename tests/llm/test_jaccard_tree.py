@@ -112,3 +112,39 @@ def test_long_chains(spark):
     for part in (nodes[:251], nodes[260:330], nodes[340:342]):
         assert {got[n] for n in part} == {min(part)}
     assert len(got) == 251 + 70 + 2
+
+
+def test_any_text_of_an_id_can_link_in_a_small_block(spark, monkeypatch):
+    """Pairs are taken by id, so the bound is tried for each text; before, the first text of a repeated id stood for all."""
+    monkeypatch.setattr(jaccard_tree, "BLOCK_HASHES", 1)
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 120, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        near = [*base[:-2], "y", "z"]
+        half = [*base[:42], *(f"v{rng.randrange(10**6)}" for _ in range(18))]  # shares hashes, doesn't link
+        rows += [(i, " ".join(half)), (i, " ".join(near)), (i + 1, " ".join(base))]
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_what_travels(spark, rows):
+    """A hash goes by its low bytes; a set goes to its blocks from the task that reads its text, without a shuffle in between."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_tree.sketches(docs, "doc_id", "text")
+    assert dict(got.dtypes)["prefix"] == "binary"
+    for r in got.where("n > 0").collect():
+        n_hashes = jaccard_tree.short_prefix(r.n) + r.n // jaccard_tree.SPARE
+        assert len(r.prefix) == jaccard_tree.HASH_BYTES * min(r.n, n_hashes)
+    ids = spark.createDataFrame([(i, [i, -i]) for i in range(5)], "doc_id long, blocks array<long>")
+    sets = jaccard_tree.sets_of(docs, ids, "doc_id", "text")
+    assert {(r.doc_id, tuple(r.blocks)) for r in sets.collect()} == {(i, (i, -i)) for i in range(5)}
+    assert "hashpartitioning" not in sets._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bitmaps_once_a_pair(spark):
+    """Small blocks give each pair once, whatever number of hashes it shares."""
+    import pyarrow as pa
+
+    few = pa.table({"hash": [5, 5, 9, 9, 9, 7, 7], "doc_id": [1, 2, 2, 1, 3, 4, 1], "n": [10, 10, 10, 10, 10, 10, 30], "component": [1, 2, 2, 1, 1, 4, 1]})
+    assert sorted(zip(*jaccard_tree._near_pairs(few).to_pydict().values(), strict=True)) == [(2, 1), (3, 2)]
