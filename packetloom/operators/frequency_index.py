@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import named
-from packetloom.operators.encode import index_name
+from packetloom.operators.encode import index_name, one_hot_features
 from packetloom.operators.lookup import lookup
 from packetloom.session import materialize
 
@@ -91,18 +91,22 @@ def fit_frequency_index(df: DataFrame, cols: Sequence[str], handle_invalid: str
 
 @dataclass
 class IndexedModel:
-    """A frequency index with a fitted pipeline that reads its columns; used like the pipeline."""
+    """A frequency index, the parts of the vector made from its columns, and a fitted pipeline that reads it; used like the pipeline."""
 
     index: FrequencyIndex
+    parts: list[tuple[str, int | None]]
     pipeline: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.pipeline.transform(self.index.transform(df))
+        return self.pipeline.transform(one_hot_features(self.index.transform(df), self.parts))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.index.save(spark, f"{path}/index")
+        parts = [(i, *part) for i, part in enumerate(self.parts)]
+        spark.createDataFrame(parts, "place int, name string, width long").coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> IndexedModel:
-        return IndexedModel(FrequencyIndex.load(spark, f"{path}/index"), PipelineModel.load(f"{path}/pipeline"))
+        parts = [(r["name"], r["width"]) for r in spark.read.parquet(f"{path}/parts").orderBy("place").collect()]
+        return IndexedModel(FrequencyIndex.load(spark, f"{path}/index"), parts, PipelineModel.load(f"{path}/pipeline"))

@@ -17,6 +17,7 @@ from packetloom.operators.encode import (
     assemble,
     hash_features,
     one_hot,
+    one_hot_features,
     string_index,
     vector_name,
 )
@@ -51,8 +52,8 @@ def fit_ids(
 
     ``encoding`` is the caller's choice at every size. ``"index"`` keeps a
     dictionary of the categories on the driver and in every task; ``"table"``
-    gives the same indexes from a stored table by joins, so that only the
-    weights grow with the categories; ``"hash"`` needs none and puts all categoricals into ``num_hashed`` slots, which stand
+    gives the same indexes from a stored table by joins and names no category
+    in the vector, so that only the weights and the optimiser's history grow with the categories; ``"hash"`` needs none and puts all categoricals into ``num_hashed`` slots, which stand
     first, so it cannot refuse an unseen value and takes ``handle_invalid="keep"``
     alone. ``order`` gives the assembly order of the original column names (of
     the numerics, if hashed), and ``logistic_settings`` override those of the
@@ -79,7 +80,11 @@ def fit_ids(
     )
     if cats and encoding == "table":
         index = fit_frequency_index(train, cats, handle_invalid)
-        return IndexedModel(index, Pipeline(stages=stages[1:]).fit(index.transform(train)))
+        # the slots of one_hot: with "keep" a null has one if there is any, else the last category has none
+        nulls = train.agg(*[F.coalesce(F.max(named(c).isNull()), F.lit(False)) for c in cats]).first()
+        slots = {c: index.sizes[c] + (bool(null) if keep == "keep" else -1) for c, null in zip(cats, nulls, strict=True)}
+        parts = [(c, slots.get(c)) for c in (order or [*cats, *nums])]
+        return IndexedModel(index, parts, Pipeline(stages=[logistic]).fit(one_hot_features(index.transform(train), parts)))
     return Pipeline(stages=stages).fit(train)
 
 

@@ -57,3 +57,24 @@ def test_lookup_keeps_rows_and_spreads_hot_keys(spark, rows):
     got = lookup(null, "a", table.where("a <> 'v3'"), "n", 713, ["w"]).collect()
     assert len(got) == null.count()
     assert all(r["w"] == (None if r["a"] in (None, "v3") else r["a"] + "!") for r in got)
+
+
+@pytest.mark.parametrize("invalid", ["keep", "error"])
+def test_vectors_name_no_slot(spark, rows, invalid):
+    """The same vectors as one-hot encoding and assembling give, null and unseen values too, without a name for each address."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder
+
+    from packetloom.operators.encode import assemble
+
+    rows = rows.where("a <> ''")
+    train = rows.unionByName(spark.createDataFrame([(9000, None, "d", 0.0, 0)], rows.schema)) if invalid == "keep" else rows
+    more = train.unionByName(spark.createDataFrame([(9001, "never", "d", 2.0, 1)], rows.schema)) if invalid == "keep" else rows
+    model = ids.fit_ids(train, "y", ["a", "b"], ["x"], invalid, "table", order=["a", "x", "b"], regParam=0.01)
+    got = model.transform(more)
+    assert "ml_attr" not in got.schema["features"].metadata
+    indexed = model.index.transform(train)
+    encoder = OneHotEncoder(inputCols=["a_index", "b_index"], outputCols=["a_vec", "b_vec"], dropLast=True, handleInvalid=invalid)
+    plain = Pipeline(stages=[encoder, assemble(["a_vec", "x", "b_vec"])]).fit(indexed).transform(model.index.transform(more))
+    one, two = ({r["id"]: r["features"] for r in df.select("id", "features").collect()} for df in (got, plain))
+    assert one.keys() == two.keys() and all(one[i].size == two[i].size and (one[i].toArray() == two[i].toArray()).all() for i in one)
