@@ -157,3 +157,57 @@ def test_a_step_reads_its_own_batch_alone(spark, rows, monkeypatch, settings):
     monkeypatch.setattr(minibatch, "_sums", counted)
     train(rows, [F.col("x"), F.col("z")], F.col("label"), [mlp.Perceptron.start(2)], "id", epochs=2, **settings)
     assert seen.value > 0 and others.value == 0
+
+
+def test_small_batches_take_their_steps_where_they_lie(spark, rows, monkeypatch):
+    """The weights of a plain loop over the same batches, one job a partition and epoch in place of one a step."""
+    monkeypatch.setattr(minibatch, "TOUR_BYTES", 3000)
+    context, start = spark.sparkContext, mlp.Perceptron.start(2, 4, seed=3)
+
+    def fit(epochs):
+        context.setJobGroup(f"tour{epochs}", "")
+        (got,), (history,) = train(rows, [F.col("x"), F.col("z")], F.col("label"), [start], "id", batch_rows=50, epochs=epochs, rate=0.05)
+        return got, history, len(context.statusTracker().getJobIdsForGroup(f"tour{epochs}"))
+
+    (got, history, many), (_, _, few) = fit(4), fit(1)
+    parts = -(-600 * 12 // 3000)
+    assert many - few == 3 * parts
+    place = F.pmod(F.xxhash64("id", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
+    data = np.array([tuple(r) for r in rows.select(F.floor(place * 48), "x", "z", "label").collect()])
+    network, adam, losses = start, Adam(start.flat().size, 0.05), []
+    for epoch in range(4):
+        rng, loss = np.random.default_rng((42, epoch)), 0.0
+        for part in rng.permutation(parts):
+            own = [lot for lot in range(48) if lot // 4 * parts // 12 == part]
+            for batch in np.split(rng.permutation(own), len(own) // 4):
+                at = np.isin(data[:, 0], batch)
+                grad, error = network.gradient(data[at, 1:3].astype(np.float32), data[at, 3])
+                network, loss = network.like(adam.moved(network.flat(), grad / at.sum())), loss + error
+        losses.append(loss / 600)
+    assert got.flat() == pytest.approx(network.flat(), abs=1e-5)
+    assert [h[0] for h in history] == pytest.approx(losses, rel=1e-5)
+
+
+def test_a_filter_learns_from_the_first_of_equal_positions():
+    """Rows of equal values give equal responses at several positions; one of them takes the gradient, the first."""
+    start = conv.Weights.start(6, 7, 3, 2)
+    x = np.vstack([np.zeros((2, 6)), np.full((2, 6), 0.5), np.random.default_rng(4).random((300, 6))])
+    start.conv_bias += 0.3
+    grad, loss = start.gradient(x)
+    hidden, dense = np.zeros(start.conv.shape), np.zeros(start.dense.shape)
+    bias, total = np.zeros(7), 0.0
+    for row in x:
+        windows = np.array([np.concatenate([[0.0], row, [0.0]])[p : p + 3] for p in range(6)])
+        response = windows @ start.conv
+        first, pooled = response.argmax(axis=0), np.maximum(response.max(axis=0) + start.conv_bias, 0.0)
+        error = pooled @ start.dense + start.dense_bias - row
+        back = (start.dense @ error) * (pooled > 0)
+        for f in range(7):
+            hidden[:, f] += back[f] * windows[first[f], :]
+        bias += back
+        dense += np.outer(pooled, error)
+        total += (error**2).sum()
+    assert loss == pytest.approx(total) and start.loss(x) == pytest.approx(total)
+    parts = start.like(grad / 2)
+    assert parts.conv_bias == pytest.approx(bias) and parts.dense == pytest.approx(dense)
+    assert parts.conv == pytest.approx(hidden)
