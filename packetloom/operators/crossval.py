@@ -25,7 +25,7 @@ from packetloom.operators.scale import fit_moments, standardize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows that all networks work off at once: their units stay in a core's cache.
-CHUNK = 256
+CHUNK = 512
 
 Fit = Callable[[DataFrame], object]
 Score = Callable[[object, DataFrame], DataFrame]
@@ -114,7 +114,9 @@ class JointFolds:
     """Perceptrons of all folds side by side as one wide layer; network ``j`` takes the rows outside fold ``j``.
 
     Rows are standardised once, by the first network's moments; what the others' moments differ by goes into
-    their weights, and out of their gradients.
+    their weights, and out of their gradients. A unit's sum of (error x inputs and one) over the rows that it is
+    active on gives all its gradients: times its outer weight those of its inputs and bias, times its own
+    weights that of the outer weight.
     """
 
     def __init__(self, networks: Sequence[Standardised]) -> None:
@@ -123,37 +125,38 @@ class JointFolds:
         self.k, self.n, self.h, self.mean, self.sd = len(networks), n, h, first.mean, first.sd
         self.scale = np.array([first.sd / w.sd for w in networks])
         self.shift = np.array([(first.mean - w.mean) / w.sd for w in networks])
-        self.hidden = np.hstack([w.network.hidden * s[:, None] for w, s in zip(networks, self.scale, strict=True)])
-        self.hidden_bias = np.concatenate([w.network.hidden_bias + t @ w.network.hidden for w, t in zip(networks, self.shift, strict=True)])
-        self.out, self.out_bias = np.zeros((self.k * h, self.k)), np.array([w.network.out_bias[0] for w in networks])
-        for j, w in enumerate(networks):
-            self.out[j * h : (j + 1) * h, j] = w.network.out
-        self.back = np.ascontiguousarray(self.out.T)
+        # a unit a row, its bias in the last column
+        hidden = [(w.network.hidden * s[:, None]).T for w, s in zip(networks, self.scale, strict=True)]
+        bias = [w.network.hidden_bias + t @ w.network.hidden for w, t in zip(networks, self.shift, strict=True)]
+        self.units = np.ascontiguousarray(np.column_stack([np.vstack(hidden), np.concatenate(bias)]))
+        self.out = np.array([w.network.out for w in networks])
+        self.out_bias = np.array([w.network.out_bias for w in networks])
 
     def sums(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
         k, n, h = self.k, self.n, self.h
-        hidden, units, out, rest = np.zeros((n, k * h)), np.zeros(k * h), np.zeros((k * h, k)), np.zeros((3, k))
-        x = (x - self.mean) / self.sd
+        found, rest, nothing = np.zeros((k * h, n + 1)), np.zeros((3, k)), np.zeros(CHUNK)
+        # for one chunk after the other: fresh arrays would cost more than the work on them
+        room, marks = np.empty(k * h * CHUNK), np.empty(k * h * CHUNK, bool)
+        x = np.column_stack([(x - self.mean) / self.sd, np.ones(len(x))])
         for i in range(0, len(x), CHUNK):
-            a, b = x[i : i + CHUNK], y[i : i + CHUNK, None]
-            own = fold[i : i + CHUNK, None] != np.arange(k)
-            active = a @ self.hidden
-            active += self.hidden_bias
-            np.maximum(active, 0.0, out=active)
-            z = active @ self.out + self.out_bias
-            small = np.exp(-np.abs(z))
-            error = (np.where(z >= 0, 1.0, small) / (1.0 + small) - b) * own
-            back = error @ self.back
-            back *= active > 0
-            hidden += a.T @ back
-            units += back.sum(axis=0)
-            out += active.T @ error
-            rest += (error.sum(axis=0), ((np.maximum(z, 0.0) + np.log1p(small) - b * z) * own).sum(axis=0), own.sum(axis=0))
+            a, b = x[i : i + CHUNK], y[i : i + CHUNK].astype(float)
+            own = fold[i : i + CHUNK] != np.arange(k, dtype=fold.dtype)[:, None]
+            active = np.matmul(self.units, a.T, out=room[: k * h * len(a)].reshape(k * h, len(a)))
+            on = np.greater(active, 0.0, out=marks[: active.size].reshape(active.shape)).reshape(k, h, len(a))
+            active = np.maximum(active, nothing[: len(a)], out=active).reshape(k, h, len(a))
+            z = (self.out[:, None, :] @ active)[:, 0] + self.out_bias
+            p = 0.5 * np.tanh(0.5 * z) + 0.5
+            error = (p - b) * own
+            found += np.multiply(on, error[:, None], out=active).reshape(k * h, len(a)) @ a
+            rest += (error.sum(axis=1), ((np.maximum(z, 0.0) - np.log(np.maximum(p, 1.0 - p)) - b * z) * own).sum(axis=1), own.sum(axis=1))
+        out = (found * self.units).sum(axis=1)
+        found *= self.out.reshape(-1, 1)
         total = []
         for j in range(k):
             at = slice(j * h, (j + 1) * h)
-            of_hidden = hidden[:, at] * self.scale[j][:, None] + np.outer(self.shift[j], units[at])
-            total.append(np.concatenate([of_hidden.ravel(), units[at], out[at, j], rest[:, j]]))
+            hidden, bias = found[at, :n].T, found[at, n]
+            of_hidden = hidden * self.scale[j][:, None] + np.outer(self.shift[j], bias)
+            total.append(np.concatenate([of_hidden.ravel(), bias, out[at], rest[:, j]]))
         return np.array(total)
 
 

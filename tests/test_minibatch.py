@@ -137,6 +137,26 @@ def test_folds_at_once_equal_each_alone():
         assert got[j] == pytest.approx(np.concatenate([grad, [loss, (fold != j).sum()]]), rel=1e-6, abs=1e-6)
 
 
+def test_work_of_joint_folds_grows_with_their_number():
+    """No unit is multiplied with the outer weights of other folds' networks; far outside the sigmoid sums stay finite."""
+
+    def joint(k, scale=1.0):
+        starts = [mlp.Perceptron.start(4, 6, seed=j) for j in range(k)]
+        return [crossval.Standardised(s.like(s.flat() * scale), np.zeros(4), np.ones(4)) for s in starts]
+
+    def numbers(k):
+        return sum(a.size for a in vars(crossval.JointFolds(joint(k))).values() if isinstance(a, np.ndarray))
+
+    assert numbers(20) <= 2 * numbers(10)
+    rng = np.random.default_rng(6)
+    x, y, fold = rng.normal(size=(50, 4)).astype(np.float32), np.tile([0, 1], 25).astype(np.float32), np.arange(50, dtype=np.int32) % 3
+    networks = joint(3, 100.0)
+    got = crossval.JointFolds(networks).sums(x, y, fold)
+    for j, network in enumerate(networks):
+        grad, loss = network.gradient(x[fold != j], y[fold != j])
+        assert loss > 1000 and got[j] == pytest.approx(np.concatenate([grad, [loss, (fold != j).sum()]]), rel=1e-6, abs=1e-6)
+
+
 @pytest.mark.parametrize("settings", [{"batches": 5}, {"batch_rows": 60, "held_out": 0.2}])
 def test_a_step_reads_its_own_batch_alone(spark, rows, monkeypatch, settings):
     """A step's tasks are handed the blocks of the batch's lots and no others."""
