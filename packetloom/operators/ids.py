@@ -22,6 +22,7 @@ from packetloom.operators.encode import (
     vector_name,
 )
 from packetloom.operators.frequency_index import IndexedModel, fit_frequency_index
+from packetloom.operators.sliced_logistic import SlicedModel, fit_sliced
 
 # Settings of the saved intrusion-detection fit (fixed values).
 LOGISTIC_SETTINGS = {
@@ -35,6 +36,8 @@ LOGISTIC_SETTINGS = {
     "aggregationDepth": 2,
     "family": "auto",
 }
+#: Slots of ``encoding="table"`` beyond which weights and optimiser history are cut into slices on the executors.
+MOST_SLOTS = 1_500_000
 
 
 def fit_ids(
@@ -47,13 +50,14 @@ def fit_ids(
     order: Sequence[str] | None = None,
     num_hashed: int = 2**18,
     **logistic_settings,
-) -> PipelineModel | IndexedModel:
+) -> PipelineModel | IndexedModel | SlicedModel:
     """Fit index → one-hot → assemble → logistic regression.
 
     ``encoding`` is the caller's choice at every size. ``"index"`` keeps a
     dictionary of the categories on the driver and in every task; ``"table"``
     gives the same indexes from a stored table by joins and names no category
-    in the vector, so that only the weights and the optimiser's history grow with the categories; ``"hash"`` needs none and puts all categoricals into ``num_hashed`` slots, which stand
+    in the vector; only the weights and the optimiser's history grow with the categories, and beyond ``MOST_SLOTS`` of
+    them, in a plain fit (no regularisation, two classes), neither is on the driver any more; ``"hash"`` needs none and puts all categoricals into ``num_hashed`` slots, which stand
     first, so it cannot refuse an unseen value and takes ``handle_invalid="keep"``
     alone. ``order`` gives the assembly order of the original column names (of
     the numerics, if hashed), and ``logistic_settings`` override those of the
@@ -83,6 +87,11 @@ def fit_ids(
         # the slots of one_hot: with "keep" a null has one if there is any, else the last category has none
         nulls = train.agg(*[F.coalesce(F.max(named(c).isNull()), F.lit(False)) for c in cats]).first()
         slots = {c: index.sizes[c] + (bool(null) if keep == "keep" else -1) for c, null in zip(cats, nulls, strict=True)}
+        settings = {**LOGISTIC_SETTINGS, **logistic_settings}
+        free = {"maxIter", "tol", "threshold", "aggregationDepth"}
+        if sum(slots.values()) > MOST_SLOTS and all(settings[k] == LOGISTIC_SETTINGS.get(k) for k in settings if k not in free):
+            own = [c for c in (order or [*cats, *nums]) if c in nums]
+            return fit_sliced(train, label, index, {c: slots[c] for c in cats}, own, settings["maxIter"], settings["tol"], settings["threshold"])
         parts = [(c, slots.get(c)) for c in (order or [*cats, *nums])]
         return IndexedModel(index, parts, Pipeline(stages=[logistic]).fit(one_hot_features(index.transform(train), parts)))
     return Pipeline(stages=stages).fit(train)

@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 from packetloom.operators.conv import ConvReconstruction
 from packetloom.operators.frequency_index import IndexedModel
 from packetloom.operators.mlp import MaliciousScorer
+from packetloom.operators.sliced_logistic import SlicedModel
 
 #: Models that store themselves in Parquet.
-OWN_FORMAT = (ConvReconstruction, MaliciousScorer, IndexedModel)
+OWN_FORMAT = (ConvReconstruction, MaliciousScorer, IndexedModel, SlicedModel)
 
 
 def save_model(model, path: str, spark: SparkSession | None = None) -> None:
